@@ -1,3 +1,5 @@
 """All registered queries."""
 
 from tremora.plans import catalogue_panel  # noqa: F401
+from tremora.plans import catalogue_network  # noqa: F401
+from tremora.plans.catalogue_network import flagship  # noqa: F401

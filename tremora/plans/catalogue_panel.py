@@ -108,7 +108,7 @@ def cutoff_mask(spark, sf):
 
 @query("adv_mean", "SELECT asset, round(avg(abs(price) * volume), 2) AS adv FROM sweek GROUP BY 1", ["sweek"])
 def adv_mean(spark, sf):
-    return P.dollar_volume(D.supplier_weeks(spark, sf), F.col("price"), F.col("volume")).withColumn("adv", F.round("adv", 2))
+    return P.dollar_volume(D.scan_supplier_weeks(spark, sf), F.col("price"), F.col("volume")).withColumn("adv", F.round("adv", 2))
 
 
 @query("coverage_count", "SELECT asset, count(x)::BIGINT AS n_obs FROM sret GROUP BY 1", ["sret"])

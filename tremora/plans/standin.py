@@ -40,12 +40,16 @@ def week(c: str):
     return F.date_trunc("week", c).cast("date")
 
 
-def supplier_weeks(spark, sf) -> DataFrame:
-    """Weekly turnover and quantity per supplier."""
+def scan_supplier_weeks(spark, sf) -> DataFrame:
+    """Weekly turnover and quantity per supplier: the one scan of the fact table."""
     return P.to_panel(table(spark, sf, "lineitem"), "l_suppkey", week("l_shipdate"),
                       price=F.sum("l_extendedprice"), volume=F.sum("l_quantity"))
 
 
+def supplier_weeks(spark, sf) -> DataFrame:
+    return stage(spark, sf, "weekly", scan_supplier_weeks)
+
+
 def nation_weeks(spark, sf) -> DataFrame:
     """Weekly turnover per nation: line items collapse to supplier weeks before the join."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset"), "s_nationkey")
@@ -57,7 +61,7 @@ def nation_weeks(spark, sf) -> DataFrame:
 
 
 def weeks(spark, sf) -> DataFrame:
-    return P.calendar(table(spark, sf, "lineitem").select(week("l_shipdate").alias("date")))
+    return P.calendar(supplier_weeks(spark, sf))
 
 
 def nation_returns(spark, sf) -> DataFrame:
