@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tremora import config as C
 from tremora.functions.special import f_upper, t_two_sided
+from tremora.session import spread
 
 
 def ordered_tests(edges: DataFrame, vecs: DataFrame, neighbours: DataFrame | None, n_controls: int = C.N_CONTROLS) -> DataFrame:
@@ -111,7 +112,7 @@ def evidence(tests: DataFrame, lag: int = C.LAG, granger_lags=(C.GRANGER_LAG,),
                             "weight": sub["weight"].to_numpy(float), "n": total, "r": r, "p_r": p,
                             "granger_lag": g, "f": f, "p_f": pf})
 
-    return tests.mapInPandas(run, schema)
+    return spread(tests, "snapshot", "src", "dst").mapInPandas(run, schema)
 
 
 def grid_cells() -> list[tuple]:

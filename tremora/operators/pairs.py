@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremora.session import attach, spread
+
 BLOCK = 256
 BINS = 1000
 
@@ -59,7 +61,7 @@ def blocked(vecs: DataFrame, task: Callable, schema: str, keys=("snapshot",), bl
         return out
 
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vecs.schema.fields if f.name in k)
-    return v.groupBy(*k, "bi", "bj").applyInPandas(run, f"{key_schema}, {schema}")
+    return spread(v, *k, "bi", "bj").groupBy(*k, "bi", "bj").applyInPandas(run, f"{key_schema}, {schema}")
 
 
 def _stack(pdf: pd.DataFrame) -> np.ndarray:
@@ -267,8 +269,7 @@ def guarded_windows(vecs: DataFrame, params: DataFrame) -> DataFrame:
     a frozen step freezes all their pairs together.
     """
     neg = F.aggregate("vec", F.lit(0.0), lambda s, z: s + F.least(z, F.lit(0.0)) * F.least(z, F.lit(0.0)))
-    one = F.lit(1)
-    v = vecs.withColumn("one", one).join(params.select("a", "b", "g").withColumn("one", one), "one").drop("one")
+    v = attach(vecs, params.select("a", "b", "g").limit(1))
     c = (1 - F.col("a") - F.col("b")) - F.col("g") * neg / F.size("vec")
     return v.withColumn("whole", F.max(c <= 0).over(Window.partitionBy("snapshot")))
 

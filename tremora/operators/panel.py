@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tremora import config as C
 from tremora.functions.exprs import clip, log_return
+from tremora.session import attach
 
 
 def calendar(dates: DataFrame) -> DataFrame:
@@ -86,8 +87,7 @@ def coverage(panel: DataFrame, value: str = "price") -> DataFrame:
 def coverage_filter(panel: DataFrame, cal: DataFrame, value: str = "price", min_frac: float = 0.05) -> DataFrame:
     """Assets observed on at least ``int(min_frac * calendar length)`` dates."""
     need = cal.agg(F.floor(F.count("*") * F.lit(min_frac)).alias("need"))
-    kept = coverage(panel, value).withColumn("one", F.lit(1)).join(
-        need.withColumn("one", F.lit(1)), "one").where("n_obs >= need").select("asset")
+    kept = attach(coverage(panel, value), need).where("n_obs >= need").select("asset")
     return panel.join(kept, "asset", "left_semi")
 
 
@@ -173,11 +173,11 @@ def trading_day_on_or_before(events: DataFrame, cal: DataFrame, date: str) -> Da
         .select(F.col("date").alias("trade_date"),
                 F.explode(F.sequence("date", F.date_sub("next_date", 1))).alias(date))
     )
-    end = cal.where("next_date IS NULL").select(F.lit(1).alias("one"), F.col("date").alias("end_date"))
+    end = cal.agg(F.max("date").alias("end_date"))
     return (
-        events.withColumn("one", F.lit(1)).join(end, "one").join(owned, date, "left")
+        attach(events, end).join(owned, date, "left")
         .withColumn("trade_date", F.coalesce("trade_date", F.when(F.col(date) >= F.col("end_date"), F.col("end_date"))))
-        .drop("one", "end_date")
+        .drop("end_date")
     )
 
 

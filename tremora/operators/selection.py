@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremora.session import attach
+
 
 def top_by(ranking: DataFrame, n: int, measure: str, largest: bool = True) -> DataFrame:
     """The ``n`` assets with the largest (or smallest) measure, ties by asset.
@@ -25,13 +27,13 @@ def adv_quintile(adv: DataFrame, n: int, which: int) -> DataFrame:
     if which not in (1, 2, 3, 4, 5):
         raise ValueError(f"quintile must be 1..5, got {which}")
     w = Window.orderBy(F.desc("adv"), "asset")
-    total = adv.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    total = adv.agg(F.count("*").alias("total"))
     size = F.greatest(F.lit(1), F.expr("total DIV 5"))
     start = F.lit(which - 1) * size
     end = start + size if which < 5 else F.col("total")
     stop = F.least(end, start + F.lit(n))
     return (
-        adv.withColumn("rank0", F.row_number().over(w) - 1).withColumn("one", F.lit(1)).join(total, "one")
+        attach(adv.withColumn("rank0", F.row_number().over(w) - 1), total)
         .where((F.col("rank0") >= start) & (F.col("rank0") < stop)).select("asset", "adv", "rank0")
     )
 
@@ -56,15 +58,11 @@ def mle_subset(returns: DataFrame, cal: DataFrame, size: int = 100, full: float
 
     Without any such asset the best covered ones are taken instead.
     """
-    one = F.lit(1)
-    n = cal.agg(F.count("*").alias("n_days")).withColumn("one", one)
-    cov = (
-        returns.groupBy("asset").agg(F.count("x").alias("n_obs")).withColumn("one", one).join(n, "one")
-        .withColumn("good", F.col("n_obs") >= F.col("n_days") * full)
-    )
-    found = cov.agg(F.max("good").alias("found")).withColumn("one", one)
+    n = cal.agg(F.count("*").alias("n_days"))
+    cov = attach(returns.groupBy("asset").agg(F.count("x").alias("n_obs")), n).withColumn(
+        "good", F.col("n_obs") >= F.col("n_days") * full)
     return (
-        cov.join(found, "one").where("good OR NOT found")
+        attach(cov, cov.agg(F.max("good").alias("found"))).where("good OR NOT found")
         .orderBy(F.when(~F.col("found"), -F.col("n_obs")), "asset").limit(size).select("asset")
     )
 

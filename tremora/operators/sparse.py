@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tremora import config as C
 from tremora.functions.exprs import ebic_gamma, shrinkage_delta
 from tremora.operators.graph import connected_components
-from tremora.session import materialize
+from tremora.session import materialize, spread
 
 
 def lambda_grid(n: int = C.N_LAMBDAS, bounds=C.LAMBDA_RANGE) -> list[float]:
@@ -111,7 +111,7 @@ def fit_grid(corr: DataFrame, nodes: DataFrame, lambdas: list[float]) -> tuple[D
         out.loc[0, ["logdet", "tr"]] = [logdet, float((s * theta).sum())]
         return out
 
-    fitted = materialize(inside.groupBy("snapshot", "lam", "component").applyInPandas(
+    fitted = materialize(spread(inside, "snapshot", "lam", "component").groupBy("snapshot", "lam", "component").applyInPandas(
         run, f"snapshot string, lam double, component {t}, i {t}, j {t}, omega double, logdet double, tr double, n_iter int, violation double"), "gl-fit")
     alone = comp.join(size.where("size = 1"), ["snapshot", "lam", "component"]).select(
         "snapshot", "lam", "component", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("omega"),

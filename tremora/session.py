@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -74,3 +75,19 @@ def values(spark: SparkSession, rows, names, types) -> DataFrame:
 
     body = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the configured number of tasks before CPU-heavy Python work.
+
+    Adaptive execution merges partitions by bytes, which would queue many small
+    but expensive groups behind one another; an explicit count is left alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which is one row by construction, to every row."""
+    k = "_all"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
