@@ -112,7 +112,7 @@ def evidence(tests: DataFrame, lag: int = C.LAG, granger_lags=(C.GRANGER_LAG,),
                             "weight": sub["weight"].to_numpy(float), "n": total, "r": r, "p_r": p,
                             "granger_lag": g, "f": f, "p_f": pf})
 
-    return spread(tests, "snapshot", "src", "dst").mapInPandas(run, schema)
+    return spread(tests).mapInPandas(run, schema)
 
 
 def grid_cells() -> list[tuple]:

@@ -20,51 +20,54 @@ from tremora.session import attach, spread
 MIN_STATIC, MIN_FIT = 30, 200
 
 
-def minimise(fun: Callable[[np.ndarray], np.ndarray], start: np.ndarray, size: float = 0.25,
+def minimise(fun: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, size: float = 0.25,
              max_iter: int = 400, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray, int]:
     """Simplex search for a batch of independent problems.
 
-    ``start`` is ``(B, d)``; ``fun`` maps ``(B, d)`` to ``(B,)``. Each problem
-    moves on its own; the loop ends when all simplices have collapsed.
+    ``start`` is ``(B, d)``; ``fun(points, rows)`` scores points of the problems
+    named by ``rows``. All trial points of a round are scored in one call, and
+    problems whose simplex has collapsed drop out of the batch.
     """
     n, d = start.shape
     pts = np.repeat(start[:, None, :], d + 1, axis=1)
     for q in range(d):
         pts[:, q + 1, q] += size
-    val = np.stack([fun(pts[:, q]) for q in range(d + 1)], axis=1)
-    rows = np.arange(n)
+    val = fun(pts.reshape(-1, d), np.repeat(np.arange(n), d + 1)).reshape(n, d + 1)
     used = 0
     for used in range(1, max_iter + 1):
         order = np.argsort(val, axis=1, kind="stable")
         pts, val = np.take_along_axis(pts, order[:, :, None], 1), np.take_along_axis(val, order, 1)
-        if np.all(val[:, -1] - val[:, 0] < tol * (1 + np.abs(val[:, 0]))):
+        act = np.flatnonzero(val[:, -1] - val[:, 0] >= tol * (1 + np.abs(val[:, 0])))
+        if not len(act):
             break
-        mid, worst = pts[:, :-1].mean(axis=1), pts[:, -1]
+        mid, worst = pts[act, :-1].mean(axis=1), pts[act, -1]
         refl = 2 * mid - worst
-        f_r = fun(refl)
-        grow = f_r < val[:, 0]
-        inside = f_r >= val[:, -1]
-        other = np.where(grow[:, None], 3 * mid - 2 * worst, np.where(inside[:, None], (mid + worst) / 2, (mid + refl) / 2))
-        f_o = fun(other)
-        use_refl = (~grow & (f_r < val[:, -2])) | (grow & (f_r <= f_o))
-        cand, f_c = np.where(use_refl[:, None], refl, other), np.where(use_refl, f_r, f_o)
-        ok = f_c < val[:, -1]
-        pts[rows[ok], -1], val[rows[ok], -1] = cand[ok], f_c[ok]
-        if not ok.all():
-            for q in range(1, d + 1):
-                shrunk = (pts[:, q] + pts[:, 0]) / 2
-                f_s = fun(shrunk)
-                pts[~ok, q], val[~ok, q] = shrunk[~ok], f_s[~ok]
+        trial = np.stack([refl, 3 * mid - 2 * worst, (mid + refl) / 2, (mid + worst) / 2], axis=1)
+        f = fun(trial.reshape(-1, d), np.repeat(act, 4)).reshape(-1, 4)
+        v = val[act]
+        which = np.where(f[:, 0] < v[:, 0], np.where(f[:, 1] < f[:, 0], 1, 0),
+                         np.where(f[:, 0] < v[:, -2], 0, np.where(f[:, 0] < v[:, -1], 2, 3)))
+        i = np.arange(len(act))
+        ok = f[i, which] < v[:, -1]
+        pts[act[ok], -1], val[act[ok], -1] = trial[i[ok], which[ok]], f[i[ok], which[ok]]
+        bad = act[~ok]
+        if len(bad):
+            shrunk = (pts[bad, 1:] + pts[bad, :1]) / 2
+            pts[bad, 1:] = shrunk
+            val[bad, 1:] = fun(shrunk.reshape(-1, d), np.repeat(bad, d)).reshape(-1, d)
     best = np.argmin(val, axis=1)
+    rows = np.arange(n)
     return pts[rows, best], val[rows, best], used
 
 
 def garch_variance(eps2: np.ndarray, omega, alpha, beta, first) -> np.ndarray:
-    """Conditional variance recursion for a batch ``(B, T)``."""
+    """Conditional variance recursion; dates run along the first axis, assets along the second."""
     s2 = np.empty_like(eps2)
-    s2[:, 0] = first
-    for t in range(1, eps2.shape[1]):
-        s2[:, t] = omega + alpha * eps2[:, t - 1] + beta * s2[:, t - 1]
+    s2[0] = first
+    drive = omega + alpha * eps2
+    for t in range(1, len(eps2)):
+        np.multiply(s2[t - 1], beta, out=s2[t])
+        s2[t] += drive[t - 1]
     return s2
 
 
@@ -85,34 +88,34 @@ def fit_garch(y: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
     Series of different length share the batch: ``live`` marks the real values,
     which come first in every row.
     """
-    n = live.sum(axis=1)
-    mean = (y * live).sum(axis=1) / n
-    var = ((y - mean[:, None]) ** 2 * live).sum(axis=1) / n
-
-    def nll(theta):
+    y, live = np.ascontiguousarray(y.T), np.ascontiguousarray(live.T)
+    n = live.sum(axis=0)
+    mean = (y * live).sum(axis=0) / n
+    var = ((y - mean) ** 2 * live).sum(axis=0) / n
+    starts = ((0.95, 0.08), (0.6, 0.3), (0.2, 0.5))
+    b, k = y.shape[1], len(starts)
+
+    def nll(theta, rows):
         mu, omega, alpha, beta, nu = _natural(theta)
-        e2 = (y - mu[:, None]) ** 2 * live
-        s2 = garch_variance(e2, omega, alpha, beta, e2.sum(axis=1) / n)
+        at = rows % b
+        mask = live[:, at]
+        e2 = (y[:, at] - mu) ** 2 * mask
         with np.errstate(all="ignore"):
+            s2 = garch_variance(e2, omega, alpha, beta, e2.sum(axis=0) / n[at])
             const = _lgamma((nu + 1) / 2) - _lgamma(nu / 2) - 0.5 * np.log(np.pi * (nu - 2))
-            ll = const[:, None] - 0.5 * np.log(s2) - (nu[:, None] + 1) / 2 * np.log1p(e2 / (s2 * (nu[:, None] - 2)))
-            out = -(ll * live).sum(axis=1)
+            ll = const - 0.5 * np.log(s2) - (nu + 1) / 2 * np.log1p(e2 / (s2 * (nu - 2)))
+            out = -(ll * mask).sum(axis=0)
         return np.where(np.isfinite(out), out, 1e12)
 
-    best = None
-    for pers, share in ((0.95, 0.08), (0.6, 0.3), (0.2, 0.5)):
-        start = np.column_stack([mean, np.log(np.maximum(var * (1 - pers), 1e-12)),
-                                 np.full(len(y), np.log(pers / (1 - pers))), np.full(len(y), np.log(share / (1 - share))), np.full(len(y), np.log(6.0))])
-        got = minimise(nll, start)
-        if best is None:
-            best = got
-        else:
-            better = got[1] < best[1]
-            best = (np.where(better[:, None], got[0], best[0]), np.minimum(got[1], best[1]), best[2])
-    mu, omega, alpha, beta, nu = _natural(best[0])
-    e = (y - mu[:, None]) * live
-    s2 = garch_variance(e * e, omega, alpha, beta, (e * e).sum(axis=1) / n)
-    return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "nu": nu, "nll": best[1], "z": e / np.sqrt(s2)}
+    start = np.concatenate([np.column_stack([
+        mean, np.log(np.maximum(var * (1 - pers), 1e-12)), np.full(b, np.log(pers / (1 - pers))),
+        np.full(b, np.log(share / (1 - share))), np.full(b, np.log(6.0))]) for pers, share in starts])
+    pts, val, _ = minimise(nll, start)
+    pick = np.argmin(val.reshape(k, b), axis=0) * b + np.arange(b)
+    mu, omega, alpha, beta, nu = _natural(pts[pick])
+    e = (y - mu) * live
+    s2 = garch_variance(e * e, omega, alpha, beta, (e * e).sum(axis=0) / n)
+    return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "nu": nu, "nll": val[pick], "z": (e / np.sqrt(s2)).T}
 
 
 def garch(series: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def garch(series: DataFrame) -> DataFrame:
             out["status"] = np.where(bad & (status != "short"), "failed", status)
             yield out[["asset", "n", *names, "status", "dates", "z"]]
 
-    return spread(series, "asset").mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
+    return spread(series).mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
 
 
 def series_of(returns: DataFrame, value: str = "x") -> DataFrame:
@@ -179,8 +182,11 @@ def garch_filter(series: DataFrame, omega: float, alpha: float, beta: float) ->
 # ------------------------------------------------------------------ dynamic correlation
 
 
-def adcc_nll(theta: np.ndarray, z: np.ndarray, q_bar: np.ndarray, n_bar: np.ndarray) -> float:
-    """Negative Gaussian correlation likelihood; 1e10 outside the admissible region."""
+def adcc_nll(theta: np.ndarray, z: np.ndarray, q_bar: np.ndarray, n_bar: np.ndarray, chunk: int = 256) -> float:
+    """Negative Gaussian correlation likelihood; 1e10 outside the admissible region.
+
+    Dates pass in chunks, so memory is ``chunk`` matrices however long the panel.
+    """
     a, b, g = theta
     if min(theta) < 0 or a + b + g >= 1 - C.ADCC_SLACK:
         return 1e10
@@ -188,19 +194,23 @@ def adcc_nll(theta: np.ndarray, z: np.ndarray, q_bar: np.ndarray, n_bar: np.ndar
     if np.linalg.eigvalsh(const)[0] < -1e-8:
         return 1e10
     neg = np.minimum(z, 0.0)
-    q = np.empty((len(z), *q_bar.shape))
-    q[0] = q_bar
-    for t in range(1, len(z)):
-        q[t] = const + a * np.outer(z[t - 1], z[t - 1]) + b * q[t - 1] + g * np.outer(neg[t - 1], neg[t - 1])
-    d = np.sqrt(np.maximum(np.diagonal(q, axis1=1, axis2=2), 1e-8))
-    r = q / (d[:, :, None] * d[:, None, :])
-    try:
-        chol = np.linalg.cholesky(r[1:])
-    except np.linalg.LinAlgError:
-        return 1e10
-    u = np.linalg.solve(chol, z[1:, :, None])[:, :, 0]
-    logdet = 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum()
-    return float(0.5 * (logdet + (u * u).sum() - (z[1:] ** 2).sum()))
+    prev, total = q_bar, 0.0
+    for at in range(1, len(z), chunk):
+        x, m, now = z[at - 1:at + chunk - 1][:len(z) - at], neg[at - 1:at + chunk - 1][:len(z) - at], z[at:at + chunk]
+        q = const + a * x[:, :, None] * x[:, None, :] + g * m[:, :, None] * m[:, None, :]
+        q[0] += b * prev
+        for t in range(1, len(q)):
+            q[t] += b * q[t - 1]
+        prev = q[-1]
+        d = np.sqrt(np.maximum(np.diagonal(q, axis1=1, axis2=2), 1e-8))
+        r = q / (d[:, :, None] * d[:, None, :])
+        try:
+            chol = np.linalg.cholesky(r)
+        except np.linalg.LinAlgError:
+            return 1e10
+        quad = (now * np.linalg.solve(r, now[:, :, None])[:, :, 0]).sum()
+        total += 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum() + quad - (now * now).sum()
+    return float(0.5 * total)
 
 
 def adcc_starts() -> list[tuple[float, float, float]]:
@@ -227,7 +237,7 @@ def adcc_fit(resid: DataFrame, subset: DataFrame, min_rows: int = C.ADCC_MIN_ROW
     day = (day.join(k, keys) if keys else attach(day, k)).where(F.size("r") == F.col("k"))
     full = day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", F.col("r.z").alias("z")))).alias("m")).select(*keys, F.col("m.z").alias("m"))
     starts = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), *[F.lit(v).alias(n) for n, v in zip("abg", s)]) for i, s in enumerate(adcc_starts())]))
-    jobs = spread(full.withColumn("s", starts).select(*keys, "m", "s.*"), "start", *keys)
+    jobs = spread(full.withColumn("s", starts).select(*keys, "m", "s.*"))
     lo, hi = np.array(C.ADCC_BOUNDS).T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +251,7 @@ def adcc_fit(resid: DataFrame, subset: DataFrame, min_rows: int = C.ADCC_MIN_ROW
                 q_bar, neg = np.corrcoef(z, rowvar=False), np.minimum(z, 0)
                 n_bar = neg.T @ neg / len(z)
 
-                def f(batch):
+                def f(batch, _rows):
                     x = np.clip(batch, lo, hi)
                     out = np.abs(batch - x).sum(axis=1) * 1e6
                     return out + np.array([adcc_nll(v, z, q_bar, n_bar) for v in x])
@@ -322,7 +332,7 @@ def adf(vecs: DataFrame, keys=("snapshot",)) -> DataFrame:
                                 "lags": pd.array(lags, dtype="Int32"), "reject": pd.array(reject, dtype="boolean")})
 
     schema = ", ".join(f"{c} {types[c]}" for c in k) + f", asset {types['asset']}, statistic double, lags int, reject boolean"
-    return spread(vecs, *k, "asset").mapInPandas(run, schema)
+    return spread(vecs).mapInPandas(run, schema)
 
 
 def adf_rates(tested: DataFrame) -> DataFrame:

@@ -78,13 +78,15 @@ def values(spark: SparkSession, rows, names, types) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the configured number of tasks before CPU-heavy Python work.
+    """Deal rows over the configured number of tasks before CPU-heavy Python work.
+
+    With keys rows go by hash (grouped work), without keys they go round robin.
 
     Adaptive execution merges partitions by bytes, which would queue many small
     but expensive groups behind one another; an explicit count is left alone.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
