@@ -126,7 +126,7 @@ def _bin(v: np.ndarray) -> np.ndarray:
 
 
 def strongest_pairs(vecs: DataFrame, budget: DataFrame, block_fn: Callable = corr_block,
-                    keys=("snapshot",), block: int = BLOCK) -> DataFrame:
+                    keys=("snapshot",), block: int = BLOCK, extra: list[str] | None = None) -> DataFrame:
     """Exactly the ``k`` pairs of largest magnitude per window, ties by ``(i, j)``.
 
     ``budget`` holds ``(keys, k)``. A first pass counts magnitudes in fixed
@@ -144,7 +144,7 @@ def strongest_pairs(vecs: DataFrame, budget: DataFrame, block_fn: Callable = cor
         hit = np.flatnonzero(n)
         return pd.DataFrame({"bin": hit, "n": n[hit]})
 
-    hist = blocked(vecs, count_bins, "bin bigint, n bigint", keys, block).groupBy(*k, "bin").agg(F.sum("n").alias("n"))
+    hist = blocked(vecs, count_bins, "bin bigint, n bigint", keys, block, extra).groupBy(*k, "bin").agg(F.sum("n").alias("n"))
     above = Window.partitionBy(*k).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(*k)
     cut = (
@@ -163,7 +163,7 @@ def strongest_pairs(vecs: DataFrame, budget: DataFrame, block_fn: Callable = cor
 
     rank = Window.partitionBy(*k).orderBy(F.desc(F.abs("v")), "i", "j")
     return (
-        blocked(vecs.join(cut, k), emit, f"i {t}, j {t}, v double, k bigint", keys, block, ["cut", "k"])
+        blocked(vecs.join(cut, k), emit, f"i {t}, j {t}, v double, k bigint", keys, block, ["cut", "k", *(extra or [])])
         .withColumn("rank", F.row_number().over(rank)).where("rank <= k").select(*k, "i", "j", "v", "rank")
     )
 

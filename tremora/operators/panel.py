@@ -271,17 +271,29 @@ def complete_cases(panel: DataFrame, snapshots: DataFrame, cal: DataFrame, value
                    min_assets: int = C.MIN_ASSETS, std_floor: float = C.STD_FLOOR,
                    bound: float = C.CLIP) -> DataFrame:
     """Balanced window panels: alive assets on the dates where all of them are observed."""
-    live = alive(panel, snapshots, cal, value, min_coverage, min_rows).select("snapshot", "asset")
+    n_rows = in_windows(cal.select("date"), snapshots).groupBy("snapshot").agg(F.count("*").alias("n_rows"))
+    return balance(in_windows(panel, snapshots), n_rows, value, min_coverage, min_rows, min_assets, std_floor, bound)
+
+
+def balance(rows: DataFrame, n_rows: DataFrame, value: str = "x", min_coverage: float = C.MIN_COVERAGE,
+            min_rows: int = C.MIN_ROWS, min_assets: int = C.MIN_ASSETS, std_floor: float = C.STD_FLOOR,
+            bound: float = C.CLIP) -> DataFrame:
+    """Complete cases of rows already keyed by window; ``n_rows`` holds the calendar rows per window."""
+    need = F.greatest(F.lit(min_rows), F.floor(F.col("n_rows") * F.lit(min_coverage)))
+    live = (
+        rows.groupBy("snapshot", "asset").agg(F.count(value).alias("n_obs")).join(n_rows, "snapshot")
+        .where(F.col("n_obs") >= need).select("snapshot", "asset")
+    )
     p = live.groupBy("snapshot").agg(F.count("*").alias("p")).where(F.col("p") >= min_assets)
-    rows = in_windows(panel, snapshots).join(live, ["snapshot", "asset"])
+    kept = rows.join(live, ["snapshot", "asset"])
     full = (
-        rows.groupBy("snapshot", "date").agg(F.count(value).alias("k")).join(p, "snapshot").where("k = p")
+        kept.groupBy("snapshot", "date").agg(F.count(value).alias("k")).join(p, "snapshot").where("k = p")
         .select("snapshot", "date")
     )
     enough = full.groupBy("snapshot").agg(F.count("*").alias("n_days")).where(F.col("n_days") >= min_rows)
     by_asset = Window.partitionBy("snapshot", "asset")
     return (
-        rows.join(full.join(enough.select("snapshot"), "snapshot", "left_semi"), ["snapshot", "date"], "left_semi")
+        kept.join(full.join(enough.select("snapshot"), "snapshot", "left_semi"), ["snapshot", "date"], "left_semi")
         .withColumn("sd", F.stddev_samp(value).over(by_asset))
         .where(F.col("sd") > std_floor)
         .select("snapshot", "date", "asset", clip(value, bound).alias(value))

@@ -24,46 +24,46 @@ from tremora.operators.community import louvain
 from tremora.session import attach, materialize
 
 
-def everywhere():
-    """Window over a whole per-window summary table."""
-    return Window.partitionBy(F.lit(1))
+def everywhere(*by):
+    """Window over a whole per-window summary table, or over each of its ``by`` groups."""
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
 
 
-def minmax(x) -> Column:
+def minmax(x, *by) -> Column:
     """Min-max position; a constant column gives zero."""
-    over = everywhere()
+    over = everywhere(*by)
     c = F.col(x) if isinstance(x, str) else x
     lo, hi = F.min(c).over(over), F.max(c).over(over)
     return F.coalesce((c - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0))
 
 
-def motif_shift(table: DataFrame, z: str = "z_ffl") -> DataFrame:
+def motif_shift(table: DataFrame, z: str = "z_ffl", by=()) -> DataFrame:
     """Motif channel: z over the absolute mean baseline z, missing values count as zero."""
     v = finite_or_zero(z)
-    base = F.avg(F.when(F.col("regime") == "baseline", v)).over(everywhere())
+    base = F.avg(F.when(F.col("regime") == "baseline", v)).over(everywhere(*by))
     return table.withColumn("motif_shift", finite_or_zero(v / F.nullif(F.abs(base), F.lit(0.0))))
 
 
-def index(channels: DataFrame, weights: dict[str, float] = C.NSI_WEIGHTS, name: str = "nsi", suffix: str = "") -> DataFrame:
+def index(channels: DataFrame, weights: dict[str, float] = C.NSI_WEIGHTS, name: str = "nsi", suffix: str = "", by=()) -> DataFrame:
     """Weighted sum of min-max normalised channels."""
     if abs(sum(weights.values()) - 1) > 1e-9 or min(weights.values()) < 0:
         raise ValueError("weights must be non-negative and sum to one")
     out = channels
     for c in weights:
-        out = out.withColumn(c + suffix, finite_or_zero(c + suffix)).withColumn(f"{c}{suffix}_norm", minmax(c + suffix))
+        out = out.withColumn(c + suffix, finite_or_zero(c + suffix)).withColumn(f"{c}{suffix}_norm", minmax(c + suffix, *by))
     total = sum((F.lit(float(w)) * F.col(f"{c}{suffix}_norm") for c, w in weights.items()), F.lit(0.0))
     return out.withColumn(name, total)
 
 
-def snapshot_index(metrics: DataFrame, weights: dict[str, float] = C.NSI_WEIGHTS) -> DataFrame:
+def snapshot_index(metrics: DataFrame, weights: dict[str, float] = C.NSI_WEIGHTS, by=()) -> DataFrame:
     """Index from ``n_nodes, n_edges, hhi_top10, mean_corr, z_ffl`` per window.
 
     Density sets directed edges against unordered pairs, so mutual edges count
     twice and sparsity may be negative.
     """
     dens = F.col("n_edges") / F.nullif(F.col("n_nodes") * (F.col("n_nodes") - 1) / 2, F.lit(0.0))
-    ch = motif_shift(metrics.withColumn("density", dens).withColumn("network_sparsity", 1 - F.col("density")))
-    return index(ch, weights)
+    ch = motif_shift(metrics.withColumn("density", dens).withColumn("network_sparsity", 1 - F.col("density")), by=by)
+    return index(ch, weights, by=by)
 
 
 def log_volume_weights(members: DataFrame, adv: DataFrame) -> DataFrame:
@@ -77,21 +77,22 @@ def log_volume_weights(members: DataFrame, adv: DataFrame) -> DataFrame:
     )
 
 
-def weighted_correlation(vecs: DataFrame, weights: DataFrame, block: int = A.BLOCK) -> DataFrame:
+def weighted_correlation(vecs: DataFrame, weights: DataFrame, block_fn=A.corr_block, extra=(), block: int = A.BLOCK) -> DataFrame:
     """``sum w_i w_j r_ij / sum w_i w_j`` over distinct pairs, reduced inside the block tasks."""
     v = vecs.join(weights.withColumnRenamed("node", "asset"), ["snapshot", "asset"])
 
     def task(a, b, same):
-        r = A.corr_block(a, b)
+        r = block_fn(a, b)
         w = np.outer(a["w"].to_numpy(), b["w"].to_numpy())
         i, j = A._pairs_of(a, b, same)
         return pd.DataFrame({"num": [float((w[i, j] * r[i, j]).sum())], "den": [float(w[i, j].sum())]})
 
-    part = A.blocked(v, task, "num double, den double", block=block, extra=["w"])
+    part = A.blocked(v, task, "num double, den double", block=block, extra=["w", *extra])
     return part.groupBy("snapshot").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("mean_corr_vw"))
 
 
-def volume_weighted_channels(vecs: DataFrame, arcs: DataFrame, ranks: DataFrame, weights: DataFrame) -> DataFrame:
+def volume_weighted_channels(vecs: DataFrame, arcs: DataFrame, ranks: DataFrame, weights: DataFrame,
+                             block_fn=A.corr_block, extra=()) -> DataFrame:
     """Volume-weighted sparsity, concentration and correlation per window."""
     sq = weights.groupBy("snapshot").agg((0.5 * (F.sum("w") * F.sum("w") - F.sum(F.col("w") * F.col("w")))).alias("pairs_w"))
     src = weights.select("snapshot", F.col("node").alias("src"), F.col("w").alias("wu"))
@@ -103,7 +104,7 @@ def volume_weighted_channels(vecs: DataFrame, arcs: DataFrame, ranks: DataFrame,
     conc = ranks.join(weights, ["snapshot", "node"]).groupBy("snapshot").agg(
         F.sum(F.col("w") * F.col("pagerank") * F.col("pagerank")).alias("hhi_vw"))
     return (
-        sq.join(dens, "snapshot", "left").join(conc, "snapshot").join(weighted_correlation(vecs, weights), "snapshot", "left")
+        sq.join(dens, "snapshot", "left").join(conc, "snapshot").join(weighted_correlation(vecs, weights, block_fn, extra), "snapshot", "left")
         .withColumn("network_sparsity_vw", 1 - F.coalesce("edge_w", F.lit(0.0)) / F.nullif("pairs_w", F.lit(0.0)))
         .withColumn("mean_corr_vw", F.coalesce("mean_corr_vw", F.lit(0.0)))
         .select("snapshot", "network_sparsity_vw", "hhi_vw", "mean_corr_vw")

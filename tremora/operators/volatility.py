@@ -256,7 +256,7 @@ def adcc_fit(resid: DataFrame, subset: DataFrame, min_rows: int = C.ADCC_MIN_ROW
                     out = np.abs(batch - x).sum(axis=1) * 1e6
                     return out + np.array([adcc_nll(v, z, q_bar, n_bar) for v in x])
 
-                best, val, _ = minimise(f, np.array([[row["a"], row["b"], row["g"]]], float), size=0.02, max_iter=200, tol=1e-8)
+                best, val, _ = minimise(f, np.array([[row["a"], row["b"], row["g"]]], float), size=0.02, max_iter=150, tol=1e-7)
                 a, b, g = (float(v) for v in np.clip(best[0], lo, hi))
                 ok = val[0] < 1e9 and a + b + g < 1 - C.ADCC_SLACK
                 yield pd.DataFrame([{**base, "a": a, "b": b, "g": g, "nll": float(val[0]), "status": "ok" if ok else "rejected"}])
