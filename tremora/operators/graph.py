@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.session import materialize
+from tremora.session import materialize, materialize_with
 
 KEYS = ("snapshot",)
 
@@ -251,8 +251,8 @@ def connected_components(und: DataFrame, nodes: DataFrame, keys=KEYS, max_rounds
 
     e, last = und.select(*k, "a", "b"), None
     for _ in range(max_rounds):
-        e = materialize(small_star(large_star(e)), "cc")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64(*k, "a", "b").cast("decimal(38,0)"))).head()
+        e, mark = materialize_with(small_star(large_star(e)), "cc", n=F.count(F.lit(1)),
+                                   h=F.sum(F.xxhash64(*k, "a", "b").cast("decimal(38,0)")))
         if mark == last:
             break
         last = mark
@@ -279,8 +279,9 @@ def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS, max_depth:
     while depth < max_depth:
         depth += 1
         reach = front.select(*k, "s", "u").join(nb, k + ["u"]).select(*k, "s", F.col("v").alias("u")).distinct()
-        front = materialize(reach.join(seen.select(*k, "s", "u"), k + ["s", "u"], "left_anti").withColumn("d", F.lit(depth)), "bfs")
-        if front.isEmpty():
+        front, got = materialize_with(
+            reach.join(seen.select(*k, "s", "u"), k + ["s", "u"], "left_anti").withColumn("d", F.lit(depth)), "bfs", n=F.count(F.lit(1)))
+        if got["n"] == 0:
             break
         levels.append(front)
         seen = seen.unionByName(front)

@@ -85,9 +85,9 @@ def tiers(selection: DataFrame) -> DataFrame:
 
 
 def sparse_edges(edges: DataFrame, selection: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    n = edges.groupBy("snapshot").agg(F.count("*").alias("n"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    n = edges.groupBy("snapshot").agg(F.count("*").alias("found"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))
     t = selection.where("status = 'ok'").join(n, "snapshot", "left")
-    parts = [check(t, "stage2", "edge_count", F.coalesce("n", F.lit(0)) == F.col("k")),
+    parts = [check(t, "stage2", "edge_count", F.coalesce("found", F.lit(0)) == F.col("k")),
              check(t, "stage2", "weights_in_range", (F.col("lo") >= 0) & (F.col("hi") <= 1 + 1e-9)),
              check(selection, "stage2", "edge_floor", F.col("k") >= F.greatest("p", F.lit(10)), F.col("k"))]
     if scored is not None:

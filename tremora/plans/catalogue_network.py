@@ -145,6 +145,28 @@ def threshold_topk(spark, sf):
     return A.strongest_pairs(v, A.edge_budget(v, density=DENSITY)).withColumn("v", F.round("v", 6))
 
 
+cte("swin", "SELECT snapshot, asset, date, x FROM sret JOIN snap ON date BETWEEN d_from AND d_to", ["sret", "snap"])
+cte("scc", """
+SELECT snapshot, date, asset, x FROM (SELECT *, count(*) OVER (PARTITION BY snapshot, date) AS k FROM swin JOIN (
+    SELECT snapshot, asset FROM (SELECT snapshot, asset, count(*) AS n FROM swin GROUP BY 1, 2) JOIN wrows USING (snapshot)
+    WHERE n >= greatest(30, floor(n_rows * 0.8::DOUBLE))) USING (snapshot, asset))
+JOIN (SELECT snapshot, count(*) AS p FROM (SELECT snapshot, asset, count(*) AS n FROM swin GROUP BY 1, 2) JOIN wrows USING (snapshot)
+    WHERE n >= greatest(30, floor(n_rows * 0.8::DOUBLE)) GROUP BY 1) USING (snapshot) WHERE k = p""", ["swin", "wrows"])
+
+
+@query("supplier_pairs_topk", """
+SELECT snapshot, i, j, round(r, 6) AS v, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY abs(r) DESC, i, j) AS rn,
+    min(p) OVER () AS p0 FROM (
+  SELECT a.snapshot, a.asset AS i, b.asset AS j, corr(a.x, b.x) AS r, any_value(p) AS p FROM scc a JOIN scc b
+    ON a.snapshot = b.snapshot AND a.date = b.date AND a.asset < b.asset JOIN (SELECT snapshot, count(DISTINCT asset) AS p FROM scc GROUP BY 1) s ON s.snapshot = a.snapshot GROUP BY 1, 2, 3))
+WHERE rn <= greatest(p0, round_even(0.05::DOUBLE * (p0 * (p0 - 1) / 2), 0))""", ["scc"])
+def supplier_pairs_topk(spark, sf):
+    """Threshold network over all suppliers: the blocked path on a universe that grows with the data."""
+    r = D.stage(spark, sf, "supplier_returns", D.supplier_returns)
+    v = D.stage(spark, sf, "supplier_vectors", lambda s, f: A.vectors(P.complete_cases(r, D.snapshots(s), D.weeks(s, f))))
+    return A.strongest_pairs(v, A.edge_budget(v)).withColumn("v", F.round("v", 6))
+
+
 @query("cross_sector_fraction", """
 SELECT snapshot, count(*)::BIGINT AS n_edges, sum(CASE WHEN a.sector <> b.sector THEN 1 ELSE 0 END)::BIGINT AS n_cross,
   round(avg(CASE WHEN a.sector <> b.sector THEN 1.0::DOUBLE ELSE 0 END), 6) AS cs_fraction

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -63,6 +63,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_with(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """Like ``materialize`` and also returns aggregates observed during the write, without a second job."""
+    seen = Observation()
+    return materialize(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name), seen.get
+
+
 def values(spark: SparkSession, rows, names, types) -> DataFrame:
     """A small parameter table as an inline relation with known size."""
 
