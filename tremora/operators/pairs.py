@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tremora.session import attach, spread
 
 BLOCK = 256
-BINS = 1000
+BINS = 4096
 
 
 def vectors(panel: DataFrame, value: str = "x", order: str = "date", keys=("snapshot",)) -> DataFrame:
@@ -131,8 +131,9 @@ def strongest_pairs(vecs: DataFrame, budget: DataFrame, block_fn: Callable = cor
 
     ``budget`` holds ``(keys, k)``. A first pass counts magnitudes in fixed
     bins, which locates the bin holding the k-th value; a second pass emits only
-    pairs from that bin upwards, and a rank window trims the remainder. The
-    full pair table never leaves the tasks.
+    pairs from that bin upwards. Pairs above the bin are in; only those inside
+    it are ranked for the remaining places. The full pair table never leaves the
+    tasks, and no window ranks more than one bin.
     """
     k = list(keys)
     t = _asset_type(vecs)
@@ -149,23 +150,23 @@ def strongest_pairs(vecs: DataFrame, budget: DataFrame, block_fn: Callable = cor
     total = Window.partitionBy(*k)
     cut = (
         hist.join(budget, k).withColumn("cum", F.sum("n").over(above)).withColumn("all", F.sum("n").over(total))
-        .where(F.col("cum") >= F.least("k", "all")).groupBy(*k).agg(F.max("bin").alias("cut"), F.first("k").alias("k"))
+        .where(F.col("cum") >= F.least("k", "all")).groupBy(*k)
+        .agg(F.max("bin").alias("cut"), F.max_by(F.col("k") - F.col("cum") + F.col("n"), "bin").alias("open"))
     )
 
     def emit(a, b, same):
         m = block_fn(a, b)
         r, c = _pairs_of(a, b, same)
         v = m[r, c]
-        ok = np.isfinite(v)
-        ok[ok] = _bin(v[ok]) >= a["cut"].iloc[0] if len(a) else False
+        at = np.where(np.isfinite(v), _bin(np.nan_to_num(v)), -1)
+        ok = at >= a["cut"].iloc[0]
         return pd.DataFrame({"i": a["asset"].to_numpy()[r[ok]], "j": b["asset"].to_numpy()[c[ok]],
-                             "v": v[ok], "k": np.full(int(ok.sum()), a["k"].iloc[0])})
+                             "v": v[ok], "open": a["open"].iloc[0], "edge": at[ok] == a["cut"].iloc[0]})
 
-    rank = Window.partitionBy(*k).orderBy(F.desc(F.abs("v")), "i", "j")
-    return (
-        blocked(vecs.join(cut, k), emit, f"i {t}, j {t}, v double, k bigint", keys, block, ["cut", "k", *(extra or [])])
-        .withColumn("rank", F.row_number().over(rank)).where("rank <= k").select(*k, "i", "j", "v", "rank")
-    )
+    cand = blocked(vecs.join(cut, k), emit, f"i {t}, j {t}, v double, open bigint, edge boolean", keys, block, ["cut", "open", *(extra or [])])
+    rank = Window.partitionBy(*k, "edge").orderBy(F.desc(F.abs("v")), "i", "j")
+    last = cand.where("edge").withColumn("rank", F.row_number().over(rank)).where("rank <= open")
+    return cand.where("NOT edge").select(*k, "i", "j", "v").unionByName(last.select(*k, "i", "j", "v"))
 
 
 def strongest_neighbours(vecs: DataFrame, n: int = 6, block_fn: Callable = corr_block,
@@ -278,3 +279,41 @@ def adcc_mean_correlation(vecs: DataFrame, params: DataFrame, block: int = BLOCK
     """Window-average dynamic correlation ``(snapshot, i, j, v)`` for parameters ``(a, b, g)``."""
     v = guarded_windows(vecs, params)
     return pair_values(v, adcc_block, block=block, extra=["a", "b", "g"])
+
+
+# ---------------------------------------------------------------- many observations, few columns
+
+
+def column_correlations(rows: DataFrame, vec: str, keys=("snapshot",)) -> DataFrame:
+    """Correlation of the positions of an array column over arbitrarily many rows per key.
+
+    Every task folds its rows into one moment table per key, so a key holding
+    most of the data is summed where it lies; only moments are shuffled.
+    """
+    k = list(keys)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in k)
+
+    def fold(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(k):
+                m = np.vstack(part[vec]).astype(float)
+                m = np.column_stack([np.ones(len(m)), m])
+                acc[key] = acc.get(key, 0.0) + m.T @ m
+        for key, g in acc.items():
+            a, b = np.triu_indices(len(g))
+            yield pd.DataFrame({**dict(zip(k, key)), "a": a, "b": b, "s": g[a, b]})
+
+    mom = rows.select(*k, vec).mapInPandas(fold, f"{kinds}, a int, b int, s double").groupBy(*k, "a", "b").agg(F.sum("s").alias("s"))
+    n = mom.where("a = 0 AND b = 0").select(*k, F.col("s").alias("n"))
+    one = mom.where("a = 0 AND b > 0").select(*k, F.col("b").alias("c"), F.col("s").alias("m1"))
+    sq = mom.where("a = b AND a > 0").select(*k, F.col("a").alias("c"), F.col("s").alias("m2"))
+    stat = one.join(sq, k + ["c"])
+
+    def side(name):
+        return stat.select(*k, F.col("c").alias(name), F.col("m1").alias(f"{name}1"), F.col("m2").alias(f"{name}2"))
+
+    t = mom.where("a > 0 AND a < b").join(n, k).join(side("a"), k + ["a"]).join(side("b"), k + ["b"])
+    cov = F.col("s") - F.col("a1") * F.col("b1") / F.col("n")
+    var = (F.col("a2") - F.col("a1") * F.col("a1") / F.col("n")) * (F.col("b2") - F.col("b1") * F.col("b1") / F.col("n"))
+    return t.select(*k, F.col("a").alias("i"), F.col("b").alias("j"), (cov / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))).alias("v"))

@@ -232,6 +232,20 @@ def union_keep_first(first: DataFrame, second: DataFrame, keys=("asset",)) -> Da
     return first.unionByName(second.join(first.select(*keys).distinct(), list(keys), "left_anti"))
 
 
+def augment(panel: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append further assets on the panel's own calendar.
+
+    Also returns the problems as rows ``(problem, asset)``: labels present on
+    both sides, and added assets without a single date on the calendar.
+    """
+    days = panel.select("date").distinct()
+    fitted = extra.join(days, "date", "left_semi").select(*panel.columns)
+    both = panel.withColumn("segment", F.lit("panel")).unionByName(fitted.withColumn("segment", F.lit("added")))
+    clash = extra.select("asset").distinct().intersect(panel.select("asset").distinct()).select(F.lit("overlap").alias("problem"), "asset")
+    lost = extra.select("asset").distinct().join(fitted.select("asset").distinct(), "asset", "left_anti").select(F.lit("off_calendar").alias("problem"), "asset")
+    return both, clash.unionByName(lost)
+
+
 def mask_by_source(panel: DataFrame, source: str, keep: list[str], value: str) -> DataFrame:
     """Null ``value`` outside the listed provenance labels."""
     return panel.withColumn(value, F.when(F.col(source).isin(keep), F.col(value)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremora.session import attach
+from tremora.session import attach, global_rank
 
 
 def top_by(ranking: DataFrame, n: int, measure: str, largest: bool = True) -> DataFrame:
@@ -19,21 +19,16 @@ def top_by(ranking: DataFrame, n: int, measure: str, largest: bool = True) -> Da
 
 def adv_quintile(adv: DataFrame, n: int, which: int) -> DataFrame:
     """Slice ``which`` (1 = most liquid) of five; the last slice takes the remainder.
-
-    The slice bounds come from exact ranks: a range-partitioned sort plus
-    per-partition offsets would only pay off above the universe sizes a network
-    can hold, so the rank window runs over the one-row-per-asset table.
     """
     if which not in (1, 2, 3, 4, 5):
         raise ValueError(f"quintile must be 1..5, got {which}")
-    w = Window.orderBy(F.desc("adv"), "asset")
     total = adv.agg(F.count("*").alias("total"))
     size = F.greatest(F.lit(1), F.expr("total DIV 5"))
     start = F.lit(which - 1) * size
     end = start + size if which < 5 else F.col("total")
     stop = F.least(end, start + F.lit(n))
     return (
-        attach(adv.withColumn("rank0", F.row_number().over(w) - 1), total)
+        attach(global_rank(adv, F.desc("adv"), F.asc("asset")), total)
         .where((F.col("rank0") >= start) & (F.col("rank0") < stop)).select("asset", "adv", "rank0")
     )
 

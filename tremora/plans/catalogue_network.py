@@ -139,7 +139,7 @@ def neg_second_moment(spark, sf):
     return A.pair_values(vecs(spark, sf), A.second_moment_block, diagonal=True).withColumn("v", F.round("v", 7))
 
 
-@query("threshold_topk", "SELECT snapshot, i, j, round(v, 6) AS v, rank::INT AS rank FROM strong", ["strong"])
+@query("threshold_topk", "SELECT snapshot, i, j, round(v, 6) AS v FROM strong", ["strong"])
 def threshold_topk(spark, sf):
     v = vecs(spark, sf)
     return A.strongest_pairs(v, A.edge_budget(v, density=DENSITY)).withColumn("v", F.round("v", 6))
@@ -155,7 +155,7 @@ JOIN (SELECT snapshot, count(*) AS p FROM (SELECT snapshot, asset, count(*) AS n
 
 
 @query("supplier_pairs_topk", """
-SELECT snapshot, i, j, round(r, 6) AS v, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY abs(r) DESC, i, j) AS rn,
+SELECT snapshot, i, j, round(r, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY abs(r) DESC, i, j) AS rn,
     min(p) OVER () AS p0 FROM (
   SELECT a.snapshot, a.asset AS i, b.asset AS j, corr(a.x, b.x) AS r, any_value(p) AS p FROM scc a JOIN scc b
     ON a.snapshot = b.snapshot AND a.date = b.date AND a.asset < b.asset JOIN (SELECT snapshot, count(DISTINCT asset) AS p FROM scc GROUP BY 1) s ON s.snapshot = a.snapshot GROUP BY 1, 2, 3))
@@ -192,19 +192,14 @@ def shrinkage_tiers(spark, sf):
 
 
 @query("corr_embeddings", """
-SELECT count(*)::BIGINT AS n_pairs, round(avg(r), 5) AS mean_corr, round(max(r), 5) AS max_corr, round(min(r), 5) AS min_corr FROM (
-  SELECT corr(a.v, b.v) AS r FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) a
+SELECT a.label AS snapshot, a.d::INT AS i, b.d::INT AS j, round(corr(a.v, b.v), 5) + 0.0::DOUBLE AS v FROM
+  (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) a
   JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) b
-  ON a.d = b.d AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id)""")
+  ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY 1, 2, 3""")
 def corr_embeddings(spark, sf):
-    w = Window.partitionBy("snapshot")
-    v = (
-        D.table(spark, sf, "embeddings").withColumn("snapshot", F.lit("all"))
-        .select("snapshot", F.col("vec_id").alias("asset"), F.col("embedding").cast("array<double>").alias("vec"))
-        .withColumn("idx", (F.row_number().over(w.orderBy("asset")) - 1).cast("int")).withColumn("p", F.count("*").over(w).cast("int"))
-    )
-    return A.pair_values(v).agg(F.count("*").alias("n_pairs"), F.round(F.avg("v"), 5).alias("mean_corr"),
-                                F.round(F.max("v"), 5).alias("max_corr"), F.round(F.min("v"), 5).alias("min_corr"))
+    """Correlation of the embedding dimensions over all rows of a label."""
+    e = D.table(spark, sf, "embeddings").select(F.col("label").alias("snapshot"), "embedding")
+    return A.column_correlations(e, "embedding").withColumn("v", X.rnd("v", 5))
 
 
 # ------------------------------------------------------------------ direction
@@ -513,6 +508,51 @@ def glasso_kmin_sweep(spark, sf):
     return out
 
 
+@query("glasso_kmin_downstream")
+def glasso_kmin_downstream(spark, sf):
+    """Edge floors p/2, p and 2p carried through direction, PageRank and the index, keyed by floor."""
+    sizes = sparse.window_sizes(D.window_panel(spark, sf))
+    s = sparse.shrunk(A.pair_values(vecs(spark, sf)), sizes)
+    return sparse_floor_sweep(spark, sf, s)
+
+
+def sparse_floor_sweep(spark, sf, s):
+    from tremora.operators import stress as T
+    from tremora.session import materialize
+
+    entries, summary = sparse.fit_grid(materialize(s, "km-s"), nodes(spark, sf), sparse.lambda_grid())
+    sel = None
+    grid = sparse.ebic(summary, sparse.window_sizes(D.window_panel(spark, sf)))
+    for name, floor in (("half", F.expr("p DIV 2")), ("one", F.col("p")), ("double", 2 * F.col("p"))):
+        t = sparse.select_lambda(grid, k_min=floor).select("snapshot", "lam", "k", F.lit(name).alias("k_min"))
+        sel = t if sel is None else sel.unionByName(t)
+    sel = materialize(sel, "km-sel")
+    label = F.concat_ws("|", "k_min", "snapshot")
+    edges = sparse.partial_correlations(entries.join(sel, ["snapshot", "lam"]).withColumn("snapshot", label).select("snapshot", "lam", "i", "j", "omega"))
+    jobs = sel.select("k_min", "snapshot", "lam", "k")
+    vec = vecs(spark, sf).join(jobs.select("snapshot", "k_min"), "snapshot").withColumn("snapshot", label).drop("k_min")
+    near = A.strongest_neighbours(vecs(spark, sf), C.N_CONTROLS + 1).join(jobs.select("snapshot", "k_min"), "snapshot").withColumn("snapshot", label).drop("k_min")
+    ev = E.evidence(E.ordered_tests(edges.withColumn("weight", F.abs("partial_corr")), vec, near))
+    a = materialize(E.arcs(E.decide(E.with_rule(ev, alpha=ALPHA))), "km-arcs")
+    n = vec.select("snapshot", F.col("asset").alias("node"))
+    wide = (
+        jobs.withColumn("window", F.col("snapshot")).withColumn("snapshot", label).join(D.snapshots(spark).select(F.col("snapshot").alias("window"), "regime"), "window")
+        .join(G.mean_degree(a, n), "snapshot").join(A.mean_correlation(vecs(spark, sf)).select(F.col("snapshot").alias("window"), "mean_corr"), "window")
+        .join(G.concentration(G.pagerank(a, n)).select("snapshot", F.col("hhi_top").alias("hhi_top10")), "snapshot")
+        .join(G.triad_counts(a).select("snapshot", F.col("n_030t").cast("double").alias("z_ffl")), "snapshot", "left")
+    )
+    return T.snapshot_index(wide, by=("k_min",)).select("k_min", "window", "regime", "lam", "k", "n_edges", "nsi")
+
+
+@query("solver_iterations")
+def solver_iterations(spark, sf):
+    """Rounds used by the penalised fits at the chosen penalty and by PageRank."""
+    _, sel, grid = _sparse(spark, sf)
+    fit = grid.join(sel.select("snapshot", "lam"), ["snapshot", "lam"]).select("snapshot", "lam", F.col("n_iter").alias("glasso_iter"), "violation")
+    pr = G.pagerank(arcs(spark, sf), nodes(spark, sf)).groupBy("snapshot").agg(F.max("n_iter").alias("pagerank_iter"))
+    return fit.join(pr, "snapshot", "left")
+
+
 @query("louvain")
 def louvain(spark, sf):
     return community.louvain(G.undirected(arcs(spark, sf)), nodes(spark, sf))

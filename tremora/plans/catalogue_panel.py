@@ -310,20 +310,55 @@ def alive_counts(spark, sf):
 
 
 @query("key_valid_asof", """
-SELECT o_custkey AS permno, o_orderkey AS name_id FROM (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS namedt,
-  lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders)
-WHERE namedt <= DATE '1998-06-30' AND coalesce(nxt, DATE '2100-01-01') > DATE '1998-06-30'""")
+SELECT o_custkey AS permno, o_orderkey AS name_id FROM orders
+WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-30' AND CAST(o_orderdate AS DATE) + 180 >= DATE '1998-06-30'""")
 def key_valid_asof(spark, sf):
     from tremora.sources.daily import valid_at
 
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     d = F.col("o_orderdate").cast("date")
     names = D.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("permno"), F.col("o_orderkey").alias("name_id"), d.alias("namedt"),
-        F.date_sub(F.coalesce(F.lead(d).over(w), F.lit("2100-01-01").cast("date")), 1).alias("nameenddt"))
+        F.col("o_custkey").alias("permno"), F.col("o_orderkey").alias("name_id"), d.alias("namedt"), F.date_add(d, 180).alias("nameenddt"))
     return valid_at(names, "1998-06-30").select("permno", "name_id")
 
 
+@query("semi_join_members", """
+SELECT l_suppkey AS permno, count(*)::BIGINT AS n_rows, round(sum(l_quantity), 2) AS vol FROM lineitem
+WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1""")
+def semi_join_members(spark, sf):
+    from tremora.sources.daily import for_members
+
+    facts = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("permno"), "l_quantity")
+    members = D.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("permno"))
+    return for_members(facts, members).groupBy("permno").agg(F.count("*").alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("vol"))
+
+
+@query("pivot_wide", "SELECT date, " + ", ".join(f"round(sum(price) FILTER (WHERE asset = {k}), 2) AS n{k}" for k in range(5)) + " FROM nweek WHERE asset < 5 GROUP BY 1", ["nweek"])
+def pivot_wide(spark, sf):
+    """Wide form of a few named assets, for interchange only; operators stay long."""
+    p = D.nation_weeks(spark, sf).where("asset < 5").withColumn("c", F.concat(F.lit("n"), F.col("asset").cast("string")))
+    wide = p.groupBy("date").pivot("c", [f"n{k}" for k in range(5)]).agg(F.first("price"))
+    return wide.select("date", *[F.round(f"n{k}", 2).alias(f"n{k}") for k in range(5)])
+
+
+@query("augment_panel", """
+SELECT asset, count(*)::BIGINT AS n_obs, min(date) AS first_date, segment FROM (
+  SELECT asset::VARCHAR AS asset, date, 'panel' AS segment FROM nweek
+  UNION ALL SELECT 'S' || s.asset, s.date, 'added' FROM sweek s WHERE asset % 10 = 0 AND date IN (SELECT date FROM nweek)) GROUP BY 1, 4""", ["nweek", "sweek"])
+def augment_panel(spark, sf):
+    base = D.nation_weeks(spark, sf).select(F.col("asset").cast("string").alias("asset"), "date", "price")
+    extra = D.supplier_weeks(spark, sf).where("asset % 10 = 0").select(F.concat(F.lit("S"), F.col("asset").cast("string")).alias("asset"), "date", "price")
+    both, _ = P.augment(base, extra)
+    return both.groupBy("asset", "segment").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"))
+
+
+@query("mask_by_source", """
+SELECT l_suppkey AS asset, count(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity END)::BIGINT AS n_kept, count(*)::BIGINT AS n_rows FROM lineitem GROUP BY 1""")
+def mask_by_source(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("asset"), "l_returnflag", "l_quantity")
+    return P.mask_by_source(rows, "l_returnflag", ["A", "R"], "l_quantity").groupBy("asset").agg(
+        F.count("l_quantity").alias("n_kept"), F.count("*").alias("n_rows"))
+
+
 @query("membership_overlap", """
 SELECT permno, count(*)::BIGINT AS n_spells, min(d0) AS first_start FROM (
   SELECT o_custkey AS permno, CAST(o_orderdate AS DATE) AS d0, CAST(o_orderdate AS DATE) + 90 AS d1 FROM orders)

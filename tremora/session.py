@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -99,3 +99,20 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate, which is one row by construction, to every row."""
     k = "_all"
     return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+
+
+def global_rank(df: DataFrame, *order, name: str = "rank0") -> DataFrame:
+    """Exact zero-based rank over a whole table without a single-task window.
+
+    Rows are range-partitioned by the order columns and written with their
+    partition number, so counts and ranks read the same cut; each partition then
+    ranks its own rows on top of the rows before it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "rank")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offset = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return cut.join(offset, "_part").withColumn(
+        name, (F.col("_skip") + F.row_number().over(inside) - 1).cast("int")).drop("_part", "_skip")
