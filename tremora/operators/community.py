@@ -20,7 +20,7 @@ def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float, m
 
     In every round half of the nodes (chosen by hash) may join the neighbouring
     community of largest gain. Two singletons only merge towards the smaller
-    label, which rules out swapping. After ``settle`` rounds a remainder of 0.2 %
+    label, which rules out swapping. After ``settle`` rounds a remainder of 1 %
     undecided nodes is left to the next level.
     """
     total = edges.groupBy(*k).agg((F.sum("weight") * 2).alias("m2"))
@@ -54,7 +54,7 @@ def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float, m
         st, seen = materialize_with(best.withColumn("want", want).select(
             *k, "node", F.when(F.col("want") & turn, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", "m2", "want"), "lm",
             n=F.count(F.lit(1)), wants=F.count(F.when(F.col("want"), 1)))
-        if seen["wants"] <= (0 if rnd < settle else 0.002 * seen["n"]):
+        if seen["wants"] <= (0 if rnd < settle else 0.01 * seen["n"]):
             break
     return st.select(*k, "node", F.col("c").alias("community"))
 

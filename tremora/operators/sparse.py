@@ -189,14 +189,19 @@ def partial_correlations(entries: DataFrame) -> DataFrame:
     )
 
 
+def choose_edges(entries: DataFrame, summary: DataFrame, sizes: DataFrame, early_stop: bool = False):
+    """Selection and weighted edges from solved grids. Returns ``(edges, selection, scored grid)``."""
+    scored = materialize(ebic(summary, sizes), "gl-score")
+    sel = materialize(select_lambda(scored, early_stop=early_stop), "gl-sel")
+    chosen = entries.join(sel.where("status = 'ok'").select("snapshot", "lam"), ["snapshot", "lam"])
+    edges = partial_correlations(chosen).withColumn("weight", F.abs("partial_corr"))
+    return edges, sel, scored
+
+
 def sparse_network(pairs: DataFrame, panel: DataFrame, lambdas: list[float] | None = None, early_stop: bool = False):
     """Correlation pairs to weighted edges. Returns ``(edges, selection, scored grid)``."""
     sizes = materialize(window_sizes(panel), "gl-size")
     s = materialize(shrunk(pairs, sizes), "gl-s")
     nodes = panel.select("snapshot", F.col("asset").alias("node")).distinct()
     entries, summary = fit_grid(s, nodes, lambdas or lambda_grid())
-    scored = materialize(ebic(summary, sizes), "gl-score")
-    sel = materialize(select_lambda(scored, early_stop=early_stop), "gl-sel")
-    chosen = entries.join(sel.where("status = 'ok'").select("snapshot", "lam"), ["snapshot", "lam"])
-    edges = partial_correlations(chosen).withColumn("weight", F.abs("partial_corr"))
-    return edges, sel, scored
+    return choose_edges(entries, summary, sizes, early_stop)

@@ -173,7 +173,7 @@ def rolling_window_corr(spark, sf):
 
 @query("rolling_nsi")
 def rolling_nsi(spark, sf):
-    return T.rolling_index(D.returns(spark, sf), D.weeks(spark, sf), WINDOW, STEP)
+    return D.stage(spark, sf, "rolling_nsi", lambda s, f: T.rolling_index(D.returns(s, f), D.weeks(s, f), WINDOW, STEP))
 
 
 cte("joint", "SELECT date, mean_corr AS nsi, close, row_number() OVER (ORDER BY date) - 1 AS pos FROM roll JOIN bench USING (date)", ["roll", "bench"])

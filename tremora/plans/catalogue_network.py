@@ -466,16 +466,25 @@ def adcc_fold_rbar(spark, sf):
 
 
 # ------------------------------------------------------------------ iterative and random operators
-def _sparse(spark, sf):
-    def build(name):
-        def inner(s, f):
-            key = (s.sparkContext.applicationId, f)
-            if key not in _FITS:
-                _FITS[key] = sparse.sparse_network(A.pair_values(vecs(s, f)), D.window_panel(s, f))
-            return _FITS[key][name]
-        return inner
+def _sizes(spark, sf):
+    return D.stage(spark, sf, "sparse-size", lambda s, f: sparse.window_sizes(D.window_panel(s, f)))
+
+
+def solved(spark, sf):
+    """Solved penalty grid: support entries and one summary row per window and penalty."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        s = D.stage(spark, sf, "sparse-s", lambda s, f: sparse.shrunk(A.pair_values(vecs(s, f)), _sizes(s, f)))
+        entries, summary = sparse.fit_grid(s, nodes(spark, sf), sparse.lambda_grid())
+        _FITS[key] = (D.stage(spark, sf, "sparse-entries", lambda *_: entries), D.stage(spark, sf, "sparse-summary", lambda *_: summary))
+    return _FITS[key]
+
 
-    return [D.stage(spark, sf, n, build(i)) for i, n in enumerate(("sparse-edges", "sparse-selection", "sparse-grid"))]
+def _sparse(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "chosen")
+    if key not in _FITS:
+        _FITS[key] = sparse.choose_edges(*solved(spark, sf), _sizes(spark, sf))
+    return _FITS[key]
 
 
 _FITS: dict = {}
@@ -483,8 +492,7 @@ _FITS: dict = {}
 
 @query("glasso_edges")
 def glasso_edges(spark, sf):
-    edges, _, _ = sparse.sparse_network(A.pair_values(vecs(spark, sf)), D.window_panel(spark, sf))
-    return edges
+    return _sparse(spark, sf)[0]
 
 
 @query("glasso_selection")
@@ -511,18 +519,11 @@ def glasso_kmin_sweep(spark, sf):
 @query("glasso_kmin_downstream")
 def glasso_kmin_downstream(spark, sf):
     """Edge floors p/2, p and 2p carried through direction, PageRank and the index, keyed by floor."""
-    sizes = sparse.window_sizes(D.window_panel(spark, sf))
-    s = sparse.shrunk(A.pair_values(vecs(spark, sf)), sizes)
-    return sparse_floor_sweep(spark, sf, s)
-
-
-def sparse_floor_sweep(spark, sf, s):
     from tremora.operators import stress as T
     from tremora.session import materialize
 
-    entries, summary = sparse.fit_grid(materialize(s, "km-s"), nodes(spark, sf), sparse.lambda_grid())
-    sel = None
-    grid = sparse.ebic(summary, sparse.window_sizes(D.window_panel(spark, sf)))
+    entries, sel = solved(spark, sf)[0], None
+    grid = _sparse(spark, sf)[2]
     for name, floor in (("half", F.expr("p DIV 2")), ("one", F.col("p")), ("double", 2 * F.col("p"))):
         t = sparse.select_lambda(grid, k_min=floor).select("snapshot", "lam", "k", F.lit(name).alias("k_min"))
         sel = t if sel is None else sel.unionByName(t)
@@ -560,7 +561,7 @@ def louvain(spark, sf):
 
 @query("er_null_z")
 def er_null_z(spark, sf):
-    return nulls.er_test(arcs(spark, sf), nodes(spark, sf))
+    return D.stage(spark, sf, "er", lambda s, f: nulls.er_test(arcs(s, f), nodes(s, f)))
 
 
 @query("motif_z")
@@ -570,4 +571,4 @@ def motif_z(spark, sf):
 
 @query("density_matched")
 def density_matched(spark, sf):
-    return nulls.threshold_quality(strong(spark, sf), nodes(spark, sf), D.sectors(spark, sf))
+    return D.stage(spark, sf, "density_matched", lambda s, f: nulls.threshold_quality(strong(s, f), nodes(s, f), D.sectors(s, f)))

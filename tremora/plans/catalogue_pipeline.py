@@ -61,8 +61,11 @@ def pipeline_volume_weighted(spark, sf):
 @query("panel_sweep")
 def panel_sweep(spark, sf):
     """Threshold networks and index for panel sizes and selection rules, all jobs in one plan."""
-    return sweep.run(D.returns(spark, sf), D.weeks(spark, sf), D.snapshots(spark), D.sectors(spark, sf), sweep_adv(spark, sf),
-                     sizes=(12, 20, 25), kinds=("coverage", "adv", "bottom_adv", "bottom_coverage"))
+    def build(s, f):
+        return sweep.run(D.returns(s, f), D.weeks(s, f), D.snapshots(s), D.sectors(s, f), sweep_adv(s, f),
+                         sizes=(12, 20, 25), kinds=("coverage", "adv", "bottom_adv", "bottom_coverage"))
+
+    return D.stage(spark, sf, "sweep", build)
 
 
 def sweep_adv(spark, sf):
@@ -72,12 +75,12 @@ def sweep_adv(spark, sf):
 @query("sweep_max_gap")
 def sweep_max_gap(spark, sf):
     """Largest index gap between coverage and volume panels of equal size, with its window."""
-    return sweep.largest_gap(D.stage(spark, sf, "sweep", panel_sweep))
+    return sweep.largest_gap(panel_sweep(spark, sf))
 
 
 @query("sweep_decile_summary")
 def sweep_decile_summary(spark, sf):
-    return sweep.decile_summary(D.stage(spark, sf, "sweep", panel_sweep))
+    return sweep.decile_summary(panel_sweep(spark, sf))
 
 
 @query("invariant_checks", """
@@ -117,8 +120,8 @@ def report_motif_profile(spark, sf):
 
 @query("report_robustness")
 def report_robustness(spark, sf):
-    p = pipeline(spark, sf)
-    return p.clustering().select("snapshot", "z_c").join(p.density_matched().select("snapshot", "q", "q_random", "q_rel"), "snapshot")
+    return N.er_null_z(spark, sf).select("snapshot", "z_c").join(
+        N.density_matched(spark, sf).select("snapshot", "q", "q_random", "q_rel"), "snapshot")
 
 
 @query("report_lambda_diagnostic")
@@ -196,7 +199,7 @@ def report_raw_channels(spark, sf):
 @query("report_sweep_grid")
 def report_sweep_grid(spark, sf):
     """Index by window with one column per selection rule and size."""
-    t = D.stage(spark, sf, "sweep", panel_sweep).withColumn("job", F.concat_ws("_", "kind", F.col("n").cast("string")))
+    t = panel_sweep(spark, sf).withColumn("job", F.concat_ws("_", "kind", F.col("n").cast("string")))
     return t.groupBy("snapshot").pivot("job", [f"{k}_{n}" for k in ("coverage", "adv") for n in (12, 20, 25)]).agg(F.first("nsi"))
 
 
@@ -213,7 +216,7 @@ def rolling_channel_diagnostics(spark, sf):
     """Each rolling channel against the benchmark at its nearest date, contemporaneous and lagged."""
     from tremora.operators import asof
 
-    roll = D.stage(spark, sf, "rolling_nsi", I.rolling_nsi).select("date", "nsi", "modularity", "mean_corr", "density")
+    roll = I.rolling_nsi(spark, sf).select("date", "nsi", "modularity", "mean_corr", "density")
     m = asof.nearest(roll, D.benchmark_daily(spark, sf)).withColumn("close", F.col("m.close"))
     m = m.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
     out = None
