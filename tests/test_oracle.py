@@ -36,3 +36,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_shipdate" in plan
     scan = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "l_comment" not in scan and "l_tax" not in scan and "l_quantity" not in scan
+
+
+def test_workers_do_not_need_the_package_on_their_path():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(E.__file__).resolve().parent
+    code = ("import importlib.util as u, sys\n"
+            "from pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            f"spec = u.spec_from_file_location('__spark_entry__', r'{root}/__spark_entry__.py')\n"
+            "m = u.module_from_spec(spec); spec.loader.exec_module(m)\n"
+            "assert m.entry(spark).count() > 0\n")
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def betainc(a, b, x):

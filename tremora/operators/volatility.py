@@ -79,7 +79,8 @@ def _natural(theta: np.ndarray):
     return mu, omega, persistence * share, persistence * (1 - share), 2.05 + np.exp(np.clip(theta[:, 4], -10, 6))
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def fit_garch(y: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
