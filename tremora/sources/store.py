@@ -63,8 +63,8 @@ def write_table(df: DataFrame, path: str, fmt: str) -> None:
 
 
 def latex_macros(values: DataFrame, prefix: str = "") -> str:
-    """One ``\\newcommand`` per ``(name, value)`` row of a small report table."""
-    rows = values.select(F.regexp_replace("name", "[^A-Za-z]", "").alias("n"), F.col("value").cast("string").alias("v")).orderBy("n").limit(10_000).collect()
+    """One ``\\newcommand`` per ``(name, value)`` row of a report table (one row per macro)."""
+    rows = values.select(F.regexp_replace("name", "[^A-Za-z]", "").alias("n"), F.col("value").cast("string").alias("v")).orderBy("n").collect()
     return "".join(f"\\newcommand{{\\{prefix}{r['n']}}}{{{r['v']}}}\n" for r in rows)
 
 
