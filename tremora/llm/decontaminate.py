@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,3 +145,16 @@ def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         rows = rows.mapInPandas(match, rows.schema)
         block = after
     return rows.select("doc_id", (F.size("item_ids") == 0).alias("kept"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "distances")
+
+
+def clean(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+          chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``df``, unchanged, that hold no test item."""
+    for block in item_blocks(items, item_key, item_text, block_chars):
+        def keep(batches, block=block):
+            matcher = Matcher(block, chars_per_edit)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(t) for t in b.column(text).to_pylist()], pa.bool_()))
+
+        df = df.mapInArrow(keep, df.schema)
+    return df

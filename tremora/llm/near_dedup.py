@@ -170,3 +170,14 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     out = out.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, unchanged, without the documents whose group has a smaller id; a repeated row stays once."""
+    groups, _ = stage(near_groups(df, key, text, n, percent).where("doc_id IS NOT NULL"), "near-groups")
+    seen = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many"))
+    gone = few(seen.where("NOT kept").select(F.col("doc_id").alias("_gone")))
+    twice = few(seen.where("kept AND many > 1").select(F.col("doc_id").alias("_twice")))
+    rest = df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    once = rest.join(twice, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key, text])
+    return rest.join(twice, F.col(key) == F.col("_twice"), "left_anti").unionByName(once)
