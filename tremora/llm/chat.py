@@ -94,7 +94,7 @@ def format_chat(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     ``parts`` of another type than ``PARTS`` is read as absent, other columns are
     not read, and an empty table gives an empty result.
     """
-    typed = "parts" in df.columns and df.select(F.col("parts").cast(PARTS)).schema["parts"].dataType == df.schema["parts"].dataType
+    typed = "parts" in df.columns and df.schema["parts"].dataType.simpleString() == PARTS.replace(" ", "")
     text = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"),
                             F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"),
                             F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages")))

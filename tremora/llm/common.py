@@ -37,6 +37,16 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``ids`` (one number a row) marked for broadcast where a count shows at most ``most`` rows; else joined by shuffle."""
     ids, _ = stage(ids, "ids")

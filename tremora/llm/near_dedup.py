@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import Words, components, discard, few, mix, shingle_sets, slices, stage
+from tremora.llm.common import Words, components, discard, few, fresh, mix, shingle_sets, slices, stage
 
 PERMUTATIONS = 120
 ROWS = 6
@@ -176,8 +176,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """The rows of ``df``, unchanged, without the documents whose group has a smaller id; a repeated row stays once."""
     groups, _ = stage(near_groups(df, key, text, n, percent).where("doc_id IS NOT NULL"), "near-groups")
     seen = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many"))
-    gone = few(seen.where("NOT kept").select(F.col("doc_id").alias("_gone")))
-    twice = few(seen.where("kept AND many > 1").select(F.col("doc_id").alias("_twice")))
-    rest = df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    once = rest.join(twice, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key, text])
-    return rest.join(twice, F.col(key) == F.col("_twice"), "left_anti").unionByName(once)
+    lost, again = fresh(df, "_gone", "_twice")
+    gone = few(seen.where("NOT kept").select(F.col("doc_id").alias(lost)))
+    twice = few(seen.where("kept AND many > 1").select(F.col("doc_id").alias(again)))
+    rest = df.join(gone, F.col(key) == F.col(lost), "left_anti")
+    once = rest.join(twice, F.col(key) == F.col(again), "left_semi").dropDuplicates([key, text])
+    return rest.join(twice, F.col(key) == F.col(again), "left_anti").unionByName(once)
