@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.operators.graph import KEYS
 from tremora.session import materialize, materialize_with
 
+SETTLE = 6
+MOST_ROUNDS = 500
+
 
 def _strength(edges: DataFrame, k: list[str]) -> DataFrame:
     """Weighted degree per node; a self loop counts twice."""
@@ -15,13 +20,15 @@ def _strength(edges: DataFrame, k: list[str]) -> DataFrame:
     return edges.select(*k, "weight", ends.alias("node")).groupBy(*k, "node").agg(F.sum("weight").alias("k"))
 
 
-def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float, max_rounds: int, settle: int = 8) -> DataFrame:
+def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float) -> DataFrame:
     """Local moving on one level; returns ``(keys, node, community)``.
 
-    In every round half of the nodes (chosen by hash) may join the neighbouring
-    community of largest gain. Two singletons only merge towards the smaller
-    label, which rules out swapping. After ``settle`` rounds a remainder of 1 %
-    undecided nodes is left to the next level.
+    In every round a part of the nodes (chosen by hash, fewer as rounds go by) may
+    join the neighbouring community of largest gain. Two singletons only merge
+    towards the smaller label, which rules out swapping. Rounds go on until no node
+    of any graph gains; a graph without a gain stays as it is, so its labels do not
+    depend on the other graphs of the job. Gains are compared to nine decimals,
+    above the noise of the order in which they were summed.
     """
     total = edges.groupBy(*k).agg((F.sum("weight") * 2).alias("m2"))
     st = nodes.join(_strength(edges, k), k + ["node"], "left").join(total, k, "left").select(
@@ -31,7 +38,7 @@ def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float, m
     nb = edges.where("a <> b")
     ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
     nb = materialize(nb.select(*k, "weight", ends.alias("e")).select(*k, "e.u", "e.v", "weight"), "lm-nb")
-    for rnd in range(max_rounds):
+    for rnd in count():
         tot = st.groupBy(*k, "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
         to = nb.join(st.select(*k, F.col("node").alias("v"), "c"), k + ["v"]).select(*k, F.col("u").alias("node"), "c", "weight")
         own = st.select(*k, "node", "c", F.lit(0.0).alias("weight"))
@@ -43,24 +50,25 @@ def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float, m
         here = F.col("c") == F.col("own")
         gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")
         best = (
-            cand.withColumn("gain", gain).groupBy(*k, "node").agg(
+            cand.withColumn("gain", F.round(gain, 9)).groupBy(*k, "node").agg(
                 F.max(F.struct(F.col("gain"), (-F.col("c")).alias("neg"), F.col("c"), F.col("size"))).alias("b"),
                 F.max(F.when(here, F.col("gain"))).alias("g0"), F.max(F.when(here, F.col("size"))).alias("s0"),
                 F.first("own").alias("own"), F.first("k").alias("k"), F.first("m2").alias("m2"))
         )
         merge_up = (F.col("s0") == 1) & (F.col("b.size") == 1) & (F.col("b.c") > F.col("own"))
-        want = (F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0") + 1e-12) & ~merge_up
-        turn = F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(2)) == 0
+        want = (F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0")) & ~merge_up
+        turn = F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(2 + rnd // SETTLE)) == 0
         st, seen = materialize_with(best.withColumn("want", want).select(
             *k, "node", F.when(F.col("want") & turn, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", "m2", "want"), "lm",
-            n=F.count(F.lit(1)), wants=F.count(F.when(F.col("want"), 1)))
-        if seen["wants"] <= (0 if rnd < settle else 0.01 * seen["n"]):
+            wants=F.count(F.when(F.col("want"), 1)))
+        if seen["wants"] == 0:
             break
+        if rnd >= MOST_ROUNDS:
+            raise RuntimeError(f"{seen['wants']} nodes still move after {rnd} rounds")
     return st.select(*k, "node", F.col("c").alias("community"))
 
 
-def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0,
-            max_levels: int = 8, max_rounds: int = 24) -> DataFrame:
+def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0) -> DataFrame:
     """Community label per node.
 
     Levels alternate local moving and contraction of communities to weighted
@@ -69,8 +77,8 @@ def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0
     k = list(keys)
     member = nodes.select(*k, "node", F.col("node").alias("community"))
     edges, level_nodes = und.select(*k, "a", "b", "weight"), nodes.select(*k, "node")
-    for level in range(max_levels):
-        part, seen = materialize_with(_move(edges, level_nodes, k, resolution, max_rounds), "lv",
+    while True:
+        part, seen = materialize_with(_move(edges, level_nodes, k, resolution), "lv",
                                       moved=F.count(F.when(F.col("node") != F.col("community"), 1)))
         step = part.withColumnRenamed("community", "next").withColumnRenamed("node", "community")
         member = materialize(member.join(step, k + ["community"]).select(*k, "node", F.col("next").alias("community")), "lv-member")

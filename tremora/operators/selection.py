@@ -62,28 +62,29 @@ def mle_subset(returns: DataFrame, cal: DataFrame, size: int = 100, full: float
     )
 
 
-def stratified_subset(assets: DataFrame, k: int, seed: int) -> DataFrame:
-    """Proportional quota per sector (floor, at least one), largest remainders fill up.
+def sector_quotas(sizes: DataFrame, k: int) -> DataFrame:
+    """``sector, size, quota``: shares of ``k`` by size, at least one and at most the size each.
 
-    Quotas are arithmetic on one row per sector; the draw orders each sector by
-    a seeded hash, so it does not depend on partitioning.
+    A shortfall goes to sectors with room in order of their fractional share, each
+    filled up before the next. A surplus is taken off the tallest quotas one at a
+    time, never below one. The quotas add up to ``k`` if ``k`` assets exist and no
+    more sectors than ``k``.
     """
-    sizes = assets.groupBy("sector").agg(F.count("*").alias("size"))
-    all_ = Window.partitionBy(F.lit(1))
-    share = F.col("size") * F.lit(float(k)) / F.sum("size").over(all_)
-    q = (
-        sizes.withColumn("share", share)
-        .withColumn("base", F.least(F.col("size"), F.greatest(F.lit(1), F.floor("share"))))
-        .withColumn("over", F.sum("base").over(all_) - F.lit(k))
-    )
-    up = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("share") - F.floor("share")), "sector")
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("base"), "sector")
-    q = (
-        q.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
-        .withColumn("quota", F.when((F.col("over") < 0) & (F.col("up") <= -F.col("over")), F.col("base") + 1)
-                    .when((F.col("over") > 0) & (F.col("down") <= F.col("over")), F.col("base") - 1)
-                    .otherwise(F.col("base")))
-    )
+    one = Window.partitionBy(F.lit(1))  # one row per sector
+    q = sizes.withColumn("share", F.col("size") * F.lit(float(k)) / F.sum("size").over(one))
+    q = q.withColumn("base", F.least(F.col("size"), F.greatest(F.lit(1), F.floor("share"))))
+    q = q.withColumn("over", F.sum("base").over(one) - F.lit(k)).withColumn("room", F.col("size") - F.col("base"))
+    up = one.orderBy(F.desc(F.col("share") - F.floor("share")), F.desc("size"), "sector").rowsBetween(Window.unboundedPreceding, -1)
+    q = q.withColumn("add", F.greatest(F.lit(0), F.least(F.col("room"), -F.col("over") - F.coalesce(F.sum("room").over(up), F.lit(0)))))
+    slots = q.where("over > 0 AND base > 1").select("sector", "size", "over", F.explode(F.sequence(F.lit(2).cast("long"), F.col("base"))).alias("height"))
+    tall = Window.partitionBy(F.lit(1)).orderBy(F.desc("height"), F.desc("size"), "sector")  # at most k rows
+    cut = slots.withColumn("n", F.row_number().over(tall)).where("n <= over").groupBy("sector").agg(F.count(F.lit(1)).alias("cut"))
+    return q.join(cut, "sector", "left").select("sector", "size", (F.col("base") + F.col("add") - F.coalesce("cut", F.lit(0))).alias("quota"))
+
+
+def stratified_subset(assets: DataFrame, k: int, seed: int) -> DataFrame:
+    """``k`` assets by sector quota; the draw orders each sector by a seeded hash, free of partitioning."""
+    q = sector_quotas(assets.groupBy("sector").agg(F.count("*").alias("size")), k)
     draw = Window.partitionBy("sector").orderBy(F.xxhash64("asset", F.lit(seed)), "asset")
     return (
         assets.join(q.select("sector", "quota"), "sector")

@@ -133,7 +133,7 @@ def select_bottom_coverage(spark, sf):
     return S.top_by(P.coverage(D.supplier_returns(spark, sf), "x"), 50, "n_obs", largest=False)
 
 
-@query("select_top_adv", f"SELECT asset, round(adv, 2) AS adv FROM {_ADV} ORDER BY {_ADV[:0]}2 DESC, 1 LIMIT 50", ["sweek"])
+@query("select_top_adv", f"SELECT asset, round(adv, 2) AS adv FROM {_ADV} ORDER BY 2 DESC, 1 LIMIT 50", ["sweek"])
 def select_top_adv(spark, sf):
     return S.top_by(_adv(spark, sf), 50, "adv").withColumn("adv", F.round("adv", 2))
 

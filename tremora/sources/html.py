@@ -32,15 +32,13 @@ def quotes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     (dividend notes, headings) are left out.
     """
     c = lambda i: F.get("cells", F.lit(i))
-    day = F.regexp_extract(c(0), r"^(\d{1,2})-([A-Za-z]{3})-(\d{2,4})$", 1)
-    mon = F.regexp_extract(c(0), r"^(\d{1,2})-([A-Za-z]{3})-(\d{2,4})$", 2)
-    year = F.regexp_extract(c(0), r"^(\d{1,2})-([A-Za-z]{3})-(\d{2,4})$", 3).try_cast("int")
-    month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(mon)) + 2) / 3
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    text = F.format_string("%04d-%02d-%02d", full, month.cast("int"), day.try_cast("int"))
+    part = lambda i: F.regexp_extract(c(0), r"^(\d{1,2})-([A-Za-z]{3})-(\d{2}|\d{4})$", i)
+    text = F.concat_ws("-", part(1), F.initcap(F.lower(part(2))), part(3))
+    day = F.when(text.rlike(r"^\d{1,2}-[A-Z][a-z]{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("d-MMM-yy"))).when(
+        text.rlike(r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$"), F.try_to_timestamp(text, F.lit("d-MMM-yyyy"))).cast("date")
     return (
         table_rows(pages, key).where(F.size("cells") >= 7)
-        .select(key, F.when(F.length(mon) == 3, F.try_to_date(text) if hasattr(F, "try_to_date") else F.to_date(text)).alias("date"),
+        .select(key, day.alias("date"),
                 decimal_number(c(1)).alias("open"), decimal_number(c(2)).alias("high"), decimal_number(c(3)).alias("low"),
                 decimal_number(c(4)).alias("close"), whole_number(c(5)).alias("volume"), decimal_number(c(6)).alias("adj_close"))
         .dropna()

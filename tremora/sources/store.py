@@ -43,7 +43,7 @@ class StageStore:
 
 def require_windows(stage: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Fail fast when a stage table misses a window."""
-    missing = [r[0] for r in snapshots.select("snapshot").join(stage.select("snapshot").distinct(), "snapshot", "left_anti").limit(50).collect()]
+    missing = [r[0] for r in snapshots.select("snapshot").join(stage.select("snapshot").distinct(), "snapshot", "left_anti").collect()]
     if missing:
         raise ValueError(f"stage table misses windows: {sorted(missing)}")
     return stage
