@@ -12,7 +12,7 @@ level chunks (u8), bitmap (u8, lowest bit first), directory (u64).
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import sys
 import types
@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pfs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +31,8 @@ from tremora.session import shared_dir
 
 END_ID = 2
 FILE_IDS = 4_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+ENCODE_WORDS = 2_000
 BLOCK_BITS = 512
 _HEAD = "<4sIQQ"
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint64)
@@ -115,41 +115,53 @@ class TokenFile:
         return value
 
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile(r"[^\x00-\u024f]")
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once per worker.
 
-    The byte-level model splits a text into words by a fixed pattern and encodes
-    them one by one, so ids of words can be kept. Texts with characters beyond
-    Latin or with an added token go through the library whole. The store of words
-    is emptied when it holds ``CACHE_WORDS``.
+    The byte-level pattern never joins what stands before a space that follows a
+    character other than a space, so a text without double spaces falls into words
+    (each with the space before it) whose ids can be kept. New words are encoded
+    many at a time as one text; ids of tokens that begin with a space tell where
+    the words begin. Texts with double spaces or an added token go through the
+    library whole. The store of words is emptied when it holds ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         shared = sys.modules.setdefault("_token_words", types.ModuleType("_token_words"))
-        self.known = shared.__dict__.setdefault(path, {})
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if path not in shared.__dict__:
+            begins = np.zeros(max(self.tool.get_vocab().values()) + 1, bool)
+            begins[[i for t, i in self.tool.get_vocab().items() if t[:1] == "\u0120"]] = True
+            shared.__dict__[path] = ({}, begins)
+        self.known, self.begins = shared.__dict__[path]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), ENCODE_WORDS):
+            some = words[i:i + ENCODE_WORDS]
+            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+            for w, x, y in zip(some, cut[:-1], cut[1:], strict=True):
+                self.known[w] = raw[x:y]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t) or any(a in t for a in self.added)]
-        out: list = [None] * len(texts)
-        for i, e in zip(whole, self.tool.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = e.ids
-        words = {i: _SPLIT.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        new = list(set().union(*words.values()) - self.known.keys()) if words else []
-        for w, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        for i, ws in words.items():
-            out[i] = [x for w in ws for x in self.known[w]]
-        return out
+        words = [None if "  " in t or any(a in t for a in self.added) else t.split(" ") for t in texts]
+        new = set()
+        for w in words:
+            new.update(w[1:] if w else ())
+        self.learn([w for w in new - self.known.keys() if w])
+        self.known[""] = self.whole(" ")  # a space that ends a text
+        return [self.whole(t) if w is None else self.whole(w[0]) + b"".join(map(self.known.__getitem__, w[1:]))
+                for t, w in zip(texts, words)]
 
 
 def open_uri(uri: str) -> tuple[pfs.FileSystem, str]:
@@ -163,6 +175,7 @@ def write_files(batches, folder: str, tokenizer: str, file_ids: int):
     ids: list = []
     docs: list = []
     size = seq = 0
+    end = struct.pack("<I", END_ID)
 
     def flush():
         nonlocal ids, docs, size, seq
@@ -170,7 +183,7 @@ def write_files(batches, folder: str, tokenizer: str, file_ids: int):
         key, null, n = zip(*docs)
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(name) as out:
-            out.write(pack_file(np.fromiter((x for d in ids for x in d), np.uint32, size), np.array(key), np.array(null), np.cumsum(n)))
+            out.write(pack_file(np.frombuffer(b"".join(ids), "<u4"), np.array(key), np.array(null), np.cumsum(n)))
         row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "name": name.rsplit("/", 1)[1], "n_ids": size, "n_docs": len(docs)}],
                                          pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
         ids, docs, size, seq = [], [], 0, seq + 1
@@ -181,10 +194,9 @@ def write_files(batches, folder: str, tokenizer: str, file_ids: int):
             part = piece.column("part")[0].as_py()
             texts = [t or "" for t in piece.column("text").to_pylist()]
             for key, null, code in zip(piece.column("doc_id").to_pylist(), piece.column("missing").to_pylist(), encode(texts)):
-                code = np.append(np.asarray(code, np.uint32), np.uint32(END_ID))
-                ids.append(code)
-                docs.append((key, null, len(code)))
-                size += len(code)
+                ids.append(code + end)
+                docs.append((key, null, len(code) // 4 + 1))
+                size += docs[-1][2]
                 if size >= file_ids:
                     yield flush()
     if docs:
