@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.session import materialize, materialize_with
+from tremora.session import materialize, materialize_with, release
 
 KEYS = ("snapshot",)
 
@@ -166,7 +166,8 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, keys=KEYS, damping: float = C.DA
     Uniform redistribution of dangling mass only rescales the solution of
     ``y = damping * P'y + 1/n``, so rounds skip it and the result is normalised
     once. A round is one join on the source and one aggregation by target. The
-    iteration stops when every graph changed by less than ``n * tol`` in total.
+    iteration stops when every graph changed by less than ``n * tol`` in total and
+    raises if one has not after ``max_iter`` rounds.
     """
     k = list(keys)
     n = nodes.groupBy(*k).agg(F.count("*").alias("n"))
@@ -175,7 +176,7 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, keys=KEYS, damping: float = C.DA
     step = materialize(arcs.join(total, k + ["src"]).select(
         *k, "src", "dst", (F.col("weight") / F.col("out_w") * F.lit(damping)).alias("p")), "pr-step")
     y = base.select(*k, "node", F.col("base").alias("y"))
-    done, limit = 0, iterations or max_iter
+    done, limit, kept = 0, iterations or max_iter, None
     while done < limit:
         prev = y
         todo = min(every, limit - done)
@@ -191,6 +192,10 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, keys=KEYS, damping: float = C.DA
             moved = F.sum(F.abs(F.col("y") - F.col("y0"))) / F.sum("y")
             if pair.groupBy(*k).agg((moved < F.count("*") * tol).alias("ok")).where("NOT ok").isEmpty():
                 break
+            release(kept)
+            kept = pair
+            if done >= limit:
+                raise RuntimeError(f"ranks still move after {done} rounds")
         elif done < limit:
             y = materialize(y, "pr-round")
     w = Window.partitionBy(*k)
@@ -225,12 +230,12 @@ def leaders(scores: DataFrame, n: int = 20, value: str = "pagerank", keys=KEYS)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def connected_components(und: DataFrame, nodes: DataFrame, keys=KEYS, max_rounds: int = 60) -> DataFrame:
+def connected_components(und: DataFrame, nodes: DataFrame, keys=KEYS) -> DataFrame:
     """Component label (smallest node) per node, by alternating star contraction.
 
     Each round links every node's larger neighbours, then its smaller ones, to
-    the smallest node around; depth shrinks geometrically. Minima are partial
-    aggregates, so hubs cost no more than their edges.
+    the smallest node around; depth shrinks geometrically and rounds go on until one
+    changes nothing. Minima are partial aggregates, so hubs cost no more than their edges.
     """
     k = list(keys)
 
@@ -250,12 +255,14 @@ def connected_components(und: DataFrame, nodes: DataFrame, keys=KEYS, max_rounds
         )
 
     e, last = und.select(*k, "a", "b"), None
-    for _ in range(max_rounds):
+    before = None
+    while True:
         e, mark = materialize_with(small_star(large_star(e)), "cc", n=F.count(F.lit(1)),
                                    h=F.sum(F.xxhash64(*k, "a", "b").cast("decimal(38,0)")))
+        release(before)
         if mark == last:
             break
-        last = mark
+        last, before = mark, e
     label = e.groupBy(*k, F.col("b").alias("node")).agg(F.min("a").alias("m"))
     return nodes.join(label, k + ["node"], "left").select(*k, "node", F.coalesce("m", "node").alias("component"))
 
@@ -268,7 +275,7 @@ def largest_component(comp: DataFrame, keys=KEYS) -> DataFrame:
     return comp.join(best, k + ["component"]).select(*k, "node")
 
 
-def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS, max_depth: int = 10_000) -> DataFrame:
+def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS) -> DataFrame:
     """Mean shortest path over ordered pairs of the largest component, by frontier joins."""
     k = list(keys)
     core = materialize(largest_component(connected_components(und, nodes, keys), keys), "lcc")
@@ -276,7 +283,7 @@ def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS, max_depth:
     seen = core.select(*k, F.col("node").alias("s"), F.col("node").alias("u"), F.lit(0).alias("d"))
     front, depth = seen, 0
     levels = []
-    while depth < max_depth:
+    while True:
         depth += 1
         reach = front.select(*k, "s", "u").join(nb, k + ["u"]).select(*k, "s", F.col("v").alias("u")).distinct()
         front, got = materialize_with(

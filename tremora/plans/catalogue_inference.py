@@ -47,7 +47,7 @@ def wide(spark, sf):
     """One row per window with the raw network metrics."""
     def build(s, f):
         a, n = N.arcs(s, f), N.nodes(s, f)
-        conc = G.concentration(N.ranks20(s, f)).withColumnRenamed("hhi_top", "hhi_top10").drop("n_nodes")
+        conc = G.concentration(N.ranks(s, f)).withColumnRenamed("hhi_top", "hhi_top10").drop("n_nodes")
         return (
             D.snapshots(s).select("snapshot", "regime").join(G.mean_degree(a, n).select("snapshot", "n_nodes", "n_edges"), "snapshot")
             .join(A.mean_correlation(N.vecs(s, f)).select("snapshot", "mean_corr"), "snapshot")
@@ -132,7 +132,7 @@ JOIN (SELECT p.snapshot, sum(x.w * y.w * r) AS num, sum(x.w * y.w) AS den FROM p
 def volume_weighted_nsi(spark, sf):
     adv = P.dollar_volume(D.nation_weeks(spark, sf), F.col("price"), F.col("volume"))
     w = T.log_volume_weights(N.nodes(spark, sf), adv)
-    ch = T.volume_weighted_channels(N.vecs(spark, sf), N.arcs(spark, sf), N.ranks20(spark, sf), w)
+    ch = T.volume_weighted_channels(N.vecs(spark, sf), N.arcs(spark, sf), N.ranks(spark, sf), w)
     return ch.select("snapshot", F.round("network_sparsity_vw", 6).alias("network_sparsity_vw"), F.round("hhi_vw", 8).alias("hhi_vw"), X.rnd("mean_corr_vw").alias("mean_corr_vw"))
 
 
@@ -141,7 +141,7 @@ def weighted_vs_plain(spark, sf):
     """Volume-weighted against plain index, largest plain first."""
     adv = P.dollar_volume(D.nation_weeks(spark, sf), F.col("price"), F.col("volume"))
     w = T.log_volume_weights(N.nodes(spark, sf), adv)
-    ch = T.volume_weighted_channels(N.vecs(spark, sf), N.arcs(spark, sf), N.ranks20(spark, sf), w)
+    ch = T.volume_weighted_channels(N.vecs(spark, sf), N.arcs(spark, sf), N.ranks(spark, sf), w)
     plain = indexed(spark, sf).select("snapshot", "regime", "z_ffl", "nsi")
     vw = T.volume_weighted_index(ch, plain.select("snapshot", "regime", "z_ffl")).select("snapshot", "nsi_vw")
     return plain.join(vw, "snapshot").select("snapshot", "regime", "nsi", "nsi_vw", (F.col("nsi_vw") - F.col("nsi")).alias("delta")).orderBy(F.desc("nsi"))

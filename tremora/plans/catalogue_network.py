@@ -322,38 +322,49 @@ def triad_counts(spark, sf):
 
 
 def _rank_sql(rounds: int) -> str:
-    """Fixed-round PageRank as a chain of blocks, dangling mass spread uniformly."""
+    """PageRank as a chain of blocks; the mass of nodes without arcs goes evenly to all nodes of their graph."""
     steps = ["pn AS MATERIALIZED (SELECT snapshot, node, count(*) OVER (PARTITION BY snapshot) AS n FROM nodes)",
              "pw AS MATERIALIZED (SELECT snapshot, src, dst, weight / sum(weight) OVER (PARTITION BY snapshot, src) AS p FROM arcs)",
-             "p0 AS MATERIALIZED (SELECT snapshot, node, n, 1.0::DOUBLE / n AS y FROM pn)"]
+             "p0 AS MATERIALIZED (SELECT snapshot, node, n, NOT EXISTS (SELECT 1 FROM pw w WHERE w.snapshot = pn.snapshot AND w.src = pn.node) AS ends,"
+             " 1.0::DOUBLE / n AS y FROM pn)"]
     for i in range(rounds):
-        steps.append(f"""p{i + 1} AS MATERIALIZED (SELECT b.snapshot, b.node, b.n, 1.0::DOUBLE / b.n + 0.85::DOUBLE * coalesce(f.s, 0) AS y
+        steps.append(f"""p{i + 1} AS MATERIALIZED (SELECT b.snapshot, b.node, b.n, b.ends, 0.15::DOUBLE / b.n
+    + 0.85::DOUBLE * (coalesce(f.s, 0) + coalesce(sum(b.y) FILTER (WHERE b.ends) OVER (PARTITION BY b.snapshot), 0) / b.n) AS y
   FROM p{i} b LEFT JOIN (SELECT w.snapshot, w.dst, sum(y * p) AS s FROM pw w JOIN p{i} q ON q.snapshot = w.snapshot AND q.node = w.src GROUP BY 1, 2) f
   ON f.snapshot = b.snapshot AND f.dst = b.node)""")
-    return "SELECT * FROM (WITH " + ",\n".join(steps) + f" SELECT snapshot, node, y / sum(y) OVER (PARTITION BY snapshot) AS pagerank FROM p{rounds})"
+    return "SELECT * FROM (WITH " + ",\n".join(steps) + f" SELECT snapshot, node, y AS pagerank FROM p{rounds})"
 
 
-cte("ranks", _rank_sql(20), ["nodes", "arcs"])
+cte("ranks", _rank_sql(120), ["nodes", "arcs"])
+cte("ranks20", """
+SELECT snapshot, node, y / sum(y) OVER (PARTITION BY snapshot) AS pagerank FROM (
+  WITH RECURSIVE n AS (SELECT snapshot, node, count(*) OVER (PARTITION BY snapshot) AS n FROM nodes),
+  w AS (SELECT snapshot, src, dst, weight / sum(weight) OVER (PARTITION BY snapshot, src) AS p FROM arcs),
+  walk AS (SELECT snapshot, node, 1.0::DOUBLE / n AS y, 0 AS t FROM n
+    UNION ALL SELECT snapshot, node, sum(y) AS y, t + 1 FROM (
+      SELECT w.snapshot, w.dst AS node, k.y * w.p * 0.85::DOUBLE AS y, k.t FROM walk k JOIN w ON w.snapshot = k.snapshot AND w.src = k.node WHERE k.t < 20)
+    GROUP BY snapshot, node, t)
+  SELECT snapshot, node, sum(y) AS y FROM walk GROUP BY snapshot, node)""", ["nodes", "arcs"])
 
 
-def ranks20(spark, sf):
-    return D.stage(spark, sf, "ranks20", lambda s, f: G.pagerank(arcs(s, f), nodes(s, f), iterations=20))
+def ranks(spark, sf):
+    return D.stage(spark, sf, "ranks", lambda s, f: G.pagerank(arcs(s, f), nodes(s, f), tol=1e-10, max_iter=300))
 
 
-@query("pagerank_iter20", "SELECT snapshot, node, round(pagerank, 7) AS pagerank FROM ranks", ["ranks"])
+@query("pagerank_iter20", "SELECT snapshot, node, round(pagerank, 7) AS pagerank FROM ranks20", ["ranks20"])
 def pagerank_iter20(spark, sf):
     return G.pagerank(arcs(spark, sf), nodes(spark, sf), iterations=20).select("snapshot", "node", F.round("pagerank", 7).alias("pagerank"))
 
 
-@query("pagerank_converged")
+@query("pagerank_converged", "SELECT snapshot, node, round(pagerank, 7) AS pagerank FROM ranks", ["ranks"])
 def pagerank_converged(spark, sf):
-    return G.pagerank(arcs(spark, sf), nodes(spark, sf))
+    return ranks(spark, sf).select("snapshot", "node", F.round("pagerank", 7).alias("pagerank"))
 
 
-@query("pagerank_leaders", "SELECT snapshot, node, round(pagerank, 7) AS pagerank, rn::INT AS rank FROM (SELECT *, row_number() OVER "
-       "(PARTITION BY snapshot ORDER BY round(pagerank, 12) DESC, node) AS rn FROM ranks) WHERE rn <= 20", ["ranks"])
+@query("pagerank_leaders", "SELECT snapshot, node, round(round(pagerank, 9), 7) AS pagerank, rn::INT AS rank FROM (SELECT *, row_number() OVER "
+       "(PARTITION BY snapshot ORDER BY round(pagerank, 9) DESC, node) AS rn FROM ranks) WHERE rn <= 20", ["ranks"])
 def pagerank_leaders(spark, sf):
-    r = ranks20(spark, sf).select("snapshot", "node", F.round("pagerank", 12).alias("pagerank"))
+    r = ranks(spark, sf).select("snapshot", "node", F.round("pagerank", 9).alias("pagerank"))
     return G.leaders(r).withColumn("pagerank", F.round("pagerank", 7))
 
 
@@ -371,7 +382,7 @@ GROUP BY snapshot, gini_top, entropy_top""", ["ranks"])
 @query("gini_hhi_entropy", "SELECT snapshot, n_nodes::BIGINT AS n_nodes, " + ", ".join(
     f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in ("hhi", "gini", "hhi_top", "gini_top", "entropy_top")) + " FROM conc", ["conc"])
 def gini_hhi_entropy(spark, sf):
-    c = G.concentration(ranks20(spark, sf))
+    c = G.concentration(ranks(spark, sf))
     return c.select("snapshot", "n_nodes", *[X.rnd(n).alias(n) for n in ("hhi", "gini", "hhi_top", "gini_top", "entropy_top")])
 
 

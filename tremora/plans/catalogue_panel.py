@@ -156,14 +156,14 @@ SELECT 'coverage' AS kind, asset FROM (SELECT asset FROM sret GROUP BY 1 ORDER B
 UNION ALL SELECT 'adv', asset FROM (SELECT asset FROM {_ADV} ORDER BY adv DESC, asset LIMIT 20)
 UNION ALL SELECT 'bottom_adv', asset FROM (SELECT asset FROM {_ADV} ORDER BY adv, asset LIMIT 20)
 UNION ALL SELECT 'bottom_coverage', asset FROM (SELECT asset FROM sret GROUP BY 1 ORDER BY count(*), asset LIMIT 20)
-UNION ALL SELECT 'decile2', asset FROM (
-  SELECT asset, row_number() OVER (ORDER BY adv DESC, asset) - 1 AS rn, count(*) OVER () AS n FROM {_ADV})
-  WHERE rn >= greatest(1, n // 5) AND rn < least(2 * greatest(1, n // 5), greatest(1, n // 5) + 20)""", ["sret", "sweek"])
+UNION ALL SELECT 'decile' || q, asset FROM (
+  SELECT asset, row_number() OVER (ORDER BY adv DESC, asset) - 1 AS rn, greatest(1, count(*) OVER () // 5) AS m, count(*) OVER () AS n FROM {_ADV})
+  CROSS JOIN range(1, 6) t(q) WHERE rn >= (q - 1) * m AND rn < least(CASE WHEN q < 5 THEN q * m ELSE n END, (q - 1) * m + 20)""", ["sret", "sweek"])
 def select_dispatch(spark, sf):
     r = D.stage(spark, sf, "supplier_returns", D.supplier_returns)
     adv = D.stage(spark, sf, "supplier_adv", _adv)
     out = None
-    for kind in ("coverage", "adv", "bottom_adv", "bottom_coverage", "decile2"):
+    for kind in ("coverage", "adv", "bottom_adv", "bottom_coverage", *(f"decile{q}" for q in range(1, 6))):
         s = S.select_assets(r, adv, 20, kind).select(F.lit(kind).alias("kind"), "asset")
         out = s if out is None else out.unionByName(s)
     return out
@@ -252,11 +252,11 @@ def series_extend(spark, sf):
 
 
 @query("union_keep_first", """
-SELECT asset, origin FROM (SELECT n_nationkey AS asset, 'info' AS origin FROM nation WHERE n_regionkey < 3
-  UNION ALL SELECT DISTINCT asset, 'panel' FROM nweek WHERE asset NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3))""", ["nweek"])
+SELECT asset, origin FROM (SELECT s_suppkey AS asset, 'info' AS origin FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT DISTINCT asset, 'panel' FROM sweek WHERE asset NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))""", ["sweek"])
 def union_keep_first(spark, sf):
-    info = D.table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("asset"), F.lit("info").alias("origin"))
-    return P.union_keep_first(info, D.nation_weeks(spark, sf).select("asset").distinct().withColumn("origin", F.lit("panel")))
+    info = D.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("asset"), F.lit("info").alias("origin"))
+    return P.union_keep_first(info, D.supplier_weeks(spark, sf).select("asset").distinct().withColumn("origin", F.lit("panel")))
 
 
 @query("panel_alignment", """
@@ -332,21 +332,21 @@ def semi_join_members(spark, sf):
     return for_members(facts, members).groupBy("permno").agg(F.count("*").alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("vol"))
 
 
-@query("pivot_wide", "SELECT date, " + ", ".join(f"round(sum(price) FILTER (WHERE asset = {k}), 2) AS n{k}" for k in range(5)) + " FROM nweek WHERE asset < 5 GROUP BY 1", ["nweek"])
+@query("pivot_wide", "SELECT date, " + ", ".join(f"round(sum(price) FILTER (WHERE asset = {k}), 2) AS n{k}" for k in range(25)) + " FROM nweek GROUP BY 1", ["nweek"])
 def pivot_wide(spark, sf):
-    """Wide form of a few named assets, for interchange only; operators stay long."""
-    p = D.nation_weeks(spark, sf).where("asset < 5").withColumn("c", F.concat(F.lit("n"), F.col("asset").cast("string")))
-    wide = p.groupBy("date").pivot("c", [f"n{k}" for k in range(5)]).agg(F.first("price"))
-    return wide.select("date", *[F.round(f"n{k}", 2).alias(f"n{k}") for k in range(5)])
+    """Wide form of the named assets, for interchange only; operators stay long."""
+    p = D.nation_weeks(spark, sf).withColumn("c", F.concat(F.lit("n"), F.col("asset").cast("string")))
+    wide = p.groupBy("date").pivot("c", [f"n{k}" for k in range(25)]).agg(F.first("price"))
+    return wide.select("date", *[F.round(f"n{k}", 2).alias(f"n{k}") for k in range(25)])
 
 
 @query("augment_panel", """
 SELECT asset, count(*)::BIGINT AS n_obs, min(date) AS first_date, segment FROM (
   SELECT asset::VARCHAR AS asset, date, 'panel' AS segment FROM nweek
-  UNION ALL SELECT 'S' || s.asset, s.date, 'added' FROM sweek s WHERE asset % 10 = 0 AND date IN (SELECT date FROM nweek)) GROUP BY 1, 4""", ["nweek", "sweek"])
+  UNION ALL SELECT 'S' || s.asset, s.date, 'added' FROM sweek s WHERE date IN (SELECT date FROM nweek)) GROUP BY 1, 4""", ["nweek", "sweek"])
 def augment_panel(spark, sf):
     base = D.nation_weeks(spark, sf).select(F.col("asset").cast("string").alias("asset"), "date", "price")
-    extra = D.supplier_weeks(spark, sf).where("asset % 10 = 0").select(F.concat(F.lit("S"), F.col("asset").cast("string")).alias("asset"), "date", "price")
+    extra = D.supplier_weeks(spark, sf).select(F.concat(F.lit("S"), F.col("asset").cast("string")).alias("asset"), "date", "price")
     both, _ = P.augment(base, extra)
     return both.groupBy("asset", "segment").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"))
 

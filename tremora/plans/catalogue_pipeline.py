@@ -100,7 +100,7 @@ def invariant_checks(spark, sf):
     stress = Q.stress(I.indexed(spark, sf)).where("name = 'index_in_range'")
     cross = Q.same_members(D.window_panel(spark, sf), N.nodes(spark, sf).withColumnRenamed("node", "asset"), "cross", "members_equal")
     return Q.summary(Q.union(Q.correlations(A.pair_values(N.vecs(spark, sf))), Q.directions(N.arcs(spark, sf), E.tally(dec)),
-                             Q.network(N.ranks20(spark, sf), None, None), stress, cross))
+                             Q.network(N.ranks(spark, sf), None, None), stress, cross))
 
 
 # ------------------------------------------------------------------ report tables
@@ -149,12 +149,12 @@ def report_ordered_corr(spark, sf):
 
 
 @query("report_leader_matrix", """
-SELECT l.node, s.snapshot, round(coalesce(r.pagerank, 0), 7) AS pagerank FROM (
-  SELECT DISTINCT node FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY round(pagerank, 12) DESC, node) AS rn FROM ranks) WHERE rn <= 3) l
+SELECT l.node, s.snapshot, round(coalesce(round(r.pagerank, 9), 0), 7) AS pagerank FROM (
+  SELECT DISTINCT node FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY round(pagerank, 9) DESC, node) AS rn FROM ranks) WHERE rn <= 3) l
 CROSS JOIN (SELECT DISTINCT snapshot FROM ranks) s LEFT JOIN ranks r ON r.node = l.node AND r.snapshot = s.snapshot""", ["ranks"])
 def report_leader_matrix(spark, sf):
     """PageRank of every top-three asset in every window, zero where absent."""
-    r = N.ranks20(spark, sf).select("snapshot", "node", F.round("pagerank", 12).alias("pagerank"))
+    r = N.ranks(spark, sf).select("snapshot", "node", F.round("pagerank", 9).alias("pagerank"))
     snaps = r.agg(F.collect_set("snapshot").alias("all"))
     from tremora.session import attach
 

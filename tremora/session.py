@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if sc.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="tremora-")
+        _LOCAL_DIRS[sc.applicationId] = made = tempfile.mkdtemp(prefix="tremora-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return _LOCAL_DIRS[sc.applicationId]
 
 
@@ -60,7 +63,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremora/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    if df is not None and getattr(df, "staged_at", None):
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize_with(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
