@@ -360,3 +360,32 @@ def test_tiers(frame):
             (3.0, 0.25, 0.005), (4.999, 0.25, 0.005), (5.0, 0.5, 0.005)]
     got = frame([(w[0],) for w in want], "r double").select("r", ebic_gamma("r"), shrinkage_delta("r")).collect()
     assert [tuple(g) for g in got] == want
+
+
+def test_communities_do_not_depend_on_company(frame):
+    from tremora.operators import community
+
+    rng = np.random.default_rng(3)
+    pairs = sorted({tuple(sorted(rng.choice(24, 2, replace=False).tolist())) for _ in range(60)})
+    one = [("A", a, b, 1.0) for a, b in pairs]
+    company = [(f"B{g}", 2 * i, 2 * i + 1, 1.0) for g in range(3) for i in range(10)]
+
+    def labels(edges):
+        und = frame(edges, "snapshot string, a int, b int, weight double")
+        nodes = frame(sorted({(s, x) for s, a, b, _ in edges for x in (a, b)}), "snapshot string, node int")
+        return {r.node: r.community for r in community.louvain(und, nodes).where("snapshot = 'A'").collect()}
+
+    assert labels(one) == labels(one + company)
+
+
+def test_glasso_converges_with_fewer_days_than_assets():
+    from tremora.operators import sparse
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 60)) + rng.normal(size=(30, 1))
+    s = 0.8 * np.corrcoef(x.T) + 0.2 * np.eye(60)
+    for lam in (0.4, 0.1, 0.03):
+        theta, _, gap = sparse.solve_glasso(s, lam)
+        assert gap < 1e-6
+        w = np.linalg.inv(theta)
+        assert np.abs(np.diag(w) - np.diag(s)).max() < 1e-5 and np.abs(w - s).max() < lam + 1e-5

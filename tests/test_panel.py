@@ -205,3 +205,13 @@ def test_quality_rows_and_report(frame):
     assert [r.snapshot for r in Q.scale_guard(a, b).where("NOT passed").collect()] == ["B"]
     assert not Q.failure_share(a, a.where("asset = 'A'"), 0.2, "missing").head().passed
     assert Q.row_band(a, 1, 5, "rows").head().passed
+
+
+def test_quotas_fill_room_and_trim_above_one(frame):
+    sizes = lambda *n: frame([(f"s{i}", v) for i, v in enumerate(n)], "sector string, size long")
+    quota = lambda k, *n: [r.quota for r in S.sector_quotas(sizes(*n), k).orderBy("sector").collect()]
+    assert sum(quota(18, 1, 7, 7, 7)) == 18 and quota(18, 1, 7, 7, 7)[0] == 1
+    assert quota(4, 100, 1, 1, 1) == [1, 1, 1, 1]
+    assert quota(6, 100, 1, 1, 1) == [3, 1, 1, 1]
+    assert quota(10, 5, 3, 2) == [5, 3, 2]
+    assert sum(quota(11, 50, 3, 2, 1, 1, 1)) == 11
