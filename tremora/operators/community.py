@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.operators.graph import KEYS
-from tremora.session import materialize, materialize_with
+from tremora.session import materialize, materialize_with, release
 
 SETTLE = 6
 MOST_ROUNDS = 500
@@ -58,9 +58,11 @@ def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float) -
         merge_up = (F.col("s0") == 1) & (F.col("b.size") == 1) & (F.col("b.c") > F.col("own"))
         want = (F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0")) & ~merge_up
         turn = F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(2 + rnd // SETTLE)) == 0
+        old = st
         st, seen = materialize_with(best.withColumn("want", want).select(
             *k, "node", F.when(F.col("want") & turn, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", "m2", "want"), "lm",
             wants=F.count(F.when(F.col("want"), 1)))
+        release(old)
         if seen["wants"] == 0:
             break
         if rnd >= MOST_ROUNDS:

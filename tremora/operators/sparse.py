@@ -191,12 +191,12 @@ def select_lambda(scored: DataFrame, k_min=None, early_stop: bool = False) -> Da
     """Best penalty per window, with the constrained fallback when too few edges survive.
 
     Penalties whose solution violates the optimality conditions by ``CONVERGED`` or
-    more are left out and counted in ``n_failed``. ``k_min`` defaults to ``max(p, 10)``. Windows whose grid never reaches the
+    more are left out and counted in ``n_failed``; a window without any other is ``unsolved``. ``k_min`` defaults to ``max(p, 10)``. Windows whose grid never reaches the
     floor report ``status = 'no_candidate'``.
     """
-    solved = scored.where(F.col("violation") < CONVERGED) if "violation" in scored.columns else scored
-    failed = scored.groupBy("snapshot").agg(F.count(F.when(F.col("violation") >= CONVERGED, 1)).alias("n_failed")) if "violation" in scored.columns else None
-    s = visited(solved) if early_stop else solved
+    ok = F.col("violation") < CONVERGED if "violation" in scored.columns else F.lit(True)
+    failed = scored.groupBy("snapshot").agg(F.count(F.when(~ok, 1)).alias("n_failed"))
+    s = visited(scored.where(ok)) if early_stop else scored.where(ok)
     floor = F.greatest("p", F.lit(10)) if k_min is None else k_min
     s = s.withColumn("k_floor", floor)
     rec = F.struct("lam", "k", "ebic")
@@ -207,11 +207,12 @@ def select_lambda(scored: DataFrame, k_min=None, early_stop: bool = False) -> Da
         F.first("k_floor").alias("k_floor"), F.count("*").alias("n_visited"))
     fired = (F.col("best.k") < F.col("k_floor")) & F.col("fallback").isNotNull()
     out = pick.withColumn("fallback_fired", fired).withColumn("chosen", F.when(fired, F.col("fallback")).otherwise(F.col("best")))
+    out = out.join(failed, "snapshot", "right")
     return out.select(
         "snapshot", F.col("chosen.lam").alias("lam"), F.col("chosen.k").alias("k"), F.col("chosen.ebic").alias("ebic"),
         F.col("best.lam").alias("lam_unconstrained"), F.col("best.k").alias("k_unconstrained"), "fallback_fired",
-        "p", "n", "gamma", "delta", "n_visited",
-        F.when(F.col("chosen.k") < F.col("k_floor"), "no_candidate").otherwise("ok").alias("status"))
+        "p", "n", "gamma", "delta", "n_visited", "n_failed",
+        F.when(F.col("chosen").isNull(), "unsolved").when(F.col("chosen.k") < F.col("k_floor"), "no_candidate").otherwise("ok").alias("status"))
 
 
 def partial_correlations(entries: DataFrame) -> DataFrame:

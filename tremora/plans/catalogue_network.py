@@ -501,6 +501,15 @@ def _sparse(spark, sf):
 _FITS: dict = {}
 
 
+@query("glasso_properties", "SELECT DISTINCT snapshot, 25::BIGINT AS n_penalties, 0::BIGINT AS n_failed, true AS penalty_on_grid FROM nodes", ["nodes"])
+def glasso_properties(spark, sf):
+    """All penalties of a window are solved within the optimality bound and the selected one is among them."""
+    _, sel, grid = _sparse(spark, sf)
+    per = grid.groupBy("snapshot").agg(F.count("*").alias("n_penalties"), F.count(F.when(F.col("violation") >= sparse.CONVERGED, 1)).alias("n_failed"))
+    hit = grid.join(sel.select("snapshot", "lam"), ["snapshot", "lam"], "left_semi").groupBy("snapshot").agg((F.count("*") == 1).alias("penalty_on_grid"))
+    return per.join(hit, "snapshot")
+
+
 @query("glasso_edges")
 def glasso_edges(spark, sf):
     return _sparse(spark, sf)[0]
@@ -570,6 +579,16 @@ def louvain(spark, sf):
     return community.louvain(G.undirected(arcs(spark, sf)), nodes(spark, sf))
 
 
+@query("louvain_properties", "SELECT snapshot, count(*)::BIGINT AS n_nodes, count(*)::BIGINT AS n_labelled, true AS above_one_community "
+       "FROM nodes GROUP BY 1", ["nodes"])
+def louvain_properties(spark, sf):
+    """Every node has one label and the split beats the undivided graph."""
+    m = D.stage(spark, sf, "louvain", louvain)
+    per = m.groupBy("snapshot").agg(F.count("*").alias("n_labelled"))
+    q = G.modularity(G.undirected(arcs(spark, sf)), m).select("snapshot", (F.col("modularity") > 0).alias("above_one_community"))
+    return nodes(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n_nodes")).join(per, "snapshot").join(q, "snapshot")
+
+
 @query("er_null_z")
 def er_null_z(spark, sf):
     return D.stage(spark, sf, "er", lambda s, f: nulls.er_test(arcs(s, f), nodes(s, f)))
