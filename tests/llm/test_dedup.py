@@ -64,7 +64,11 @@ def line_set(line):
     return {line[i:i + k] for i in range(len(line) - k + 1)} if len(line) >= k else {line}
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("small", [8, 1])
+def test_lines_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "STAR_ROUNDS", 2 if small > 1 else 1)
     rng = random.Random(4)
     bases = [" ".join(f"word{rng.randrange(60)}" for _ in range(rng.randrange(2, 30))) for _ in range(15)]
     docs = []
@@ -141,3 +145,16 @@ def test_cosine_is_compared_exactly_at_the_threshold():
     assert embedding_dedup.at_least([3.0, 4.0], [3.0, 4.0], 1.0)
     assert not embedding_dedup.at_least([1.0, 0.0], [-1.0, 0.0], 0.95)
     assert embedding_dedup.at_least([4.0, 3.0], [1.0, 0.0], 0.8) and not embedding_dedup.at_least([4.0, 3.000001], [1.0, 0.0], 0.8)
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    rng = random.Random(8)
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, mutated(rng, base, rng.choice([0.02, 0.05, 0.08])), "en", "s", 1) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(docs, DOCS), n=2).collect()}
+    sets = {d[0]: shingles(d[1], 2) for d in docs}
+    want = groups(sorted(sets), lambda a, b: jaccard80(sets[a], sets[b]))
+    assert got == want and 3 < len(set(want.values())) < 55

@@ -5,13 +5,16 @@ and its largest value: two unbiased signature rows for one hash evaluation. Rows
 form bands; documents that agree in a band are candidates and every link is
 confirmed on the full sets. Equal sets collapse before banding. Within a band's
 bucket documents are first compared with one drawn member, a few rounds long, which settles
-a group of near copies with a few comparisons each; afterwards just those pairs of a
-bucket are compared whose ends are still in different groups.
+a group of near copies with a few comparisons each. What is still apart afterwards
+is compared completely: pairs of small buckets one by one; large buckets that share
+members form one cluster, cut into blocks, and each pair of blocks is one task that
+counts intersections of full sets and gives back only the links that join groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,9 @@ from tremora.llm.common import Words, components, discard, few, fresh, mix, shin
 
 PERMUTATIONS = 120
 ROWS = 6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+SMALL = 8
+BLOCK = 1_000
 _RANDOM = np.random.default_rng(2024)
 _XOR = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,6 +96,52 @@ def confirm(batches, n: int, percent: int):
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
+def join_blocks(pdf: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
+    """Links between the rows of side 0 and side 1 that join two groups; every pair is counted on full sets."""
+    pdf = pdf.sort_values(["side", "id"])
+    row, h = shingle_sets(Words(pa.array(pdf["text"].tolist(), pa.string())), n)
+    _, item = np.unique(h, return_inverse=True)
+    size = np.bincount(row, minlength=len(pdf))
+    end = np.cumsum(size)
+    left = int((pdf["side"] == 0).sum())
+    first = end[left - 1] if left else 0
+    right_item, right_row = item[first:], row[first:]
+    ids, group = pdf["id"].to_numpy(), pdf["comp"].to_numpy().copy()
+    mark = np.zeros(len(h), np.int64)
+    out = []
+    for a in range(left):
+        own = item[end[a] - size[a]:end[a]]
+        mark[own] = 1
+        both = np.bincount(right_row, mark[right_item], minlength=len(pdf)).astype(np.int64)
+        mark[own] = 0
+        near = (100 * both >= percent * (size[a] + size - both)) & (both > 0) & (group != group[a])
+        for b in np.flatnonzero(near):
+            if group[b] != group[a]:
+                out.append((ids[a], ids[b]))
+                low, high = sorted((group[a], group[b]))
+                group[group == high] = low
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def in_blocks(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among the ``bucket, id, comp`` of large buckets that join groups."""
+    lead = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    cluster = components(members.join(lead, "bucket").select("a", F.col("id").alias("b")).distinct())
+    rows = members.select("id", "comp").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+    rows, _ = stage(rows, "cluster-members")
+    many = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("cluster").agg(
+        F.max_by("comp", F.struct("many", "comp")).alias("main"), F.sum("many").alias("all"), F.max("many").alias("most"))
+    many = many.where("most < all").select(
+        "cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("js"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("is"))
+    rows = rows.join(many, "cluster").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), place("js").alias("j"), F.lit(1).alias("side")))
+    other = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(place("is").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    dealt = rows.select("cluster", "id", "comp", "text", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(every, other)).otherwise(every)).alias("t"))
+    return dealt.select("cluster", "t.*", "id", "comp", "text").groupBy("cluster", "i", "j").applyInPandas(
+        lambda pdf: join_blocks(pdf, n, percent), "a long, b long")
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``df``.
 
@@ -145,18 +196,22 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
             pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         else:
             main = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("bucket").agg(
-                F.max_by("comp", F.struct("many", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-            rest = open_.join(main, "bucket")
-            other = rest.where("comp <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-            pairs = other.join(rest.select("bucket", "id", "n", "comp", "main"), "bucket").where(
-                (F.col("comp") != F.col("xc")) & ((F.col("comp") == F.col("main")) | (F.col("id") > F.col("x"))) & in_size(F.col("n"), F.col("xn")))
-            pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+                F.count(F.lit(1)).alias("comps"), F.sum("many").alias("size")).where("comps > 1")
+            rest, _ = stage(open_.join(main, "bucket"), "rest")
+            large = rest.where(F.col("size") > SMALL).select("bucket", "id", "comp")
+            blocks = None if large.isEmpty() else stage(in_blocks(large, texts, n, percent), "block-links")[0]
+            rest = rest.where(F.col("size") <= SMALL)
+            pairs = rest.join(rest.select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), "bucket").where(
+                (F.col("id") > F.col("x")) & (F.col("comp") != F.col("xc")) & in_size(F.col("n"), F.col("xn")))
+            pairs = pairs.select(F.col("x").alias("a"), F.col("id").alias("b")).distinct()
         if settled is not None:
             pairs = pairs.join(settled, ["a", "b"], "left_anti")
         asked, _ = stage(pairs, "asked")
-        if group is not None and asked.isEmpty():
+        if group is not None and asked.isEmpty() and (turn < STAR_ROUNDS or blocks is None):
             continue
         more, _ = stage(links(asked), "links")
+        if turn == STAR_ROUNDS and blocks is not None:
+            more = more.unionByName(blocks)
         settled = asked if settled is None else settled.unionByName(asked)
         found = more if group is None else more.unionByName(group.select(F.col("id").alias("a"), F.col("component").alias("b")))
         group, _ = stage(components(found), "groups")
