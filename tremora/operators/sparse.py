@@ -44,7 +44,7 @@ def _violation(s: np.ndarray, theta: np.ndarray, w: np.ndarray, lam: float, off:
     return float(np.where(theta != 0, np.abs(grad + lam * np.sign(theta) * off), np.maximum(np.abs(grad) - lam * off, 0.0)).max())
 
 
-def solve_glasso(s: np.ndarray, lam: float, tol: float = 1e-6, most: int = 200):
+def solve_glasso(s: np.ndarray, lam: float, tol: float = 1e-6, most: int = 60):
     """Newton steps for ``tr(S Theta) - logdet Theta + lam * |offdiag|_1``.
 
     Each step minimises the quadratic model by coordinate descent over the free
