@@ -97,6 +97,21 @@ def test_lines_match_brute_force(spark, monkeypatch, small):
         assert r["n_kept"] == len(r["kept_lines"])
 
 
+def test_lines_at_the_threshold_are_found(spark):
+    rng = random.Random(8)
+    sizes = [n for n in range(10, 51) if n - n // 9 <= 0.85 * (n + n // 9)]
+    lines = []
+    for i in range(3_000):
+        n = sizes[i % len(sizes)]
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + line_dedup.SHINGLE - 1))
+        k = n // 9
+        lines += [line, line[:-k] + "0" * k]
+        assert 0.8 <= len(line_set(lines[-2]) & line_set(lines[-1])) / len(line_set(lines[-2]) | line_set(lines[-1])) <= 0.85
+    docs = [(i, x, "en", "s", 1) for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [i for i in range(0, len(lines), 2) if (got[i], got[i + 1]) != (1, 0)] == []
+
+
 def test_lines_on_odd_rows(spark):
     df = odd_documents(spark)
     rows = line_dedup.dedup_lines(df).collect()
