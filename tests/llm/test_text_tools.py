@@ -60,6 +60,21 @@ def test_packing_keeps_every_token_and_no_conflict(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_counts_token_ids(spark):
+    docs = odd_documents(spark, [(14, "日本語のとても長い文" * 300, "ja", "s3", 1)])
+    tool = Tokenizer.from_file(TOKENIZER)
+    want = {r["doc_id"]: len(tool.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    rows = packing.pack(docs, tokenizer=TOKENIZER).collect()
+    total, pieces = {}, {}
+    for r in rows:
+        assert r["n_tokens"] <= r["bin_tokens"] <= packing.CAPACITY
+        total[(r["doc_id"], r["copy"])] = total.get((r["doc_id"], r["copy"]), 0) + r["n_tokens"]
+        pieces[r["doc_id"]] = pieces.get(r["doc_id"], 0) + 1
+    assert {k: n for (k, _), n in total.items()} == want and len(total) == 15
+    assert pieces[8] > 1 and pieces[14] > 1
+    assert packing.pack(spark.createDataFrame([], DOCS), tokenizer=TOKENIZER).count() == 0
+
+
 def slow_distance(pattern, text):
     row, best = list(range(len(pattern) + 1)), len(pattern)
     for ch in text:

@@ -14,9 +14,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremora.llm.common import slices, stage
+from tremora.llm.token_codes import Encoder
+
 SHARD = 20_000
 CAPACITY = 2_048
 
@@ -75,6 +79,17 @@ def word_count(text):
     return F.when(flat == "", F.lit(1)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 2).cast("long")
 
 
+def token_count(batches, tokenizer: str):
+    """Token ids of every text, plus one for the end of the document."""
+    encode = Encoder(tokenizer)
+    for batch in batches:
+        for part in slices(batch, "text", limit=2 << 20):
+            total = [len(code) // 4 + 1 for code in encode([t or "" for t in part.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("source"), part.column("cluster"), pa.array(total, pa.int64())],
+                ["doc_id", "source", "cluster", "total"])
+
+
 def text_cluster(text):
     """Texts equal up to case and white space form one cluster; null and blank texts none."""
     flat = F.lower(F.regexp_replace(text, r"\s+", ""))
@@ -82,11 +97,13 @@ def text_cluster(text):
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None,
-         capacity: int = CAPACITY, shard_rows: int = SHARD) -> DataFrame:
+         capacity: int = CAPACITY, shard_rows: int = SHARD, tokenizer: str | None = None) -> DataFrame:
     """``shard, bin, position, doc_id, copy, first_token, n_tokens, bin_tokens`` for every piece of every row.
 
-    A row is one item of its words plus an end mark; a longer one is cut into
-    pieces of ``capacity`` tokens and a rest. Nothing is dropped: a null or empty
+    A row is one item of its tokens plus an end mark: ids of ``tokenizer`` (a file
+    of the tokenizers library) where given, else words between white space, which
+    say nothing of a text without spaces. A longer one is cut into pieces of
+    ``capacity`` tokens and a rest; pieces are dealt to shards one by one. Nothing is dropped: a null or empty
     text is one token. A null source or cluster conflicts with nothing. Rows that
     repeat a key are numbered by ``copy`` and, their texts being equal, never share
     a bin. Without ``cluster`` texts equal up to case and white space form a
@@ -95,13 +112,19 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     clusters = F.col(cluster) if cluster else text_cluster(F.col(text))
     items = df.select(
         F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        clusters.cast("string").alias("cluster"), word_count(F.col(text)).alias("total"))
-    shards = max(1, -(-df.count() // shard_rows))
+        clusters.cast("string").alias("cluster"), F.col(text).cast("string").alias("text"))
+    if tokenizer:
+        items = items.mapInArrow(lambda it: token_count(it, tokenizer), "doc_id long, source string, cluster string, total long")
+    else:
+        items = items.select("doc_id", "source", "cluster", word_count(F.col("text")).alias("total"))
+    items, _ = stage(items, "pack-lengths")
+    n_pieces = items.agg(F.coalesce(F.sum(F.ceil(F.col("total") / capacity)), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-n_pieces // shard_rows))
     items = items.groupBy("doc_id", "source", "cluster", "total").agg(F.count(F.lit(1)).alias("rows"))
     items = items.select("doc_id", "source", "cluster", "total", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("copy"))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "total"), F.lit(shards)).cast("int"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(capacity).cast("long"))
     pieces = items.select("*", F.explode(starts).alias("first_token"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "total", "first_token"), F.lit(shards)).cast("int"))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("first_token")))
     pieces = pieces.withColumns({"missing": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
     packed = pieces.groupBy("shard").applyInPandas(

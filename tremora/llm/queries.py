@@ -35,7 +35,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op3_embedding_dedup", """
