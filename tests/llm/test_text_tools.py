@@ -75,6 +75,23 @@ def test_packing_counts_token_ids(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer=TOKENIZER).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    from tremora.llm import queries
+
+    rng = random.Random(12)
+    docs = []
+    for g in range(6):
+        base = [f"w{g}x{rng.randrange(500)}" for _ in range(60)]
+        docs += [(10 * g + k, " ".join([*base, *(f"end{k}",)[:k]]), "en", f"s{g}_{k}", 1) for k in range(4)]
+    docs += [(100, "Same text", "en", "a", 1), (101, "sameTEXT", "en", "b", 1), (None, "same text", "en", "c", 1)]
+    docs.append((0, "another text of a repeated key", "en", "d", 1))
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs)
+    group = [(r["shard"], r["bin"], -1 if r["doc_id"] is None or r["doc_id"] >= 100 else r["doc_id"] // 10) for r in rows]
+    assert len(group) == len(set(group)) and len({g[:2] for g in group}) < len(group)
+
+
 def slow_distance(pattern, text):
     row, best = list(range(len(pattern) + 1)), len(pattern)
     for ch in text:

@@ -1,6 +1,6 @@
 """Best-fit packing of documents into fixed-length training sequences under conflicts.
 
-No bin may hold two documents of one source or of one cluster of duplicates. The
+No bin may hold two documents of one source, of one cluster or of one text. The
 documents of a shard are placed longest first. Bins are ordered by what is left in
 them; per source, per cluster and per residual a bitmap has one bit for every bin,
 so one expression tests all bins of a residual. The search starts at the smallest
@@ -18,23 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import slices, stage
+from tremora.llm.common import components, fresh, slices, stage
+from tremora.llm.near_dedup import near_groups
 from tremora.llm.token_codes import Encoder
 
 SHARD = 20_000
 CAPACITY = 2_048
 
 
-def best_fit(length, source, cluster, capacity: int) -> list[int]:
-    """Bin number per item; items come in the order in which they are placed."""
+def best_fit(length, source, cluster, capacity: int, same=None) -> list[int]:
+    """Bin number per item; items come in the order in which they are placed. Items equal in ``same`` conflict as well."""
     by_residual: dict[int, int] = {}
     residuals: list[int] = []
     residual: list[int] = []
     sources: dict = {}
     clusters: dict = {}
+    texts: dict = {}
     out = []
-    for n, s, c in zip(length, source, cluster):
-        taken = (sources.get(s, 0) if s is not None else 0) | (clusters.get(c, 0) if c is not None else 0)
+    for n, s, c, t in zip(length, source, cluster, same or [None] * len(length)):
+        held = [(by, v) for by, v in ((sources, s), (clusters, c), (texts, t)) if v is not None]
+        taken = 0
+        for by, v in held:
+            taken |= by.get(v, 0)
         i = bisect_left(residuals, n)
         while i < len(residuals) and not by_residual[residuals[i]] & ~taken:
             i += 1
@@ -56,10 +61,8 @@ def best_fit(length, source, cluster, capacity: int) -> list[int]:
         elif left > 0:
             by_residual[left] = bit
             insort(residuals, left)
-        if s is not None:
-            sources[s] = sources.get(s, 0) | bit
-        if c is not None:
-            clusters[c] = clusters.get(c, 0) | bit
+        for by, v in held:
+            by[v] = by.get(v, 0) | bit
         out.append(b)
     return out
 
@@ -67,7 +70,7 @@ def best_fit(length, source, cluster, capacity: int) -> list[int]:
 def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["n_tokens", "missing", "doc_id", "copy", "first_token"], ascending=[False, True, True, True, True], kind="stable")
     blank = lambda c: [None if pd.isna(v) else v for v in pdf[c]]
-    pdf = pdf.assign(bin=best_fit(pdf["n_tokens"].tolist(), blank("source"), blank("cluster"), capacity))
+    pdf = pdf.assign(bin=best_fit(pdf["n_tokens"].tolist(), blank("source"), blank("cluster"), capacity, blank("same")))
     pdf["bin_tokens"] = pdf.groupby("bin")["n_tokens"].transform("sum")
     pdf["position"] = pdf.groupby("bin").cumcount()
     return pdf[["shard", "bin", "position", "missing", "doc_id", "copy", "first_token", "n_tokens", "bin_tokens"]]
@@ -86,8 +89,8 @@ def token_count(batches, tokenizer: str):
         for part in slices(batch, "text", limit=2 << 20):
             total = [len(code) // 4 + 1 for code in encode([t or "" for t in part.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("source"), part.column("cluster"), pa.array(total, pa.int64())],
-                ["doc_id", "source", "cluster", "total"])
+                [part.column("doc_id"), part.column("source"), part.column("cluster"), part.column("same"), pa.array(total, pa.int64())],
+                ["doc_id", "source", "cluster", "same", "total"])
 
 
 def text_cluster(text):
@@ -106,22 +109,22 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     ``capacity`` tokens and a rest; pieces are dealt to shards one by one. Nothing is dropped: a null or empty
     text is one token. A null source or cluster conflicts with nothing. Rows that
     repeat a key are numbered by ``copy`` and, their texts being equal, never share
-    a bin. Without ``cluster`` texts equal up to case and white space form a
-    cluster. Other columns are not read; an empty table gives an empty result.
+    a bin. Nor do texts equal up to case and white space, whatever their cluster.
+    Other columns are not read; an empty table gives an empty result.
     """
-    clusters = F.col(cluster) if cluster else text_cluster(F.col(text))
+    clusters = F.col(cluster) if cluster else F.lit(None)
     items = df.select(
         F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        clusters.cast("string").alias("cluster"), F.col(text).cast("string").alias("text"))
+        clusters.cast("string").alias("cluster"), text_cluster(F.col(text)).alias("same"), F.col(text).cast("string").alias("text"))
     if tokenizer:
-        items = items.mapInArrow(lambda it: token_count(it, tokenizer), "doc_id long, source string, cluster string, total long")
+        items = items.mapInArrow(lambda it: token_count(it, tokenizer), "doc_id long, source string, cluster string, same long, total long")
     else:
-        items = items.select("doc_id", "source", "cluster", word_count(F.col("text")).alias("total"))
+        items = items.select("doc_id", "source", "cluster", "same", word_count(F.col("text")).alias("total"))
     items, _ = stage(items, "pack-lengths")
     n_pieces = items.agg(F.coalesce(F.sum(F.ceil(F.col("total") / capacity)), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-n_pieces // shard_rows))
-    items = items.groupBy("doc_id", "source", "cluster", "total").agg(F.count(F.lit(1)).alias("rows"))
-    items = items.select("doc_id", "source", "cluster", "total", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("copy"))
+    items = items.groupBy("doc_id", "source", "cluster", "same", "total").agg(F.count(F.lit(1)).alias("rows"))
+    items = items.select("doc_id", "source", "cluster", "same", "total", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("copy"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(capacity).cast("long"))
     pieces = items.select("*", F.explode(starts).alias("first_token"))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "total", "first_token"), F.lit(shards)).cast("int"))
@@ -131,3 +134,12 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
         lambda pdf: pack_shard(pdf, capacity),
         "shard int, bin long, position long, missing boolean, doc_id long, copy int, first_token long, n_tokens long, bin_tokens long")
     return packed.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
+
+
+def pack_apart(df: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``pack`` with the groups of near copies (five-word shingles, Jaccard 0.8) of ``df`` as clusters."""
+    groups = near_groups(df, key, text).where("doc_id IS NOT NULL")
+    many, _ = stage(components(groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))), "pack-clusters")
+    at, cluster = fresh(df, "_near", "_cluster")
+    many = many.select(F.col("id").alias(at), F.col("component").alias(cluster))
+    return pack(df.join(many, F.col(key).cast("long") == F.col(at), "left"), key, text, cluster=cluster, **more)
