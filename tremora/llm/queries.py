@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremora.llm import (
-    chat, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, token_codes, url_rules)
+    alignment, chat, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, runs, sharding, token_codes,
+    url_rules)
 from tremora.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +140,96 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES, "page_id")
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    out = alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+#: Unsigned CRC-32 in SQL: a table of remainders by recursion, then one step a byte.
+CRC = """
+step(b, k, c) AS (SELECT b, 0, b FROM range(256) t(b) UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8)"""
+
+
+def crc(text: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda p: ('0x' || p)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+def with_periods(df: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents repeat a stretch of their words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    df = df.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    w = F.expr("filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')")
+    df = df.withColumn("w", F.when(F.col("h") % 10 == 0, w)).withColumn("n", F.size("w"))
+    df = df.withColumn("from", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - from) div (3 + g % 8)"))
+    return df.select("doc_id", F.expr(
+        "IF(n > 0, array_join(transform(w, (x, i) -> IF(i < from, x, w[int(from + (i - from) % p)])), ' '), text) AS text"))
+
+
+@query("op12_periodic_runs", rf"""
+WITH RECURSIVE {CRC},
+k AS (SELECT doc_id, {crc("coalesce(doc_id::VARCHAR, '')")}::BIGINT AS h,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents, crc_table),
+v AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM k),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND doc_id IS NOT NULL THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+    ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w FROM v),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+island AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e FROM
+    (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same) GROUP BY doc_id, q, g),
+long AS MATERIALIZED (SELECT * FROM island WHERE e - s >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM long m WHERE m.doc_id = l.doc_id AND m.q < l.q AND m.s <= l.s AND m.e >= l.e)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM run),
+r AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM run GROUP BY doc_id),
+top AS (SELECT doc_id, s, e - s AS l, q FROM run a WHERE NOT EXISTS (SELECT 1 FROM run b WHERE b.doc_id = a.doc_id AND
+    ((b.e - b.s) * a.q > (a.e - a.s) * b.q OR ((b.e - b.s) * a.q = (a.e - a.s) * b.q AND (b.s < a.s OR (b.s = a.s AND b.q < a.q)))))),
+c AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.word_runs(with_periods(table(spark, sf_dir, "documents")))
+    top = F.expr("aggregate(slice(runs, 2, greatest(size(runs), 1)), runs[0], (t, x) -> IF(x.length * t.period > t.length * x.period, x, t))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = out.withColumn("top", F.when(F.size("runs") > 0, top))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def draw(kind: str, node: str) -> str:
+    """SQL of minus the logarithm of a number drawn by kind, node and key."""
+    return f"(-ln((('0x' || substr(md5('{kind}:' || {node} || ':' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496))"
+
+
+@query("op13_sharding", f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT doc_id, coalesce('k' || doc_id, 'null') AS k, coalesce(strlen(text), 0) + 16 AS size, {crc("coalesce(text, '')")}::BIGINT AS text_crc32
+  FROM documents, crc_table),
+keys AS MATERIALIZED (SELECT DISTINCT k FROM d),
+region AS MATERIALIZED (SELECT k, arg_min(r, {draw("region", "r")}) AS region, min({draw("region", "r")} / 8) AS time FROM keys, range(5) t(r) GROUP BY k),
+rack AS (SELECT k, time, arg_min(q, {draw("rack", "q")}) AS rack FROM (SELECT k, time, 2 * region + j AS q FROM region, range(2) t(j)) GROUP BY k, time),
+shard AS MATERIALIZED (SELECT k, time, arg_min(s, {draw("shard", "s")}) AS shard FROM (SELECT k, time, 4 * rack + j AS s FROM rack, range(4) t(j)) GROUP BY k, time),
+-- shard 40 is the first of rack 10, the first of region 5: later than its region's time by a draw for each level that another child leads
+grown AS (SELECT k, {draw("region", "5")} / 8 + CASE WHEN {draw("rack", "10")} <= {draw("rack", "11")} THEN 0 ELSE {draw("later-rack", "10")} / 4 END
+  + CASE WHEN {draw("shard", "40")} <= least({draw("shard", "41")}, {draw("shard", "42")}, {draw("shard", "43")}) THEN 0 ELSE {draw("later-shard", "40")} END AS time
+  FROM keys)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  CASE WHEN grown.time < shard.time THEN 40 ELSE shard END::INT AS grown_shard
+FROM d JOIN shard USING (k) JOIN grown USING (k)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
