@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora import config as C
 from tremora.functions.exprs import ebic_gamma, shrinkage_delta
-from tremora.session import attach, spread
+from tremora.operators.sparse import CONVERGED
+from tremora.operators.spectrum import smallest_eigenvalues
+from tremora.session import attach
 
 
 def check(df: DataFrame, stage: str, name: str, passed: Column, detail: Column | None = None) -> DataFrame:
@@ -54,28 +54,11 @@ def correlations(pairs: DataFrame) -> DataFrame:
                  check(t, "stage1", "corr_ordered", F.col("unordered") == 0, F.col("unordered")))
 
 
-def definiteness(pairs: DataFrame, limit: int = 4096) -> DataFrame:
-    """Smallest eigenvalue of each window matrix.
-
-    One task holds one dense window matrix; windows above ``limit`` assets are
-    reported as not examined instead of being squeezed into a task.
-    """
-    size = pairs.groupBy("snapshot").agg(F.count("*").alias("m"))
-    small = size.where(F.col("m") <= limit * (limit - 1) / 2)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        r, c = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
-        m = np.eye(len(ids))
-        m[r, c] = m[c, r] = pdf["v"]
-        return pd.DataFrame({"snapshot": [key[0]], "low": [float(np.linalg.eigvalsh(m)[0])]})
-
-    kind = pairs.schema["snapshot"].dataType.simpleString()
-    low = spread(pairs.join(small, "snapshot", "left_semi").select("snapshot", "i", "j", "v"), "snapshot").groupBy("snapshot").applyInPandas(
-        run, f"snapshot {kind}, low double")
-    big = size.join(small, "snapshot", "left_anti")
-    return union(check(low, "stage1", "corr_near_psd", F.col("low") >= -1e-8, F.col("low")),
-                 check(big, "stage1", "corr_near_psd", F.lit(False), F.lit("not examined: window too large")))
+def definiteness(pairs: DataFrame) -> DataFrame:
+    """Smallest eigenvalue of each window matrix, at any number of assets."""
+    nodes = pairs.select("snapshot", F.explode(F.array("i", "j")).alias("node")).distinct()
+    low = smallest_eigenvalues(pairs, nodes)
+    return check(low, "stage1", "corr_near_psd", F.col("low") >= -1e-8, F.col("low"))
 
 
 def tiers(selection: DataFrame) -> DataFrame:
@@ -91,8 +74,8 @@ def sparse_edges(edges: DataFrame, selection: DataFrame, scored: DataFrame | Non
              check(t, "stage2", "weights_in_range", (F.col("lo") >= 0) & (F.col("hi") <= 1 + 1e-9)),
              check(selection, "stage2", "edge_floor", F.col("k") >= F.greatest("p", F.lit(10)), F.col("k"))]
     if scored is not None:
-        v = scored.groupBy("snapshot").agg(F.max("violation").alias("v"))
-        parts.append(check(v, "stage2", "optimality", F.col("v") < 1e-3, F.col("v")))
+        v = scored.join(selection.where("status = 'ok'").select("snapshot", "lam"), ["snapshot", "lam"])
+        parts.append(check(v, "stage2", "optimality", F.col("violation") < CONVERGED, F.col("violation")))
     return union(*parts)
 
 

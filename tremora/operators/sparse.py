@@ -1,8 +1,9 @@
 """Sparse precision networks: penalised likelihood over a penalty grid, selection and edges.
 
 The graphical LASSO splits exactly along the connected components of the graph
-``|s_ij| > lambda``, so a task solves one component of one window and penalty;
-isolated assets are closed form and never reach Python.
+``|s_ij| > lambda``, and components only merge as the penalty falls. A task takes one
+component of the smallest penalty and walks all penalties, each from the solution
+before; isolated assets are closed form and never reach Python.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tremora import config as C
 from tremora.functions.exprs import ebic_gamma, shrinkage_delta
 from tremora.operators.graph import connected_components
+from tremora.operators.spectrum import smallest_eigenvalues
 from tremora.session import materialize, spread
 
 
@@ -44,117 +46,193 @@ def _violation(s: np.ndarray, theta: np.ndarray, w: np.ndarray, lam: float, off:
     return float(np.where(theta != 0, np.abs(grad + lam * np.sign(theta) * off), np.maximum(np.abs(grad) - lam * off, 0.0)).max())
 
 
-def solve_glasso(s: np.ndarray, lam: float, tol: float = 1e-6, most: int = 60):
-    """Newton steps for ``tr(S Theta) - logdet Theta + lam * |offdiag|_1``.
-
-    Each step minimises the quadratic model by coordinate descent over the free
-    entries (non-zero, or with a gradient above the penalty) and backtracks to a
-    sufficient decrease. Returns ``(theta, steps, violation)`` with the largest
-    violation of the optimality conditions, for the caller to judge.
+def _value(s: np.ndarray, theta: np.ndarray, weight: np.ndarray) -> float:
+    """Objective; infinite where ``theta`` is not positive definite."""
+    try:
+        logdet = 2 * np.log(np.diag(np.linalg.cholesky(theta))).sum()
+    except np.linalg.LinAlgError:
+        return np.inf
+    return float((s * theta).sum() - logdet + (weight * np.abs(theta)).sum())
+
+
+def duality_gap(s: np.ndarray, w: np.ndarray, weight: np.ndarray, value: float) -> float:
+    """Objective less the dual value of the inverse clipped to its bounds; infinite without a feasible point."""
+    try:
+        chol = np.linalg.cholesky(np.clip(w, s - weight, s + weight))
+    except np.linalg.LinAlgError:
+        return np.inf
+    return float(value - 2 * np.log(np.diag(chol)).sum() - len(s))
+
+
+def _newton_direction(w: np.ndarray, rest: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Solve ``(W D W) = rest`` on the free entries by preconditioned conjugate gradients, as exactly as the step needs."""
+    diag = np.diag(w)
+    scale = 1.0 / (np.outer(diag, diag) + w * w)
+    d, norm = np.zeros_like(w), float(np.sqrt((rest * rest).sum()))
+    enough = min(0.1, np.sqrt(norm / len(w))) * norm
+    y = scale * rest
+    q, ry = y, float((rest * y).sum())
+    for _ in range(len(w)):
+        h = np.where(free, w @ q @ w, 0.0)
+        a = ry / float((q * h).sum())
+        d = d + a * q
+        rest = rest - a * h
+        if np.sqrt((rest * rest).sum()) <= enough:
+            break
+        y = scale * rest
+        ry, old = float((rest * y).sum()), ry
+        q = y + (ry / old) * q
+    return d
+
+
+def minimise(s: np.ndarray, lam: float, tol: float = 1e-6, start: np.ndarray | None = None):
+    """Minimise ``tr(S Theta) - logdet Theta + lam * |offdiag|_1``, from ``start`` where given.
+
+    A step fixes the signs of the non-zero entries and of those whose gradient
+    exceeds the penalty, takes the Newton direction on them by conjugate gradients
+    (matrix products only), sets entries that would change sign to zero and halves
+    the step until the objective falls enough; where no Newton step does, a proximal
+    gradient step is taken. Returns ``(theta, steps, violation, gap, reason)``: the
+    largest violation of the optimality conditions, the duality gap, and ``optimal``
+    (violation below ``tol``) or ``stalled`` (no step lowers the objective any more).
     """
-    p = len(s)
-    off = ~np.eye(p, dtype=bool)
-    theta = np.diag(1.0 / np.diag(s))
-    w = np.diag(np.diag(s)).astype(float)
-    value = np.log(np.diag(s)).sum() + p
-    gap = _violation(s, theta, w, lam, off)
-    for step in range(most):
-        if gap < tol:
-            return theta, step, gap
-        free = np.triu((theta != 0) | (np.abs(s - w) > lam * off))
-        rows, cols = np.nonzero(free)
-        d, u = np.zeros((p, p)), np.zeros((p, p))  # u = d @ w
-        diag = np.diag(w)
-        for turn in range(1 + step // 3):
-            largest = 0.0
-            for i, j in zip(rows.tolist(), cols.tolist()):
-                b = s[i, j] - w[i, j] + w[i] @ u[:, j]
-                if i == j:
-                    mu = -b / (diag[i] * diag[i])
-                    d[i, i] += mu
-                    u[i] += mu * w[i]
-                else:
-                    a = w[i, j] * w[i, j] + diag[i] * diag[j]
-                    c = theta[i, j] + d[i, j]
-                    z = c - b / a
-                    mu = (z - lam / a if z > lam / a else z + lam / a if z < -lam / a else 0.0) - c
-                    if mu == 0.0:
-                        continue
-                    d[i, j] += mu
-                    d[j, i] += mu
-                    u[i] += mu * w[j]
-                    u[j] += mu * w[i]
-                largest = max(largest, abs(mu))
-            if largest < 1e-12:
-                break
-        weight = lam * off
-        slope = float(((s - w) * d).sum() + (weight * (np.abs(theta + d) - np.abs(theta))).sum())
-        size, penal = 1.0, float((weight * np.abs(theta)).sum())
-        while size > 1e-10:
-            cand = theta + size * d
-            try:
-                chol = np.linalg.cholesky(cand)
-                new = -2 * np.log(np.diag(chol)).sum() + float((s * cand).sum())
-                if new + float((weight * np.abs(cand)).sum()) <= value + penal + 1e-3 * size * slope + 1e-12:
-                    break
-            except np.linalg.LinAlgError:
-                pass
-            size /= 2
-        else:
-            return theta, step, gap
-        theta, value = cand, new
+    off = ~np.eye(len(s), dtype=bool)
+    weight = lam * off
+    theta = np.diag(1.0 / np.diag(s)) if start is None else start
+    value, steps = _value(s, theta, weight), 0
+    while True:
         w = np.linalg.inv(theta)
         w = (w + w.T) / 2
-        gap = _violation(s, theta, w, lam, off)
-    return theta, most, gap
+        grad = s - w
+        worst = _violation(s, theta, w, lam, off)
+        if worst < tol:
+            return theta, steps, worst, duality_gap(s, w, weight, value), "optimal"
+        sign = np.where(theta != 0, np.sign(theta), np.where(np.abs(grad) > lam, -np.sign(grad), 0.0))
+        free = (sign != 0) | ~off
+        slope = np.where(free, grad + weight * sign, 0.0)
+        d = _newton_direction(w, -slope, free)
+        size, found = 1.0, False
+        while size > 1e-10 and not found:
+            cand = theta + size * (d + d.T) / 2
+            cand = np.where(off & (np.sign(cand) != sign), 0.0, cand)
+            new = _value(s, cand, weight)
+            found = new <= value + 1e-4 * float((slope * (cand - theta)).sum()) + 1e-13 * abs(value) and not np.array_equal(cand, theta)
+            size /= 2
+        size = 1.0
+        while size > 1e-14 and not found:
+            cand = theta - size * grad
+            cand = np.sign(cand) * np.maximum(np.abs(cand) - size * weight, 0.0)
+            new = _value(s, cand, weight)
+            found = new < value
+            size /= 2
+        if not found:
+            return theta, steps, worst, duality_gap(s, w, weight, value), "stalled"
+        theta, value, steps = cand, new, steps + 1
+
+
+def solve_glasso(s: np.ndarray, lam: float, tol: float = 1e-6):
+    """``(theta, steps, violation)`` for one penalty from the diagonal start."""
+    return minimise(s, lam, tol)[:3]
+
+
+def _parts(linked: np.ndarray) -> list[np.ndarray]:
+    """Connected components of a boolean adjacency matrix, larger ones only by flooding."""
+    left, out = np.ones(len(linked), bool), []
+    for i in range(len(linked)):
+        if not left[i]:
+            continue
+        seen = np.zeros(len(linked), bool)
+        edge = np.zeros(len(linked), bool)
+        edge[i] = True
+        while edge.any():
+            seen |= edge
+            edge = linked[edge].any(axis=0) & ~seen
+        left &= ~seen
+        out.append(np.flatnonzero(seen))
+    return out
+
+
+def solve_path(s: np.ndarray, lambdas: list[float], tol: float = 1e-6):
+    """Solutions for falling penalties, each from the one before; ``(lam, theta, steps, violation, gap, reason)``.
+
+    A penalty falls apart into the components of the correlations above it, which
+    only merge as penalties fall, so the solution before is block diagonal in them.
+    """
+    theta = np.diag(1.0 / np.diag(s))
+    for lam in sorted(lambdas, reverse=True):
+        new, steps, worst, gap, reason = np.diag(1.0 / np.diag(s)), 0, 0.0, 0.0, "optimal"
+        for part in _parts(np.abs(s) > lam):
+            if len(part) > 1:
+                at = np.ix_(part, part)
+                new[at], n, v, g, why = minimise(s[at], lam, tol, theta[at])
+                steps, worst, gap, reason = max(steps, n), max(worst, v), gap + g, why if why != "optimal" else reason
+        theta = new
+        yield lam, theta, steps, worst, gap, reason
+
+
+def spectral_shift(s: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(snapshot, shift)`` to add to the diagonal of each window, one for all its components and penalties.
+
+    Windows that row sums prove positive definite need none; for the others the
+    smallest eigenvalue decides.
+    """
+    sides = s.select("snapshot", F.explode(F.array("i", "j")).alias("node"), F.abs("s").alias("v"))
+    low = 1 - F.coalesce(F.sum("v"), F.lit(0.0))
+    bound = sides.groupBy("snapshot", "node").agg(low.alias("low")).groupBy("snapshot").agg(F.min("low").alias("low"))
+    open_ = materialize(bound.where(F.col("low") < C.SPECTRAL_TRIGGER).select("snapshot"), "gl-open")
+    found = smallest_eigenvalues(s.join(open_, "snapshot", "left_semi"), nodes.join(open_, "snapshot", "left_semi"), "s")
+    shift = F.when(F.col("low") < C.SPECTRAL_TRIGGER, C.SPECTRAL_TARGET - F.col("low")).otherwise(0.0)
+    return nodes.select("snapshot").distinct().join(found, "snapshot", "left").select("snapshot", F.coalesce(shift, F.lit(0.0)).alias("shift"))
 
 
-def fit_grid(corr: DataFrame, nodes: DataFrame, lambdas: list[float]) -> tuple[DataFrame, DataFrame]:
+def fit_grid(corr: DataFrame, nodes: DataFrame, lambdas: list[float], shift: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Solve every window for every penalty.
 
     ``corr`` is ``(snapshot, i, j, s)`` with ``i < j``, ``nodes`` is
-    ``(snapshot, node)``. Returns the support entries ``(snapshot, lam, i, j,
-    omega)`` including the diagonal, and one summary row per component.
+    ``(snapshot, node)``, ``shift`` an optional ``(snapshot, shift)`` of the diagonal.
+    A component of the smallest penalty is one task that walks all penalties, each
+    pair sent once. Returns the support entries ``(snapshot, lam, i, j, omega)``
+    including the diagonal, and one summary row per window and penalty.
     """
     grid = F.explode(F.array(*[F.lit(v) for v in lambdas]))
-    keys = ("snapshot", "lam")
-    linked = corr.withColumn("lam", grid).where(F.abs("s") > F.col("lam"))
-    cand = linked.select("snapshot", "lam", F.col("i").alias("a"), F.col("j").alias("b"))
-    every = materialize(nodes.withColumn("lam", grid), "gl-nodes")
-    comp = materialize(connected_components(cand, every, keys), "gl-comp")
-    size = comp.groupBy("snapshot", "lam", "component").agg(F.count("*").alias("size"))
-    ci = comp.select("snapshot", "lam", F.col("node").alias("i"), F.col("component"))
-    cj = comp.select("snapshot", "lam", F.col("node").alias("j"), F.col("component"))
-    inside = corr.withColumn("lam", grid).join(ci, ["snapshot", "lam", "i"]).join(cj, ["snapshot", "lam", "j", "component"])
+    cand = corr.where(F.abs("s") > min(lambdas)).select("snapshot", F.col("i").alias("a"), F.col("j").alias("b"))
+    every = materialize(nodes if shift is None else nodes.join(shift, "snapshot"), "gl-nodes")
+    comp = connected_components(cand, every.select("snapshot", "node"), ("snapshot",)).join(every, ["snapshot", "node"])
+    comp = materialize(comp.withColumn("extra", F.lit(0.0) if shift is None else F.col("shift")), "gl-comp")
+    size = comp.groupBy("snapshot", "component").agg(F.count("*").alias("size"))
+    ci = comp.select("snapshot", F.col("node").alias("i"), "component", "extra")
+    cj = comp.select("snapshot", F.col("node").alias("j"), "component")
+    inside = corr.select("snapshot", "i", "j", "s").join(ci, ["snapshot", "i"]).join(cj, ["snapshot", "j", "component"])
     t = nodes.schema["node"].dataType.simpleString()
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        snap, lam, comp_ = key
+        snap, comp_ = key
         ids = np.unique(np.concatenate([pdf["i"].to_numpy(), pdf["j"].to_numpy()]))
         r, c = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
-        s = np.eye(len(ids))
+        s = (1.0 + pdf["extra"].iloc[0]) * np.eye(len(ids))
         s[r, c] = s[c, r] = pdf["s"].to_numpy()
-        low = float(np.linalg.eigvalsh(s)[0])
-        if low < C.SPECTRAL_TRIGGER:
-            s += (C.SPECTRAL_TARGET - low) * np.eye(len(ids))
-        theta, n_iter, gap = solve_glasso(s, lam)
-        logdet = float(np.linalg.slogdet(theta)[1])
-        a, b = np.nonzero(np.triu(np.abs(theta) > C.EDGE_EPS))
-        out = pd.DataFrame({"snapshot": snap, "lam": lam, "component": comp_, "i": ids[a], "j": ids[b], "omega": theta[a, b],
-                            "logdet": np.nan, "tr": np.nan, "n_iter": n_iter, "violation": gap})
-        out.loc[0, ["logdet", "tr"]] = [logdet, float((s * theta).sum())]
-        return out
-
-    fitted = materialize(spread(inside, "snapshot", "lam", "component").groupBy("snapshot", "lam", "component").applyInPandas(
-        run, f"snapshot string, lam double, component {t}, i {t}, j {t}, omega double, logdet double, tr double, n_iter int, violation double"), "gl-fit")
-    alone = comp.join(size.where("size = 1"), ["snapshot", "lam", "component"]).select(
-        "snapshot", "lam", "component", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("omega"),
-        F.lit(0.0).alias("logdet"), F.lit(1.0).alias("tr"), F.lit(0).alias("n_iter"), F.lit(0.0).alias("violation"))
+        out = []
+        for lam, theta, n_iter, worst, gap, reason in solve_path(s, lambdas):
+            a, b = np.nonzero(np.triu(np.abs(theta) > C.EDGE_EPS))
+            part = pd.DataFrame({"snapshot": snap, "lam": lam, "component": comp_, "i": ids[a], "j": ids[b], "omega": theta[a, b],
+                                 "logdet": np.nan, "tr": np.nan, "n_iter": n_iter, "violation": worst, "gap": gap, "reason": reason})
+            part.loc[0, ["logdet", "tr"]] = [float(np.linalg.slogdet(theta)[1]), float((s * theta).sum())]
+            out.append(part)
+        return pd.concat(out)
+
+    fitted = materialize(spread(inside, "snapshot", "component").groupBy("snapshot", "component").applyInPandas(
+        run, f"snapshot string, lam double, component {t}, i {t}, j {t}, omega double, logdet double, tr double, n_iter int, violation double, "
+             "gap double, reason string"), "gl-fit")
+    alone = comp.join(size.where("size = 1"), ["snapshot", "component"]).withColumn("lam", grid).select(
+        "snapshot", "lam", "component", F.col("node").alias("i"), F.col("node").alias("j"), (1 / (1 + F.col("extra"))).alias("omega"),
+        (-F.log1p("extra")).alias("logdet"), F.lit(1.0).alias("tr"), F.lit(0).alias("n_iter"), F.lit(0.0).alias("violation"),
+        F.lit(0.0).alias("gap"), F.lit("optimal").alias("reason"))
     rows = fitted.unionByName(alone)
     head = ~F.isnan("logdet")
     summary = rows.groupBy("snapshot", "lam").agg(
         F.sum(F.when(head, F.col("logdet"))).alias("logdet"), F.sum(F.when(head, F.col("tr"))).alias("tr"),
-        F.count(F.when(F.col("i") != F.col("j"), 1)).alias("k"), F.max("n_iter").alias("n_iter"), F.max("violation").alias("violation"))
+        F.count(F.when(F.col("i") != F.col("j"), 1)).alias("k"), F.max("n_iter").alias("n_iter"), F.max("violation").alias("violation"),
+        F.sum(F.when(head, F.col("gap"))).alias("gap"), F.max("reason").alias("reason"))
     return rows.select("snapshot", "lam", "i", "j", "omega"), summary
 
 
@@ -241,5 +319,5 @@ def sparse_network(pairs: DataFrame, panel: DataFrame, lambdas: list[float] | No
     sizes = materialize(window_sizes(panel), "gl-size")
     s = materialize(shrunk(pairs, sizes), "gl-s")
     nodes = panel.select("snapshot", F.col("asset").alias("node")).distinct()
-    entries, summary = fit_grid(s, nodes, lambdas or lambda_grid())
+    entries, summary = fit_grid(s, nodes, lambdas or lambda_grid(), spectral_shift(s, nodes))
     return choose_edges(entries, summary, sizes, early_stop)
