@@ -203,7 +203,7 @@ def slow_alignment(docs):
              ";".join(",".join(map(str, s)) + "|" + ",".join(map(str, t)) for s, t in g)) for k, a, b, g, ls in out]
 
 
-@pytest.mark.parametrize("chunk, block", [(8 << 20, 2_000_000), (3_000, 200)])
+@pytest.mark.parametrize("chunk, block", [(4 << 20, 2_000_000), (3_000, 200)])
 def test_alignment_matches_brute_force(spark, monkeypatch, chunk, block):
     texts = ["a  b\n\n\n  c", "▁x", "<0x41> <|endoftext|> <s> </s>", "café 漢字漢 \U0001F600\U0001F600", "ﬁ ½", "\U0001F600" * 50,
              "漢字" * 70, "\x00 a\x07", " " * 300, "aé " * 20, "aé " * 20]
@@ -212,7 +212,7 @@ def test_alignment_matches_brute_force(spark, monkeypatch, chunk, block):
     docs = docs.unionByName(some, allowMissingColumns=True)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = sorted(slow_alignment(rows), key=str)
-    if chunk < 8 << 20:  # chunks and blocks cut everywhere, in this process
+    if chunk < 4 << 20:  # chunks and blocks cut everywhere, in this process
         monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(alignment, "BLOCK_LINKS", block)
     got = sorted((tuple(r) for r in alignment.align(docs, A, B).collect()), key=str)

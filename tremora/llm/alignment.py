@@ -18,7 +18,7 @@ Defined results: texts that are null, empty or not given back byte by byte by bo
 tokenizers have no tokens, zero counts and no groups; strings of special tokens are
 plain text; a null key stays null; repeated rows are documents of their own; an
 empty table gives no rows. Only the key and text columns are read, whatever others
-are called. A task holds a chunk of about 8 MB of texts, or one longer text.
+are called. A task holds a chunk of about 4 MB of texts, or one longer text.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tremora.llm.common import slices, stage
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+ENCODE_BYTES = 256 << 10
 BLOCK_LINKS = 2_000_000
 PAIRS_A_ROW = 1_000
 _IDS = pa.list_(pa.int32())
@@ -81,9 +82,15 @@ class Tokens:
             held.__dict__[a_file, b_file] = cls(a_file, b_file)
         return held.__dict__[a_file, b_file]
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return pa.array(a, pa.large_list(pa.int32())), pa.array(self.b.encode(texts, num_threads=1), pa.large_list(pa.int32()))
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Nested ids of all texts; only those of about ``ENCODE_BYTES`` of text are Python objects at a time."""
+        nested = pa.large_list(pa.int32())
+        a, b = [pa.array([], nested)], [pa.array([], nested)]
+        for part in slices(pa.record_batch({"text": texts}), "text", limit=ENCODE_BYTES):
+            some = part.column("text").to_pylist()
+            a.append(pa.array([e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)], nested))
+            b.append(pa.array(self.b.encode(some, num_threads=1), nested))
+        return pa.concat_arrays(a), pa.concat_arrays(b)
 
 
 def spelled(ids: pa.Array, entries: pa.Array) -> pa.Array:
@@ -153,7 +160,7 @@ def code_chunks(batches, a_file: str, b_file: str):
             chunk = (TaskContext.get().partitionId() << 32) + seq
             seq += 1
             text = pc.fill_null(piece.column("text"), "").cast(pa.large_string())
-            ids_a, ids_b = tool.encode(text.to_pylist())
+            ids_a, ids_b = tool.encode(text)
             whole = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())).cast(pa.large_binary())
             valid = pc.and_(pc.equal(spelled(ids_a, tool.a_bytes), whole), pc.equal(spelled(ids_b, tool.b_bytes), whole))
             valid = pc.and_(valid, pc.greater(pc.binary_length(text), 0))
