@@ -203,7 +203,7 @@ def slow_alignment(docs):
              ";".join(",".join(map(str, s)) + "|" + ",".join(map(str, t)) for s, t in g)) for k, a, b, g, ls in out]
 
 
-@pytest.mark.parametrize("chunk, block", [(4 << 20, 2_000_000), (3_000, 200)])
+@pytest.mark.parametrize("chunk, block", [(2 << 20, 2_000_000), (3_000, 200)])
 def test_alignment_matches_brute_force(spark, monkeypatch, chunk, block):
     texts = ["a  b\n\n\n  c", "▁x", "<0x41> <|endoftext|> <s> </s>", "café 漢字漢 \U0001F600\U0001F600", "ﬁ ½", "\U0001F600" * 50,
              "漢字" * 70, "\x00 a\x07", " " * 300, "aé " * 20, "aé " * 20]
@@ -212,9 +212,20 @@ def test_alignment_matches_brute_force(spark, monkeypatch, chunk, block):
     docs = docs.unionByName(some, allowMissingColumns=True)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = sorted(slow_alignment(rows), key=str)
-    if chunk < 4 << 20:  # chunks and blocks cut everywhere, in this process
+    if chunk < 2 << 20:  # chunks and blocks cut everywhere, in this process
         monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(alignment, "BLOCK_LINKS", block)
-    got = sorted((tuple(r) for r in alignment.align(docs, A, B).collect()), key=str)
-    assert got == want
-    assert alignment.align(spark.createDataFrame([], DOCS), A, B).count() == 0
+    got = alignment.rate(alignment.align(docs, A, B)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert alignment.rate(alignment.align(spark.createDataFrame([], DOCS), A, B)).count() == 0
+
+
+def test_byte_pair_ids_equal_the_tokenizer_file():
+    tool, other = alignment.Tokens(A, B), Tokenizer.from_file(A)
+    other.encode_special_tokens = True
+    letters = [chr(i) for i in range(0x3400) if not 0xD800 <= i < 0xE000]
+    texts = [f" {a}{b}x {a}  {b}\n{a}{a}1{b}" for a, b in zip(letters, letters[7:] + letters[:7])]
+    texts += [" " + t for t in ("<|endoftext|> it's  we'll\t\n \r\n x", "x" * 5000, " " * 999, "\U0001F600" * 300, "漢字かな" * 200, "a\u00a0b\u2003 c\u3000")]
+    assert [tool.a.encode_ordinary(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        alignment.Tokens(public.path("word_bpe_49k.json"), B)

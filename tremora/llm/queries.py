@@ -145,7 +145,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     out = alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
-    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+    return alignment.rate(out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups"))
 
 
 #: Unsigned CRC-32 in SQL: a table of remainders by recursion, then one step a byte.
