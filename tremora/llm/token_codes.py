@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora.llm.common import slices, stage
-from tremora.session import shared_dir
+from tremora.session import shared_dir, spread
 
 END_ID = 2
 FILE_IDS = 4_000_000
 CACHE_WORDS = 300_000
 ENCODE_WORDS = 2_000
+WHOLE_CHARS = 256_000
 BLOCK_BITS = 512
 _HEAD = "<4sIQQ"
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint64)
@@ -142,6 +143,18 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the library takes whole, in few calls."""
+        out, some, size = [], [], 0
+        for t in [*texts, None]:
+            if some and (t is None or size > WHOLE_CHARS):
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(some, add_special_tokens=False)]
+                some, size = [], 0
+            if t is not None:
+                some.append(t)
+                size += len(t)
+        return out
+
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), ENCODE_WORDS):
             some = words[i:i + ENCODE_WORDS]
@@ -160,8 +173,8 @@ class Encoder:
             new.update(w[1:] if w else ())
         self.learn([w for w in new - self.known.keys() if w])
         self.known[""] = self.whole(" ")  # a space that ends a text
-        return [self.whole(t) if w is None else self.whole(w[0]) + b"".join(map(self.known.__getitem__, w[1:]))
-                for t, w in zip(texts, words)]
+        heads = self.many([t if w is None else w[0] for t, w in zip(texts, words)])
+        return [h if w is None else h + b"".join(map(self.known.__getitem__, w[1:])) for h, w in zip(heads, words)]
 
 
 def open_uri(uri: str) -> tuple[pfs.FileSystem, str]:
@@ -241,6 +254,6 @@ def read_files(frames, folder: str):
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` per document, decoded from the files."""
-    out = files.select("name", "start").repartition("name").mapInPandas(
+    out = spread(files.select("name", "start"), "name").mapInPandas(  # an explicit count: the list is tiny, the work is not
         lambda it: read_files(it, folder), "doc_id long, missing boolean, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
