@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tremora.operators.graph import KEYS
 from tremora.session import materialize, materialize_with, release
 
-SETTLE = 6
-MOST_ROUNDS = 500
+LOOSE_ROUNDS = 6
 
 
 def _strength(edges: DataFrame, k: list[str]) -> DataFrame:
@@ -20,76 +19,118 @@ def _strength(edges: DataFrame, k: list[str]) -> DataFrame:
     return edges.select(*k, "weight", ends.alias("node")).groupBy(*k, "node").agg(F.sum("weight").alias("k"))
 
 
-def _move(edges: DataFrame, nodes: DataFrame, k: list[str], resolution: float) -> DataFrame:
-    """Local moving on one level; returns ``(keys, node, community)``.
+def _neighbours(edges: DataFrame, k: list[str]) -> DataFrame:
+    """Both directions ``(keys, u, v, weight)`` of the edges between different nodes."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    return edges.where("a <> b").select(*k, "weight", ends.alias("e")).select(*k, "e.u", "e.v", "weight")
+
 
-    In every round a part of the nodes (chosen by hash, fewer as rounds go by) may
-    join the neighbouring community of largest gain. Two singletons only merge
-    towards the smaller label, which rules out swapping. Rounds go on until no node
-    of any graph gains; a graph without a gain stays as it is, so its labels do not
-    depend on the other graphs of the job. Gains are compared to nine decimals,
-    above the noise of the order in which they were summed.
+def best_moves(st: DataFrame, nb: DataFrame, k: list[str], resolution: float) -> DataFrame:
+    """``(keys, node, own, k, m2, b, g0, s0)``: the best community ``b`` around each node and the gain and size of its own.
+
+    ``st`` is ``(keys, node, c, k, m2)``. Gains are compared to nine decimals, above
+    the noise of the order in which they were summed.
     """
+    tot = st.groupBy(*k, "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    to = nb.join(st.select(*k, F.col("node").alias("v"), "c"), k + ["v"]).select(*k, F.col("u").alias("node"), "c", "weight")
+    own = st.select(*k, "node", "c", F.lit(0.0).alias("weight"))
+    cand = (
+        to.unionByName(own).groupBy(*k, "node", "c").agg(F.sum("weight").alias("w"))
+        .join(st.select(*k, "node", F.col("c").alias("own"), "k", "m2"), k + ["node"])
+        .join(tot, k + ["c"])
+    )
+    here = F.col("c") == F.col("own")
+    gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")
+    return cand.withColumn("gain", F.round(gain, 9)).groupBy(*k, "node").agg(
+        F.max(F.struct(F.col("gain"), (-F.col("c")).alias("neg"), F.col("c"), F.col("size"))).alias("b"),
+        F.max(F.when(here, F.col("gain"))).alias("g0"), F.max(F.when(here, F.col("size"))).alias("s0"),
+        F.first("own").alias("own"), F.first("k").alias("k"), F.first("m2").alias("m2"))
+
+
+def start_state(edges: DataFrame, member: DataFrame, k: list[str]) -> DataFrame:
+    """Nodes with label ``c``, strength and twice the total weight of their graph."""
     total = edges.groupBy(*k).agg((F.sum("weight") * 2).alias("m2"))
-    st = nodes.join(_strength(edges, k), k + ["node"], "left").join(total, k, "left").select(
-        *k, "node", F.col("node").alias("c"), F.coalesce("k", F.lit(0.0)).alias("k"), F.coalesce("m2", F.lit(1.0)).alias("m2"),
-        F.lit(False).alias("want"))
-    st = materialize(st, "lm")
-    nb = edges.where("a <> b")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    nb = materialize(nb.select(*k, "weight", ends.alias("e")).select(*k, "e.u", "e.v", "weight"), "lm-nb")
+    return member.join(_strength(edges, k), k + ["node"], "left").join(total, k, "left").select(
+        *k, "node", F.col("community").alias("c"), F.coalesce("k", F.lit(0.0)).alias("k"), F.coalesce("m2", F.lit(1.0)).alias("m2"))
+
+
+def _move(edges: DataFrame, member: DataFrame, k: list[str], resolution: float, loose: int) -> DataFrame:
+    """Local moving on one level from the labels of ``member``; returns ``(keys, node, community)``.
+
+    In the first ``loose`` rounds half of the nodes (by hash) that gain join their
+    best neighbouring community at once; two singletons only merge towards the
+    smaller label, which rules out swapping. From then on a move is made if no better
+    one touches the community it leaves or the one it joins: such moves do not disturb
+    each other, so each raises modularity by just its gain and the rounds end by
+    themselves. A graph in which no node gains is settled and leaves the rounds.
+    """
+    st = materialize(start_state(edges, member, k).withColumn("gains", F.lit(True)), "lm")
+    nb = materialize(_neighbours(edges, k), "lm-nb")
     for rnd in count():
-        tot = st.groupBy(*k, "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-        to = nb.join(st.select(*k, F.col("node").alias("v"), "c"), k + ["v"]).select(*k, F.col("u").alias("node"), "c", "weight")
-        own = st.select(*k, "node", "c", F.lit(0.0).alias("weight"))
-        cand = (
-            to.unionByName(own).groupBy(*k, "node", "c").agg(F.sum("weight").alias("w"))
-            .join(st.select(*k, "node", F.col("c").alias("own"), "k", "m2"), k + ["node"])
-            .join(tot, k + ["c"])
-        )
-        here = F.col("c") == F.col("own")
-        gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")
-        best = (
-            cand.withColumn("gain", F.round(gain, 9)).groupBy(*k, "node").agg(
-                F.max(F.struct(F.col("gain"), (-F.col("c")).alias("neg"), F.col("c"), F.col("size"))).alias("b"),
-                F.max(F.when(here, F.col("gain"))).alias("g0"), F.max(F.when(here, F.col("size"))).alias("s0"),
-                F.first("own").alias("own"), F.first("k").alias("k"), F.first("m2").alias("m2"))
-        )
-        merge_up = (F.col("s0") == 1) & (F.col("b.size") == 1) & (F.col("b.c") > F.col("own"))
-        want = (F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0")) & ~merge_up
-        turn = F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(2 + rnd // SETTLE)) == 0
+        open_ = st.where("gains").select(*k).distinct()  # graphs in which a node gained when it was last looked at
+        live = st.join(open_, k, "left_semi").drop("gains")
+        best = best_moves(live, nb, k, resolution)
+        gains = (F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0"))
+        if rnd < loose:
+            upwards = (F.col("s0") == 1) & (F.col("b.size") == 1) & (F.col("b.c") > F.col("own"))
+            new = best.withColumn("go", gains & ~upwards & (F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(2)) == 0))
+        else:
+            rank = F.struct(F.round(F.col("b.gain") - F.col("g0"), 9).alias("d"), F.xxhash64("node", F.lit(rnd)).alias("h"), F.col("node").alias("x"))
+            best = best.withColumn("rank", F.when(gains, rank)).withColumn("to", F.col("b.c"))
+            top = best.where("rank IS NOT NULL").select(*k, F.explode(F.array("own", "to")).alias("c"), "rank").groupBy(*k, "c").agg(F.max("rank").alias("top"))
+            new = (
+                best.join(top.select(*k, F.col("c").alias("own"), F.col("top").alias("t0")), k + ["own"], "left")
+                .join(top.select(*k, F.col("c").alias("to"), F.col("top").alias("t1")), k + ["to"], "left")
+                .withColumn("go", (F.col("rank") == F.col("t0")) & (F.col("rank") == F.col("t1"))))
+        moved = new.select(*k, "node", F.when(F.coalesce("go", F.lit(False)), F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", "m2", gains.alias("gains"))
         old = st
-        st, seen = materialize_with(best.withColumn("want", want).select(
-            *k, "node", F.when(F.col("want") & turn, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", "m2", "want"), "lm",
-            wants=F.count(F.when(F.col("want"), 1)))
+        st, seen = materialize_with(moved.unionByName(st.join(open_, k, "left_anti")), "lm", still=F.count(F.when(F.col("gains"), 1)))
         release(old)
-        if seen["wants"] == 0:
-            break
-        if rnd >= MOST_ROUNDS:
-            raise RuntimeError(f"{seen['wants']} nodes still move after {rnd} rounds")
-    return st.select(*k, "node", F.col("c").alias("community"))
+        if seen["still"] == 0:
+            release(nb)
+            return st.select(*k, "node", F.col("c").alias("community"))
 
 
 def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0) -> DataFrame:
     """Community label per node.
 
-    Levels alternate local moving and contraction of communities to weighted
-    super nodes until no community merges any more. Node ids must be integers.
+    Levels alternate local moving and contraction of communities to weighted super
+    nodes until none merges; then single nodes may move again, and if one gains the
+    levels start over from there. The result is a partition that neither moving a
+    node nor merging communities improves. Graphs without a change leave the
+    levels, so labels do not depend on the other graphs of a job. Node ids must be integers.
     """
     k = list(keys)
-    member = nodes.select(*k, "node", F.col("node").alias("community"))
-    edges, level_nodes = und.select(*k, "a", "b", "weight"), nodes.select(*k, "node")
+    edges, member = und.select(*k, "a", "b", "weight"), nodes.select(*k, "node", F.col("node").alias("community"))
+    member = _move(edges, member, k, resolution, LOOSE_ROUNDS)
+    level = edges
     while True:
-        part, seen = materialize_with(_move(edges, level_nodes, k, resolution), "lv",
-                                      moved=F.count(F.when(F.col("node") != F.col("community"), 1)))
-        step = part.withColumnRenamed("community", "next").withColumnRenamed("node", "community")
-        member = materialize(member.join(step, k + ["community"]).select(*k, "node", F.col("next").alias("community")), "lv-member")
-        if seen["moved"] == 0:
-            break
+        part = member.select(*k, F.col("node"), F.col("community"))
         pa = part.select(*k, F.col("node").alias("a"), F.col("community").alias("ca"))
         pb = part.select(*k, F.col("node").alias("b"), F.col("community").alias("cb"))
-        edges = materialize(
+        level = materialize(
             edges.join(pa, k + ["a"]).join(pb, k + ["b"])
             .groupBy(*k, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")), "lv-edges")
-        level_nodes = part.select(*k, F.col("community").alias("node")).distinct()
-    return member
+        top = part.select(*k, F.col("community").alias("node")).distinct().withColumn("community", F.col("node"))
+        step = _move(level, top, k, resolution, LOOSE_ROUNDS)
+        up = step.select(*k, F.col("node").alias("community"), F.col("community").alias("next"))
+        merged, seen = materialize_with(member.join(up, k + ["community"]).select(*k, "node", "community", "next"), "lv-member",
+                                        moved=F.count(F.when(F.col("community") != F.col("next"), 1)))
+        release(level)
+        if seen["moved"]:
+            member = merged.select(*k, "node", F.col("next").alias("community"))
+            continue
+        again = _move(edges, member, k, resolution, 0)
+        both, seen = materialize_with(again.join(member.withColumnRenamed("community", "was"), k + ["node"]), "lv-again",
+                                      moved=F.count(F.when(F.col("community") != F.col("was"), 1)))
+        if not seen["moved"]:
+            return member
+        member = both.drop("was")
+
+
+def gaining_moves(und: DataFrame, member: DataFrame, keys=KEYS, resolution: float = 1.0) -> DataFrame:
+    """``(keys, n_gaining)``: nodes of each graph that another community around them would suit better; 0 at a local optimum."""
+    k = list(keys)
+    edges = und.select(*k, "a", "b", "weight")
+    best = best_moves(start_state(edges, member, k), _neighbours(edges, k), k, resolution)
+    return best.groupBy(*k).agg(F.count(F.when((F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("g0")), 1)).alias("n_gaining"))

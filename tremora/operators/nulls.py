@@ -178,14 +178,18 @@ def threshold_quality(pairs: DataFrame, nodes: DataFrame, sectors: DataFrame, n_
     from tremora.session import materialize
 
     und = materialize(pairs.select("snapshot", F.col("i").alias("a"), F.col("j").alias("b"), F.abs("v").alias("weight")), "dm")
-    member = louvain(und, nodes)
     n = nodes.groupBy("snapshot").agg(F.count("*").alias("n"))
     m = und.groupBy("snapshot").agg(F.count("*").alias("m"))
     sizes = materialize(n.join(m, "snapshot"), "dm-size")
-    rand = materialize(er_edges(sizes, n_draws, seed), "dm-er")
-    every = draws(sizes, n_draws, seed).select("snapshot", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("node"))
-    k = ("snapshot", "draw")
-    null = G.modularity(rand, louvain(rand, every, k), k).groupBy("snapshot").agg(F.avg("modularity").alias("q_random"))
-    q = G.modularity(und, member).withColumnRenamed("modularity", "q")
+    # networks and their random graphs share the rounds; the network is draw -1
+    k, own = ("snapshot", "draw"), F.lit(-1).cast("int").alias("draw")
+    drawn = er_edges(sizes, n_draws, seed).select(*k, "a", "b", "weight")
+    every = materialize(drawn.unionByName(und.select("snapshot", own, "a", "b", "weight")), "dm-er")
+    ids = draws(sizes, n_draws, seed).select("snapshot", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("node"))
+    label = materialize(louvain(every, ids.unionByName(nodes.select("snapshot", own, "node")), k), "dm-label")
+    found = G.modularity(every, label, k)
+    q = found.where("draw = -1").select("snapshot", F.col("modularity").alias("q"))
+    null = found.where("draw >= 0").groupBy("snapshot").agg(F.avg("modularity").alias("q_random"))
+    member = label.where("draw = -1").drop("draw")
     out = sizes.join(q, "snapshot").join(G.purity(member, sectors), "snapshot").join(null, "snapshot", "left")
     return out.withColumn("q_rel", F.when(F.col("q_random") > 1e-6, (F.col("q") - F.col("q_random")) / F.col("q_random")))

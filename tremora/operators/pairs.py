@@ -27,13 +27,11 @@ def vectors(panel: DataFrame, value: str = "x", order: str = "date", keys=("snap
     """One ordered array per window and asset, with the asset's rank as index."""
     k = list(keys)
     w = Window.partitionBy(*k)
-    return (
-        panel.groupBy(*k, "asset")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-        .withColumn("idx", (F.row_number().over(w.orderBy("asset")) - 1).cast("int"))
-        .withColumn("p", F.count("*").over(w).cast("int"))
-        .select(*k, "asset", "idx", "p", F.col("s.v").alias("vec"))
-    )
+    ids = panel.select(*k, "asset").distinct().select(  # keys only: the vectors themselves are not sorted
+        *k, "asset", (F.row_number().over(w.orderBy("asset")) - 1).cast("int").alias("idx"), F.count("*").over(w).cast("int").alias("p"))
+    vec = panel.groupBy(*k, "asset").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
+    return vec.join(ids, k + ["asset"]).select(*k, "asset", "idx", "p", F.col("s.v").alias("vec"))
 
 
 def blocked(vecs: DataFrame, task: Callable, schema: str, keys=("snapshot",), block: int = BLOCK,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremora import config as C
+from tremora.operators import composite
 from tremora.operators import pairs as A
 from tremora.operators import panel as P
 from tremora.operators import selection as S
@@ -11,6 +13,7 @@ from tremora.operators import volatility as V
 from tremora.plans import catalogue_network as N
 from tremora.plans import standin as D
 from tremora.plans.registry import query
+from tremora.session import values
 
 _GARCH = (0.05, 0.07, 0.90)
 
@@ -47,28 +50,57 @@ def _nation_residuals(spark, sf):
 
 
 def adcc_params(spark, sf):
-    def build(s, f):
-        sub = S.mle_subset(D.returns(s, f), D.weeks(s, f))
-        return V.adcc_fit(_nation_residuals(s, f), sub)
-
-    return D.stage(spark, sf, "adcc", build)
+    return D.stage(spark, sf, "adcc", lambda s, f: composite.fit(_nation_residuals(s, f)))
 
 
 @query("adcc_mle")
 def adcc_mle(spark, sf):
-    sub = S.mle_subset(D.returns(spark, sf), D.weeks(spark, sf))
-    return V.adcc_fit(_nation_residuals(spark, sf), sub)
+    """Pooled parameters of all assets by composite likelihood, all starts."""
+    return adcc_params(spark, sf)
+
+
+def _groups(spark, sf):
+    """Two sector-stratified subsets of the assets."""
+    one, two = (S.stratified_subset(D.sectors(spark, sf), 15, seed).select(F.lit(seed).alias("grp"), "asset") for seed in (1, 2))
+    return one.unionByName(two)
+
+
+def _subset_params(spark, sf):
+    def build(s, f):
+        return composite.fit(_nation_residuals(s, f), _groups(s, f))
+
+    return D.stage(spark, sf, "adcc_subsets", build)
 
 
 @query("adcc_subset_sensitivity")
 def adcc_subset_sensitivity(spark, sf):
     """Pooled parameters on two sector-stratified subsets."""
-    alive = S.mle_subset(D.returns(spark, sf), D.weeks(spark, sf)).join(D.sectors(spark, sf), "asset")
-    sub = None
-    for seed in (1, 2):
-        s = S.stratified_subset(alive, 15, seed).select(F.lit(seed).alias("subset"), "asset")
-        sub = s if sub is None else sub.unionByName(s)
-    return V.adcc_fit(_nation_residuals(spark, sf), sub, group="subset")
+    return _subset_params(spark, sf)
+
+
+@query("adcc_properties", """
+SELECT grp, n AS n_assets, n * (n - 1) // 2 AS n_pairs, 6 AS n_starts, true AS converged, true AS admissible, true AS no_better_nearby
+FROM (SELECT 0 AS grp, count(DISTINCT asset) AS n FROM nret UNION ALL SELECT 1, 15 UNION ALL SELECT 2, 15)""", ["nret"])
+def adcc_properties(spark, sf):
+    """The fits of all assets and of two subsets converge inside the admissible region, and points around them are no better."""
+    out = None
+    for shift, fitted, groups in ((0, adcc_params(spark, sf), None), (1, _subset_params(spark, sf), True)):
+        rows = fitted.collect()  # one row a group
+        sub = None if groups is None else D.stage(spark, sf, "adcc_groups", _groups)
+        vecs = composite.grid_vectors(_nation_residuals(spark, sf), sub)
+        around = {r.grp: {0: [r.a, r.b, r.g], **{i + 1: [max(v + d, 1e-9) for v, d in zip((r.a, r.b, r.g), step)]
+                                                  for i, step in enumerate(_STEPS)}} for r in rows}
+        got = composite.evaluate(vecs, around, C.ADCC_MIN_ROWS)
+        best = {r.grp: all(got[r.grp, i + 1][3] or got[r.grp, i + 1][0] >= got[r.grp, 0][0] - 1e-9 for i in range(len(_STEPS))) for r in rows}
+        flag = values(spark, list(best.items()), ["grp", "no_better_nearby"], ["INT", "BOOLEAN"])
+        inside = (F.col("a") > 0) & (F.col("b") > 0) & (F.col("g") > 0) & (F.col("a") + F.col("b") + F.col("g") < 1)
+        t = fitted.join(flag, "grp").select("grp", F.col("n_assets").cast("long").alias("n_assets"), F.col("n_pairs").cast("long").alias("n_pairs"), "n_starts",
+                                            "converged", inside.alias("admissible"), "no_better_nearby")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_STEPS = [(s if c == 0 else 0.0, s if c == 1 else 0.0, s if c == 2 else 0.0) for c in range(3) for s in (0.004, -0.004)]
 
 
 @query("adcc_window_correlation")

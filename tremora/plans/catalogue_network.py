@@ -579,14 +579,15 @@ def louvain(spark, sf):
     return community.louvain(G.undirected(arcs(spark, sf)), nodes(spark, sf))
 
 
-@query("louvain_properties", "SELECT snapshot, count(*)::BIGINT AS n_nodes, count(*)::BIGINT AS n_labelled, true AS above_one_community "
+@query("louvain_properties", "SELECT snapshot, count(*)::BIGINT AS n_nodes, count(*)::BIGINT AS n_labelled, true AS above_one_community, 0::BIGINT AS n_gaining "
        "FROM nodes GROUP BY 1", ["nodes"])
 def louvain_properties(spark, sf):
-    """Every node has one label and the split beats the undivided graph."""
+    """Every node has one label, the split beats the undivided graph and no single move raises modularity."""
     m = D.stage(spark, sf, "louvain", louvain)
     per = m.groupBy("snapshot").agg(F.count("*").alias("n_labelled"))
     q = G.modularity(G.undirected(arcs(spark, sf)), m).select("snapshot", (F.col("modularity") > 0).alias("above_one_community"))
-    return nodes(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n_nodes")).join(per, "snapshot").join(q, "snapshot")
+    gaining = community.gaining_moves(G.undirected(arcs(spark, sf)), m)
+    return nodes(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n_nodes")).join(per, "snapshot").join(q, "snapshot").join(gaining, "snapshot")
 
 
 @query("er_null_z")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.operators import community, direction, inference, nulls, pairs, quality, selection, sparse, stress, volatility
+from tremora.operators import community, composite, direction, inference, nulls, pairs, quality, selection, sparse, stress, volatility
 from tremora.operators import graph as G
 from tremora.operators import panel as P
-from tremora.session import materialize, values
+from tremora.session import global_rank, materialize, values
 from tremora.sources import daily as S
 from tremora.sources.store import StageStore
 
@@ -80,7 +80,7 @@ class StressPipeline:
             returns = P.keep_assets(returns, selection.top_by(P.coverage(returns, "x"), self.set.n_assets, "n_obs"))
         # graphs use integer nodes: rank of the asset label
         ids = returns.select("asset").distinct()
-        self.ids = self._table("ids", lambda: ids.withColumn("node", F.row_number().over(_by_label()).cast("bigint") - 1))
+        self.ids = self._table("ids", lambda: global_rank(ids, "asset", name="node").withColumn("node", F.col("node").cast("bigint")))
         swap = lambda df: df.join(self.ids, "asset").drop("asset").withColumnRenamed("node", "asset")
         self.returns = self._table("returns", lambda: swap(returns).select("asset", "date", "pos", "x"))
         self.sectors, self.adv = swap(sectors), swap(adv) if adv is not None else None
@@ -98,11 +98,7 @@ class StressPipeline:
         return self._table("residuals", lambda: volatility.residuals(self.volatility()))
 
     def parameters(self) -> DataFrame:
-        def build():
-            sub = selection.mle_subset(self.residuals().withColumnRenamed("z", "x"), self.cal, C.ADCC_SUBSET)
-            return volatility.adcc_fit(self.residuals(), sub, self.set.mle_min_rows)
-
-        return self._table("parameters", build)
+        return self._table("parameters", lambda: composite.fit(self.residuals(), min_rows=self.set.mle_min_rows))
 
     def residual_windows(self) -> DataFrame:
         return self._table("residual_windows", lambda: P.complete_cases(
@@ -230,9 +226,3 @@ class StressPipeline:
         """All stages; returns the headline tables."""
         return {"network": self.network(), "stress": self.stress(), "tests": self.tests(), "checks": self.checks()}
 
-
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.orderBy("asset")
-
