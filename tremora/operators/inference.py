@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremora.session import attach
+from tremora.session import attach, global_rank, materialize
 
 SLACK = 1e-12
 
@@ -205,46 +203,107 @@ def cluster_bootstrap(points: DataFrame, n_draws: int = 10_000, seed: int = 2026
 def label_shuffle(points: DataFrame, n_draws: int = 100_000, seed: int = 2026) -> DataFrame:
     """Two-sided permutation p-value of the correlation.
 
-    Every draw is one row that reorders the y values by a hash; nothing is
-    shuffled between tasks.
+    Draws are index rows: every point gets a place in every draw by a seeded hash, and
+    the y value of that place comes from the points numbered once, so a draw is a
+    group of rows and never an array. Products fold into one sum per draw.
     """
-    s = points.agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"), F.corr("x", "y").alias("r"),
-                   F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    d = attach(points.sparkSession.range(n_draws), s)
-    mixed = F.transform(F.array_sort(F.transform("ys", lambda y, i: F.struct(F.xxhash64(F.col("id"), i, F.lit(seed)).alias("h"), y.alias("y")))), lambda t: t["y"])
-    dot = F.aggregate(F.zip_with("xs", mixed, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) / F.size("xs")
-    r0 = (dot - F.col("mx") * F.col("my")) / (F.col("sx") * F.col("sy"))
-    return d.withColumn("hit", (F.abs(r0) >= F.abs("r") - SLACK).cast("int")).agg(
+    whole = points.agg(F.corr("x", "y").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+                       F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count("*").alias("n"))
+    base = materialize(global_rank(points.select("x", "y"), "x", "y", name="i"), "shuffle")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draw = points.sparkSession.range(0, n_draws, 1, parts).withColumnRenamed("id", "draw")
+    n = base.agg(F.count("*").alias("n_points"))
+    index = attach(draw, n).withColumn("i", F.explode(F.expr("sequence(0, int(n_points) - 1)"))).drop("n_points")
+    place = F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", "i", F.lit(seed)), "i")) - 1
+    index = index.withColumn("j", place)
+    paired = index.join(base.select("i", "x"), "i").join(base.select(F.col("i").alias("j"), "y"), "j")
+    dots = attach(paired.groupBy("draw").agg(F.sum(F.col("x") * F.col("y")).alias("dot")), whole)
+    r0 = (F.col("dot") / F.col("n") - F.col("mx") * F.col("my")) / (F.col("sx") * F.col("sy"))
+    return dots.withColumn("hit", (F.abs(r0) >= F.abs("r") - SLACK).cast("int")).agg(
         F.first("r").alias("r"), F.count("*").alias("n_draws"), F.avg("hit").alias("p_value"))
 
 
+PREFIX_ROWS = 65_536
+_MOMENTS = {"x": "x", "y": "y", "xx": "x * x", "yy": "y * y", "xy": "x * y"}
+
+
+def running_moments(series: DataFrame) -> DataFrame:
+    """``(at, x, y, xx, yy, xy)``: sums over the first ``at`` rows of ``(pos, x, y)``, ``at`` from 0 to the length.
+
+    Values are taken less their means first, which keeps differences of sums exact
+    enough. Chunks of consecutive rows are summed each for itself and start from the
+    total of the chunks before.
+    """
+    mean = series.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = attach(global_rank(series.select("pos", "x", "y"), "pos", name="at"), mean).select(
+        "at", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    rows = rows.select("at", F.expr(f"at DIV {PREFIX_ROWS}").alias("chunk"), *[F.expr(e).alias(c) for c, e in _MOMENTS.items()])
+    inside = Window.partitionBy("chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    total = rows.groupBy("chunk").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    base = total.select("chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}0") for c in _MOMENTS])
+    part = rows.select("at", "chunk", *[F.sum(c).over(inside).alias(c) for c in _MOMENTS])
+    out = part.join(base, "chunk").select((F.col("at").cast("bigint") + 1).alias("at"), *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in _MOMENTS])
+    zero = series.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("at"), *[F.lit(0.0).alias(c) for c in _MOMENTS])
+    return materialize(zero.unionByName(out), "moments")
+
+
 def block_bootstrap(series: DataFrame, mean_blocks=(6, 12, 24), n_draws: int = 5_000, seed: int = 2026) -> DataFrame:
     """Stationary bootstrap of the correlation of two aligned series ``(pos, x, y)``.
 
-    Geometric blocks wrap around; each draw has its own random stream. The two
-    arrays ride with every draw row and are as long as the series.
+    A draw is a list of blocks of geometric length with random starts, one row each;
+    a block that runs over the end of the series goes on at its beginning. The sums of
+    a block are differences of running sums at its two ends, so a block costs two
+    lookups however long it is, and no row carries the series.
     """
-    s = series.agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("s")).select(
-        F.col("s.x").alias("xs"), F.col("s.y").alias("ys"))
+    moments = running_moments(series)
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.explode(F.array(*[F.lit(int(b)) for b in mean_blocks]))
-    d = attach(series.sparkSession.range(0, n_draws, 1, parts).withColumn("block", blocks), s)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for i, (b, block, xs, ys) in enumerate(zip(pdf["id"], pdf["block"], pdf["xs"], pdf["ys"])):
-                rng = np.random.Generator(np.random.Philox(key=[seed * 1000 + int(block), int(b)]))
-                n = len(xs)
-                fresh = rng.random(n) < 1.0 / block
-                fresh[0] = True
-                at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-                idx = (rng.integers(0, n, n)[at] + np.arange(n) - at) % n
-                x, y = xs[idx], ys[idx]
-                if x.std() > 0 and y.std() > 0:
-                    out[i] = np.corrcoef(x, y)[0, 1]
-            yield pd.DataFrame({"block": pdf["block"], "r": out})
-
-    r = d.mapInPandas(run, "block int, r double").where("NOT isnan(r)")
+    n = moments.agg(F.max("at").alias("n"))
+    means = F.explode(F.array(*[F.lit(int(b)) for b in mean_blocks]))
+    draw = attach(series.sparkSession.range(0, n_draws, 1, parts).withColumnRenamed("id", "draw").withColumn("block", means), n).where("n > 0")
+
+    def uniform(*what):
+        return (F.shiftrightunsigned(F.xxhash64(*what, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
+
+    # enough blocks for any draw: lengths are at least one
+    length = F.when(F.col("block") <= 1, F.lit(1.0)).otherwise(F.floor(F.log(uniform("draw", "block", "k", F.lit("length"))) / F.log(1 - 1 / F.col("block"))) + 1)
+    w = Window.partitionBy("draw", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = draw.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("len", length.cast("bigint"))
+    rows = rows.withColumn("used", F.coalesce(F.sum("len").over(w), F.lit(0))).where("used < n")
+    start = F.floor(uniform("draw", "block", "k", F.lit("start")) * F.col("n")).cast("bigint")
+    rows = rows.select("draw", "block", "n", start.alias("lo"), (start + F.least("len", F.col("n") - F.col("used"))).alias("hi"))
+    pieces = F.array(F.struct(F.col("lo").alias("lo"), F.least("hi", "n").alias("hi")), F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("hi") - F.col("n")).alias("hi")))
+    ends = rows.select("draw", "block", "n", F.explode(pieces).alias("p")).where("p.hi > p.lo").select(
+        "draw", "block", "n", F.explode(F.array(F.struct(F.col("p.lo").alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("p.hi").alias("at"), F.lit(1.0).alias("sign")))).alias("e"))
+    ends = ends.select("draw", "block", "n", "e.at", "e.sign").groupBy("draw", "block", "n", "at").agg(F.sum("sign").alias("sign"))
+    s = ends.join(moments, "at").groupBy("draw", "block", "n").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in _MOMENTS])
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    r = s.withColumn("r", (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(vx * vy)).where(
+        (vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy")))
     return r.groupBy("block").agg(F.count("*").alias("n_draws"), F.avg("r").alias("mean_r"),
                                   F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi"))
+
+
+def dissolution_test(quality: DataFrame) -> DataFrame:
+    """One-sided test that crisis windows fall apart less clearly: crisis ``q`` lies below the rest.
+
+    ``quality`` is ``(snapshot, regime, q)``; the exact permutation test runs on the
+    negated values. One row with both means, their difference, effect size and p.
+    """
+    neg = quality.select("snapshot", "regime", F.lit("q").alias("metric"), (-F.col("q")).alias("value"))
+    d = cohen_d(quality.select("snapshot", "regime", F.lit("q").alias("metric"), F.col("q").alias("value")))
+    return permutation_test(neg).join(d, "metric").select(
+        "n_perm", "n_ge", F.col("p_value").alias("p_dissolution"), (F.col("crisis_mean") - F.col("other_mean")).alias("observed"), "crisis_mean", "other_mean", "d")
+
+
+def null_axes(clustering: DataFrame, motifs: DataFrame) -> DataFrame:
+    """``(snapshot, axis, z)`` of the four null-model axes: clustering and three triad classes."""
+    t = clustering.select("snapshot", "z_c").join(motifs.select("snapshot", "z_030t", "z_111d", "z_021d"), "snapshot", "full")
+    return t.unpivot(["snapshot"], [F.col(c).cast("double").alias(c) for c in ("z_c", "z_030t", "z_111d", "z_021d")], "axis", "z")
+
+
+def axis_report(z: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Scan of the axes with the range of ``|z|`` and the windows that stay below either threshold."""
+    scan = bonferroni_scan(z, alpha)
+    low = z.groupBy("axis").agg(F.min(F.abs("z")).alias("min_abs_z"))
+    return scan.join(low, "axis").withColumn("below_axis", F.col("n") - F.col("n_axis")).withColumn("below_pooled", F.col("n") - F.col("n_pooled"))

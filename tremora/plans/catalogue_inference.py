@@ -16,6 +16,7 @@ from tremora.operators import stress as T
 from tremora.plans import catalogue_network as N
 from tremora.plans import standin as D
 from tremora.plans.registry import cte, query
+from tremora.session import attach
 
 METRICS = ["nsi", "gini", "hhi", "mutual_dyad_pct", "cross_sector", "mean_rho"]
 WINDOW, STEP = 52, 4  # weekly rolling windows of one year
@@ -242,6 +243,7 @@ GROUP BY {keys}"""
 
 
 cte("perm", _perm_sql("metrics", "metric", NW), ["metrics"])
+cte("ablm", f"SELECT config AS metric, snapshot, regime, ws * s + wh * h + wr * rho + wm * mu AS value FROM chan, (VALUES {_ABL}) v(config, ws, wh, wr, wm)", ["chan"])
 
 
 @query("perm_exact", "SELECT metric, n_perm::BIGINT AS n_perm, n_ge::BIGINT AS n_ge, round(obs, 6) AS observed, round(n_ge / n_perm, 8) AS p_value FROM perm", ["perm"])
@@ -365,13 +367,157 @@ def label_shuffle(spark, sf):
     return I.label_shuffle(_points(spark, sf))
 
 
+@query("label_shuffle_properties", """
+SELECT round(corr(nsi, bench), 6) AS r, 100000::BIGINT AS n_draws, true AS p_on_grid, true AS p_fits_r FROM nsi JOIN wbench USING (snapshot)""", ["nsi", "wbench"])
+def label_shuffle_properties(spark, sf):
+    """Whole draws, a p-value on their grid that is near the normal approximation of a correlation of 20 points."""
+    t = D.stage(spark, sf, "label_shuffle", label_shuffle)
+    z = F.abs(F.col("r")) * math.sqrt(NW - 1)
+    rough = F.exp(-z * z / 2)  # above the two-sided tail
+    on_grid = (F.col("p_value") >= 0) & (F.col("p_value") <= 1) & (F.abs(F.col("p_value") * F.col("n_draws") - F.round(F.col("p_value") * F.col("n_draws"))) < 1e-6)
+    return t.select(F.round("r", 6).alias("r"), "n_draws", on_grid.alias("p_on_grid"), (F.col("p_value") <= rough + 0.1).alias("p_fits_r"))
+
+
 @query("block_bootstrap")
 def block_bootstrap(spark, sf):
     b = _both(spark, sf).select("pos", F.col("nsi").alias("x"), F.col("close").alias("y"))
     return I.block_bootstrap(b)
 
 
-@query("power_lattice")
+@query("block_bootstrap_properties", """
+SELECT block::INT AS block, 5000::BIGINT AS n_draws, true AS ordered, true AS holds_r FROM (VALUES (6), (12), (24)) v(block), (SELECT corr(nsi, close) AS r FROM joint)""", ["joint"])
+def block_bootstrap_properties(spark, sf):
+    """Every draw counts, the interval is ordered and, widened by its own half, holds the plain correlation."""
+    b = _both(spark, sf)
+    t = attach(D.stage(spark, sf, "block_bootstrap", block_bootstrap), b.agg(F.corr("nsi", "close").alias("r")))
+    half = (F.col("hi") - F.col("lo")) / 2
+    return t.select("block", "n_draws", ((F.col("lo") < F.col("mean_r")) & (F.col("mean_r") < F.col("hi"))).alias("ordered"),
+                    F.col("r").between(F.col("lo") - half, F.col("hi") + half).alias("holds_r"))
+
+
+cte("secq", """
+SELECT snapshot, regime, sum(win / m - pow(deg / (2 * m), 2)) AS q FROM (
+  SELECT e.snapshot, c, sum(w_in) AS win, sum(weight) AS deg, any_value(m) AS m FROM (
+    SELECT s.snapshot, a.sector AS c, weight, CASE WHEN a.sector = b.sector THEN weight / 2 ELSE 0 END AS w_in FROM sym s
+    JOIN sector a ON a.asset = u JOIN sector b ON b.asset = v) e
+  JOIN (SELECT snapshot, sum(weight) AS m FROM und GROUP BY 1) t ON t.snapshot = e.snapshot GROUP BY 1, 2) JOIN snap USING (snapshot) GROUP BY 1, 2""", ["sym", "sector", "und", "snap"])
+cte("negq", "SELECT snapshot, regime, 'q' AS metric, -q AS value FROM secq", ["secq"])
+
+
+@query("dissolution_by_sector", "SELECT n_perm::BIGINT AS n_perm, n_ge::BIGINT AS n_ge, round(n_ge / n_perm, 8) AS p_dissolution, round(mc - mo, 6) + 0.0::DOUBLE AS observed FROM ("
+       + _perm_sql("negq", "metric", NW) + "), (SELECT avg(q) FILTER (WHERE regime = 'crisis') AS mc, avg(q) FILTER (WHERE regime <> 'crisis') AS mo FROM secq)", ["negq", "secq"])
+def dissolution_by_sector(spark, sf):
+    """Whether sectors hold together less in crises: modularity of the sector split, negated, one side."""
+    q = G.modularity(G.undirected(N.arcs(spark, sf)), N._sector_member(spark, sf)).join(D.snapshots(spark).select("snapshot", "regime"), "snapshot")
+    return I.dissolution_test(q.withColumnRenamed("modularity", "q")).select(
+        "n_perm", "n_ge", F.round("p_dissolution", 8).alias("p_dissolution"), X.rnd("observed").alias("observed"))
+
+
+@query("dissolution_density_matched", f"SELECT {math.comb(NW, K)}::BIGINT AS n_perm, true AS p_on_grid, true AS signs_agree")
+def dissolution_density_matched(spark, sf):
+    """The same test on communities of the threshold networks at one edge budget."""
+    q = N.density_matched(spark, sf).select("snapshot", "q").join(D.snapshots(spark).select("snapshot", "regime"), "snapshot")
+    t = I.dissolution_test(q)
+    return t.select("n_perm", F.col("p_dissolution").between(1 / math.comb(NW, K), 1).alias("p_on_grid"),
+                    ((F.col("observed") >= 0) == (F.col("d") >= 0)).alias("signs_agree"))
+
+
+# ------------------------------------------------------------------ all seven metrics, motif z in the index
+def _motifs(spark, sf):
+    from tremora.operators import nulls
+
+    return D.stage(spark, sf, "motif_z", lambda s, f: nulls.motif_test(N.arcs(s, f)))
+
+
+def full_indexed(spark, sf):
+    """The index with the triad z of the dyad-preserving null as motif channel."""
+    def build(s, f):
+        z = _motifs(s, f).select("snapshot", F.col("z_030t").alias("z_ffl"), F.abs(F.coalesce("z_111d", F.lit(0.0))).alias("abs_z_mr"))
+        return T.snapshot_index(wide(s, f).drop("z_ffl").join(z, "snapshot", "left"))
+
+    return D.stage(spark, sf, "full_indexed", build)
+
+
+def full_metrics(spark, sf):
+    names = ["nsi", "gini", "hhi", "abs_z_mr", "mutual_dyad_pct", "cross_sector", "mean_rho"]
+    return D.stage(spark, sf, "full_metrics", lambda s, f: I.unpivot(full_indexed(s, f).withColumn("mean_rho", F.col("mean_corr")), names))
+
+
+_DRAWN = ["nsi", "abs_z_mr"]  # rest on drawn null graphs; SQL can repeat the others exactly
+_SEVEN = "('nsi'), ('gini'), ('hhi'), ('abs_z_mr'), ('mutual_dyad_pct'), ('cross_sector'), ('mean_rho')"
+
+
+@query("seven_metrics", f"""
+SELECT snapshot, v.metric, CASE WHEN v.metric IN ('nsi', 'abs_z_mr') THEN NULL ELSE round(value, 6) + 0.0::DOUBLE END AS value, true AS in_range
+FROM snap CROSS JOIN (VALUES {_SEVEN}) v(metric) LEFT JOIN metrics m USING (snapshot, metric)""", ["snap", "metrics"])
+def seven_metrics(spark, sf):
+    """All metrics per window; the two that rest on drawn graphs show only that they lie in their range."""
+    drawn = F.col("metric").isin(_DRAWN)
+    ok = F.when(F.col("metric") == "nsi", F.col("value").between(-1e-9, 1 + 1e-9)).when(F.col("metric") == "abs_z_mr", F.col("value") >= 0).otherwise(F.lit(True))
+    return full_metrics(spark, sf).select("snapshot", "metric", F.when(~drawn, X.rnd("value")).alias("value"), F.coalesce(ok, F.lit(False)).alias("in_range"))
+
+
+@query("seven_perm", f"""
+SELECT v.metric, {math.comb(NW, K)}::BIGINT AS n_perm, CASE WHEN v.metric IN ('nsi', 'abs_z_mr') THEN NULL ELSE n_ge END::BIGINT AS n_ge, true AS p_on_grid, true AS adjusted_in_order
+FROM (VALUES {_SEVEN}) v(metric) LEFT JOIN perm USING (metric)""", ["perm"])
+def seven_perm(spark, sf):
+    """Exact permutation test of all seven metrics, adjusted as one family of seven."""
+    t = I.permutation_test(full_metrics(spark, sf))
+    t = t.join(I.adjust(t.select("metric", "p_value")).drop("p_value"), "metric")
+    return t.select("metric", "n_perm", F.when(~F.col("metric").isin(_DRAWN), F.col("n_ge")).alias("n_ge"), F.col("p_value").between(1 / math.comb(NW, K), 1).alias("p_on_grid"),
+                    ((F.col("bh") >= F.col("p_value") - 1e-12) & (F.col("by") >= F.col("bh") - 1e-12) & (F.col("hochberg") >= F.col("p_value") - 1e-12)).alias("adjusted_in_order"))
+
+
+@query("seven_loo", f"SELECT snapshot AS dropped, 7::BIGINT AS n_metrics, {math.comb(NW - 1, K)}::BIGINT AS n_perm, true AS bh_in_order FROM snap WHERE regime <> 'crisis'", ["snap"])
+def seven_loo(spark, sf):
+    """Leave-one-out tests of all seven metrics."""
+    t = I.leave_one_out(full_metrics(spark, sf))
+    return t.groupBy("dropped").agg(F.count("*").alias("n_metrics"), F.lit(math.comb(NW - 1, K)).cast("bigint").alias("n_perm"), F.min(F.col("bh") >= F.col("p_value") - 1e-12).alias("bh_in_order"))
+
+
+@query("seven_merged", f"""
+SELECT v.metric, {math.comb(NW - 1, K - 1)}::BIGINT AS n_perm, CASE WHEN v.metric IN ('nsi', 'abs_z_mr') THEN NULL ELSE round(obs, 6) + 0.0::DOUBLE END AS observed, true AS adjusted_in_order
+FROM (VALUES {_SEVEN}) v(metric) LEFT JOIN (""" + _perm_sql("merged", "metric", NW - 1).replace(f"c / {K} ", f"c / {K - 1} ").replace(f"/ {NW - 1 - K} >=", f"/ {NW - K} >=").replace(
+    f"bit_count(m) = {K}", f"bit_count(m) = {K - 1}") + ") USING (metric)", ["merged"])
+def seven_merged(spark, sf):
+    """Two neighbouring windows merged: permutation test and adjustment of all seven metrics."""
+    t = I.permutation_test(I.merge_windows(full_metrics(spark, sf), "W13", "W14", "W13+"))
+    t = t.join(I.adjust(t.select("metric", "p_value")).drop("p_value"), "metric")
+    return t.select("metric", "n_perm", F.when(~F.col("metric").isin(_DRAWN), X.rnd("observed")).alias("observed"),
+                    ((F.col("bh") >= F.col("p_value") - 1e-12) & (F.col("by") >= F.col("bh") - 1e-12)).alias("adjusted_in_order"))
+
+
+@query("rank_pairs_summary", "SELECT 21::BIGINT AS n_pairs, true AS in_range, true AS negatives_counted")
+def rank_pairs_summary(spark, sf):
+    """Rank correlations of all 21 pairs of metrics, summarised."""
+    rho = I.rank_correlations(full_metrics(spark, sf))
+    t = attach(I.dependence_evidence(rho), rho.agg(F.sum((F.col("rho") < 0).cast("long")).alias("neg")))
+    return t.select("n_pairs", ((F.col("min_rho") >= -1) & (F.col("max_rho") <= 1) & (F.col("min_rho") <= F.col("max_rho"))).alias("in_range"),
+                    (F.col("n_negative") == F.col("neg")).alias("negatives_counted"))
+
+
+@query("null_axes_scan", f"""
+SELECT axis, {NW}::BIGINT AS n, true AS pooled_is_stricter, true AS range_in_order FROM (VALUES ('z_c'), ('z_030t'), ('z_111d'), ('z_021d')) v(axis)""")
+def null_axes_scan(spark, sf):
+    """Clustering and triad z of every window against the per-axis and the pooled threshold."""
+    z = I.null_axes(N.er_null_z(spark, sf), _motifs(spark, sf))
+    t = I.axis_report(z.withColumn("z", F.coalesce("z", F.lit(0.0))))
+    return t.select("axis", "n", ((F.col("below_pooled") >= F.col("below_axis")) & (F.col("th_all") > F.col("th_axis"))).alias("pooled_is_stricter"),
+                    (F.col("min_abs_z") <= F.col("max_abs_z")).alias("range_in_order"))
+
+
+@query("nsi_ablation_perm_properties", f"""
+SELECT config, {math.comb(NW, K)}::BIGINT AS n_perm, n_ge::BIGINT AS n_ge FROM (SELECT metric AS config, n_ge FROM (""" + _perm_sql("ablm", "metric", NW) + "))", ["ablm"])
+def nsi_ablation_perm_properties(spark, sf):
+    return nsi_ablation_perm(spark, sf).select(F.col("metric").alias("config"), "n_perm", "n_ge")
+
+
+@query("power_lattice", """
+SELECT metric, round(d, 6) AS d, round(n_ge / n_perm, 8) AS p_value FROM (
+  SELECT metric, (mc - mo) / sqrt(((nc - 1) * vc + (no - 1) * vo) / (nc + no - 2)) AS d FROM (
+    SELECT metric, avg(value) FILTER (WHERE regime = 'crisis') AS mc, avg(value) FILTER (WHERE regime <> 'crisis') AS mo, var_samp(value) FILTER (WHERE regime = 'crisis') AS vc,
+      var_samp(value) FILTER (WHERE regime <> 'crisis') AS vo, count(*) FILTER (WHERE regime = 'crisis') AS nc, count(*) FILTER (WHERE regime <> 'crisis') AS no FROM metrics GROUP BY 1))
+JOIN perm USING (metric) WHERE d > 0""", ["metrics", "perm"])
 def power_lattice(spark, sf):
     m = metrics(spark, sf)
-    return I.power_lattice(I.cohen_d(m), I.permutation_test(m).select("metric", "p_value"))
+    return I.power_lattice(I.cohen_d(m), I.permutation_test(m).select("metric", "p_value")).select("metric", F.round("d", 6).alias("d"), F.round("p_value", 8).alias("p_value"))
