@@ -122,7 +122,9 @@ def embedding_groups(df: DataFrame, key: str = "vec_id", vector: str = "embeddin
     work = None
     for d, n in sorted(sizes):  # a vector length at a time
         one = reps.where(F.size("embedding") == d)
-        take = one.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+        h = F.xxhash64("rep")  # the smallest hashes lie below a bound that about four samples pass
+        near = one.where(h.cast("double") <= F.lit(2.0**64 * min(1.0, 4 * SAMPLE / n) - 2.0**63))
+        take = near.orderBy(h, "rep").limit(SAMPLE).toPandas()
         x = matrix(take["embedding"])
         c = spherical_kmeans(x, int(min(MAX_CELLS, max(1, n // PER_CELL), len(x))))
 
