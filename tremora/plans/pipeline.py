@@ -13,7 +13,7 @@ from tremora.operators import graph as G
 from tremora.operators import panel as P
 from tremora.session import global_rank, materialize, values
 from tremora.sources import daily as S
-from tremora.sources.store import StageStore
+from tremora.sources.store import StageStore, require_windows
 
 
 @dataclass
@@ -35,6 +35,7 @@ class Settings:
     n_rewires: int = C.N_REWIRES
     n_er_matched: int = C.N_ER_MATCHED
     motifs: bool = True
+    every_window: bool = False
 
 
 def build_panel(spark: SparkSession, daily_path: str, names_path: str, delisting_path: str,
@@ -68,12 +69,14 @@ class StressPipeline:
 
     ``returns`` is ``(asset, date, pos, x)`` with integer or string assets,
     ``snapshots`` ``(snapshot, start, end, regime)``, ``sectors`` ``(asset, sector)``.
+    ``previous`` are pooled parameters of an earlier run: where the new ones hardly
+    differ they stay in force, so window correlations need not change.
     """
 
     def __init__(self, spark: SparkSession, returns: DataFrame, calendar: DataFrame, snapshots: DataFrame,
                  sectors: DataFrame, adv: DataFrame | None = None, settings: Settings | None = None,
-                 store: StageStore | None = None):
-        self.spark, self.cal, self.snapshots, self.store = spark, calendar, snapshots, store
+                 store: StageStore | None = None, previous: DataFrame | None = None):
+        self.spark, self.cal, self.snapshots, self.store, self.previous = spark, calendar, snapshots, store, previous
         self.set = settings or Settings()
         self._tables: dict[str, DataFrame] = {}
         if self.set.n_assets:
@@ -98,11 +101,18 @@ class StressPipeline:
         return self._table("residuals", lambda: volatility.residuals(self.volatility()))
 
     def parameters(self) -> DataFrame:
-        return self._table("parameters", lambda: composite.fit(self.residuals(), min_rows=self.set.mle_min_rows))
+        return self._table("parameters", lambda: self.settled(composite.fit(self.residuals(), min_rows=self.set.mle_min_rows), self.previous))
+
+    @staticmethod
+    def settled(new: DataFrame, previous: DataFrame | None) -> DataFrame:
+        return new if previous is None or volatility.refit_needed(new, previous) else previous
 
     def residual_windows(self) -> DataFrame:
-        return self._table("residual_windows", lambda: P.complete_cases(
-            self.residuals(), self.snapshots, self.cal, "z", min_rows=self.set.min_rows, min_assets=self.set.min_assets))
+        def build():
+            t = P.complete_cases(self.residuals(), self.snapshots, self.cal, "z", min_rows=self.set.min_rows, min_assets=self.set.min_assets)
+            return require_windows(materialize(t, "windows"), self.snapshots) if self.set.every_window else t
+
+        return self._table("residual_windows", build)
 
     def _guarded(self) -> DataFrame:
         return pairs.guarded_windows(pairs.vectors(self.residual_windows(), "z"), self.parameters())

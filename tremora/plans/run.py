@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tremora import config as C
 from tremora.operators import panel as P
 from tremora.operators import quality, stress
+from tremora.plans import ledger
 from tremora.plans.pipeline import Settings, StressPipeline, build_panel
 from tremora.session import values
 from tremora.sources import daily as S
@@ -36,7 +37,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--windows", help="CSV snapshot,start,end,regime; the built-in table otherwise")
     p.add_argument("--n-assets", type=int)
     p.add_argument("--force", action="store_true", help="rebuild stage tables")
-    p.add_argument("--quick", action="store_true", help="500 assets, fewer null draws")
+    p.add_argument("--every-window", action="store_true", help="stop when a window has too few assets or rows")
+    p.add_argument("--rolling-assets", type=int, default=50, help="best covered assets of the rolling index")
+    p.add_argument("--parameters", help="parquet of pooled parameters that stay in force unless they moved")
+    p.add_argument("--sweep", action="store_true", help="all selection rules and panel sizes instead of one run; resumes what is not done")
     p.add_argument("--extras", action="store_true", help="also the volume-weighted and rolling index")
     p.add_argument("--benchmark-old")
     p.add_argument("--benchmark-new")
@@ -48,20 +52,23 @@ def main(argv: list[str] | None = None) -> None:
     rows = S.daily(spark, a.daily).join(info.select("permno", "asset"), "permno")
     adv = P.dollar_volume(rows, F.col("prc"), F.col("vol"))
     snaps = S.csv(spark, a.windows, "snapshot STRING, start DATE, end DATE, regime STRING") if a.windows else study_windows(spark)
-    s = Settings(n_assets=a.n_assets)
-    if a.quick:
-        s = Settings(n_assets=a.n_assets or 500, n_er_sims=100, n_rewires=50)
-    pipe = StressPipeline(spark, returns, cal, snaps, info.select("asset", "sector"), adv, s, StageStore(spark, f"{a.out}/stages", a.force))
+    s = Settings(n_assets=a.n_assets, every_window=a.every_window)
+    if a.sweep:
+        ledger.sweep(spark, f"{a.out}/sweep", returns, cal, snaps, info.select("asset", "sector"), adv, settings=s).orderBy("kind", "n").show(100, truncate=False)
+        return
+    before = spark.read.parquet(a.parameters) if a.parameters else None
+    pipe = StressPipeline(spark, returns, cal, snaps, info.select("asset", "sector"), adv, s, StageStore(spark, f"{a.out}/stages", a.force), before)
     tables = pipe.run()
     if a.extras:
         tables["volume_weighted"] = pipe.volume_weighted()
-        roll = stress.rolling_index(P.keep_assets(pipe.returns, _top(pipe.returns, 50)), cal)
+        roll = stress.rolling_index(P.keep_assets(pipe.returns, _top(pipe.returns, a.rolling_assets)), cal)
         tables["rolling"] = roll
         if a.benchmark_old and a.benchmark_new:
             bench = P.splice_series(S.series(spark, a.benchmark_old, "VXOCLS"), S.series(spark, a.benchmark_new, "VIXCLS"), a.benchmark_cut)
             tables["backtest"] = stress.backtest(roll, bench)
     for name, df in tables.items():
         write_table(df, f"{a.out}/results/{name}", "parquet")
+    write_table(quality.failures(spark.read.parquet(f"{a.out}/results/checks")), f"{a.out}/results/failures", "parquet")
     text = quality.markdown(spark.read.parquet(f"{a.out}/results/checks"))
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{a.out}/results/report")
     for name in ("network", "stress", "tests"):
