@@ -20,7 +20,7 @@ from tremora.operators.spectrum import smallest_eigenvalues
 from tremora.session import materialize, spread
 
 
-CONVERGED = 1e-4
+CONVERGED = GAP = 1e-4
 
 
 def lambda_grid(n: int = C.N_LAMBDAS, bounds=C.LAMBDA_RANGE) -> list[float]:
@@ -94,7 +94,8 @@ def minimise(s: np.ndarray, lam: float, tol: float = 1e-6, start: np.ndarray | N
     the step until the objective falls enough; where no Newton step does, a proximal
     gradient step is taken. Returns ``(theta, steps, violation, gap, reason)``: the
     largest violation of the optimality conditions, the duality gap, and ``optimal``
-    (violation below ``tol``) or ``stalled`` (no step lowers the objective any more).
+    (violation below ``tol`` and gap below ``GAP``) or ``stalled`` (no step lowers the
+    objective any more).
     """
     off = ~np.eye(len(s), dtype=bool)
     weight = lam * off
@@ -105,8 +106,8 @@ def minimise(s: np.ndarray, lam: float, tol: float = 1e-6, start: np.ndarray | N
         w = (w + w.T) / 2
         grad = s - w
         worst = _violation(s, theta, w, lam, off)
-        if worst < tol:
-            return theta, steps, worst, duality_gap(s, w, weight, value), "optimal"
+        if worst < tol and (gap := duality_gap(s, w, weight, value)) < GAP:
+            return theta, steps, worst, gap, "optimal"
         sign = np.where(theta != 0, np.sign(theta), np.where(np.abs(grad) > lam, -np.sign(grad), 0.0))
         free = (sign != 0) | ~off
         slope = np.where(free, grad + weight * sign, 0.0)
@@ -228,7 +229,7 @@ def fit_grid(corr: DataFrame, nodes: DataFrame, lambdas: list[float], shift: Dat
         (-F.log1p("extra")).alias("logdet"), F.lit(1.0).alias("tr"), F.lit(0).alias("n_iter"), F.lit(0.0).alias("violation"),
         F.lit(0.0).alias("gap"), F.lit("optimal").alias("reason"))
     rows = fitted.unionByName(alone)
-    head = ~F.isnan("logdet")
+    head = F.col("logdet").isNotNull() & ~F.isnan("logdet")
     summary = rows.groupBy("snapshot", "lam").agg(
         F.sum(F.when(head, F.col("logdet"))).alias("logdet"), F.sum(F.when(head, F.col("tr"))).alias("tr"),
         F.count(F.when(F.col("i") != F.col("j"), 1)).alias("k"), F.max("n_iter").alias("n_iter"), F.max("violation").alias("violation"),

@@ -603,3 +603,75 @@ def motif_z(spark, sf):
 @query("density_matched")
 def density_matched(spark, sf):
     return D.stage(spark, sf, "density_matched", lambda s, f: nulls.threshold_quality(strong(s, f), nodes(s, f), D.sectors(s, f)))
+
+
+# ------------------------------------------------------------------ properties of drawn and fitted results
+@query("rewiring_properties", f"SELECT DISTINCT snapshot, {C.N_REWIRES}::BIGINT AS n_draws, true AS degrees_kept, true AS mutual_kept, true AS simple FROM arcs", ["arcs"])
+def rewiring_properties(spark, sf):
+    """Every rewired graph keeps each node's arcs out and in and its mutual dyads, and has no loop or double arc."""
+    a = arcs(spark, sf)
+    drawn = D.stage(spark, sf, "rewired", lambda s, f: nulls.rewired_arcs(arcs(s, f), C.N_REWIRES))
+
+    def shape(t, k):
+        t = t.select(*k, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+        back = t.select(*k, F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
+        t = t.join(back.distinct(), [*k, "src", "dst"], "left")
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                                 F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+        node = t.select(*k, "back", ends.alias("e")).groupBy(*k, "e.node").agg(
+            F.sum("e.o").alias("o"), F.sum("e.i").alias("i"), F.count("back").alias("m"))
+        return node.groupBy(*k).agg(F.sum(F.xxhash64("node", "o", "i").cast("decimal(38,0)")).alias("degrees"), F.sum(F.xxhash64("node", "m").cast("decimal(38,0)")).alias("mutual"))
+
+    k = ["snapshot", "draw"]
+    plain = drawn.groupBy(*k).agg((F.count("*") == F.count_distinct("src", "dst")).alias("once"), (F.count_if(F.col("src") == F.col("dst")) == 0).alias("no_loop"))
+    both = shape(drawn, k).join(plain, k).join(shape(a, ["snapshot"]).select("snapshot", F.col("degrees").alias("d0"), F.col("mutual").alias("m0")), "snapshot")
+    return both.groupBy("snapshot").agg(
+        F.count("*").alias("n_draws"), F.min(F.col("degrees") == F.col("d0")).alias("degrees_kept"), F.min(F.col("mutual") == F.col("m0")).alias("mutual_kept"),
+        F.min(F.col("once") & F.col("no_loop")).alias("simple"))
+
+
+@query("random_graph_properties", f"SELECT snapshot, {C.N_ER_MATCHED}::BIGINT AS n_draws, count(*)::BIGINT AS n_edges, true AS simple, true AS draws_differ FROM und GROUP BY 1", ["und"])
+def random_graph_properties(spark, sf):
+    """Uniform graphs have exactly the edges of their window, none twice, and no two draws of a window are equal."""
+    u = G.undirected(arcs(spark, sf))
+    sizes = nodes(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n")).join(u.groupBy("snapshot").agg(F.count("*").alias("m")), "snapshot")
+    per = nulls.er_edges(sizes).groupBy("snapshot", "draw").agg(
+        F.count("*").alias("m"), F.count_distinct("a", "b").alias("once"), F.count_if(F.col("a") >= F.col("b")).alias("wrong"),
+        F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    per = per.join(sizes.select("snapshot", F.col("m").alias("n_edges")), "snapshot")
+    return per.groupBy("snapshot", "n_edges").agg(
+        F.count("*").alias("n_draws"), F.min((F.col("m") == F.col("n_edges")) & (F.col("once") == F.col("m")) & (F.col("wrong") == 0)).alias("simple"),
+        (F.count_distinct("h") == F.count("*")).alias("draws_differ"))
+
+
+@query("motif_properties", "SELECT DISTINCT snapshot, true AS profile_is_unit, true AS z_signs_agree FROM arcs", ["arcs"])
+def motif_properties(spark, sf):
+    """The significance profile has length one (or no z is defined) and a z has the sign of count less mean."""
+    t = D.stage(spark, sf, "motif_z", motif_z)
+    names = [c[3:] for c in t.columns if c.startswith("sp_")]
+    square = sum((F.coalesce(F.col(f"sp_{c}") * F.col(f"sp_{c}"), F.lit(0.0)) for c in names), F.lit(0.0))
+    agree = F.lit(True)
+    for c in names:
+        agree = agree & F.coalesce(F.signum(f"z_{c}") == F.signum(F.round(F.col(f"n_{c}") - F.col(f"n_{c}_mu"), 12)), F.lit(True))
+    return t.select("snapshot", ((F.abs(square - 1) < 1e-9) | (square == 0)).alias("profile_is_unit"), agree.alias("z_signs_agree"))
+
+
+@query("glasso_path_properties", "SELECT DISTINCT snapshot, 25::BIGINT AS n_penalties, true AS all_optimal, true AS gaps_closed, true AS edges_as_selected, true AS weights_in_range FROM nodes", ["nodes"])
+def glasso_path_properties(spark, sf):
+    """All penalties reach the optimum with a duality gap below 1e-3, and the selected one has just the edges it counts."""
+    edges, sel, grid = _sparse(spark, sf)
+    per = grid.groupBy("snapshot").agg(F.count("*").alias("n_penalties"), F.min(F.col("reason") == "optimal").alias("all_optimal"),
+                                       F.min(F.abs("gap") < 1e-3).alias("gaps_closed"))
+    n = edges.groupBy("snapshot").agg(F.count("*").alias("found"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    t = per.join(sel.select("snapshot", "k"), "snapshot").join(n, "snapshot", "left")
+    return t.select("snapshot", "n_penalties", "all_optimal", "gaps_closed", (F.coalesce("found", F.lit(0)) == F.col("k")).alias("edges_as_selected"),
+                    F.coalesce((F.col("lo") > 0) & (F.col("hi") <= 1 + 1e-9), F.lit(True)).alias("weights_in_range"))
+
+
+@query("density_matched_properties", "SELECT snapshot, count(*)::BIGINT AS n, true AS q_in_range, true AS purity_in_range FROM nodes GROUP BY 1", ["nodes"])
+def density_matched_properties(spark, sf):
+    """Modularity and purity of the threshold networks lie in their ranges, and the relative one follows from its parts."""
+    t = density_matched(spark, sf)
+    rel = F.coalesce(F.abs(F.col("q_rel") - (F.col("q") - F.col("q_random")) / F.col("q_random")) < 1e-9, F.lit(True))
+    return t.select("snapshot", "n", (F.col("q").between(-0.5, 1) & F.col("q_random").between(-0.5, 1) & rel).alias("q_in_range"),
+                    F.col("purity").between(0, 1).alias("purity_in_range"))
