@@ -60,6 +60,21 @@ def test_packing_keeps_every_token_and_no_conflict(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_counts_as_the_library_does():
+    rng = random.Random(12)
+    parts = ["word", " ", "  ", "\n", "é", "\u00a0", "日本", "12", "'s", "!?", "<s>", "</s>", "\U0001F600", "x" * 3_000, " " * 3_000]
+    texts = ["", *["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(400)]]
+    count = packing.Counter(TOKENIZER)
+    assert count(texts) == [len(count.library.whole(t)) // 4 for t in texts]
+    assert any(map(count.plain, texts)) and not all(map(count.plain, texts))
+
+
+def test_groups_that_share_a_repeated_key_are_one_cluster(spark):
+    rows = [(1, 1), (2, 1), (2, 5), (5, 5), (6, 5), (7, 7), (8, 7)]
+    got = {r["id"]: r["label"] for r in packing.clusters_of(spark.createDataFrame(rows, "doc_id long, component_id long")).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7}
+
+
 def test_packing_counts_token_ids(spark):
     docs = odd_documents(spark, [(14, "日本語のとても長い文" * 300, "ja", "s3", 1)])
     tool = Tokenizer.from_file(TOKENIZER)
