@@ -48,7 +48,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``ids`` (one number a row) marked for broadcast where a count shows at most ``most`` rows; else joined by shuffle."""
+    """``ids`` (one to three numbers a row) marked for broadcast where a count shows at most ``most`` rows; else joined by shuffle."""
     ids, _ = stage(ids, "ids")
     return F.broadcast(ids) if ids.count() <= most else ids
 
