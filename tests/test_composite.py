@@ -90,3 +90,35 @@ def test_groups_and_short_panels(spark, panel):
     assert {k: (r.n_assets, r.n_pairs) for k, r in got.items()} == {1: (4, 3), 2: (5, 10), 3: (1, 0)}  # one asset of group 1 starts late
     assert got[3].status == "too_short" and got[3].a is None and all(0 < got[g].a + got[g].b + got[g].g < 1 for g in (1, 2) if got[g].converged)
     assert composite.fit(rows.where("date < '2020-02-01'")).head().status == "too_short"
+
+
+def test_search_ends_at_the_bound_of_a_parameter():
+    rng = np.random.default_rng(5)
+    z = simulate(rng, 8, 400, 0.2, 0.0, 0.0)  # shocks that are gone a date later
+    use = np.triu(np.ones((8, 8), bool), 1)
+    for start in composite.adcc_starts():
+        s = composite.Search(start)
+        while s.state == "open":
+            value, grad, n, bad, _ = composite.pair_value(z, z, use, s.trials, 2)
+            s.tell(value[0] / n, grad / n, not bad[0], 1e-7)
+        assert s.state == "converged" and s.steps <= 40
+        theta = composite._inside(s.u)
+        around = [np.maximum(theta + d, 1e-9) for c in range(3) for d in (0.004 * np.eye(3)[c], -0.004 * np.eye(3)[c])]
+        value, _, n, bad, _ = composite.pair_value(z, z, use, np.array([theta, *around]), 2)
+        assert all(b or v >= value[0] - 1e-9 * n for v, b in zip(value[1:], bad[1:]))
+
+
+def test_passes_read_one_stage_table_without_a_shuffle_and_stay_few(spark, panel, monkeypatch):
+    z, rows = panel
+    calls, staged, build = [], [], composite.pair_blocks
+    monkeypatch.setattr(composite, "pair_blocks", lambda *a: staged.append(build(*a)) or staged[-1])
+    run = composite.score
+    monkeypatch.setattr(composite, "score", lambda *a: calls.append(a[0]) or run(*a))
+    r = composite.fit(rows, block=4).head()
+    assert len(staged) == 1 and len(calls) == r.n_passes <= 40 and all(c is staged[0] for c in calls)
+    assert r.n_converged == r.n_starts and not r.multi_modal and r.spread < 1e-3
+    whole = spark.createDataFrame([(0, i, 9, z[i].tolist()) for i in range(9)], "grp int, idx int, p int, vec array<double>")
+    pairs = build(whole, 4)
+    assert sorted((b.bi, b.bj, len(b.za), len(b.zb)) for b in pairs.collect()) == [(0, 0, 4, 4), (0, 1, 4, 4), (0, 2, 4, 1), (1, 1, 4, 4), (1, 2, 4, 1), (2, 2, 1, 1)]
+    assert abs(run(pairs, {0: {0: [0.05, 0.9, 0.02]}}, 2)[0, 0][0] * sum((np.isfinite(z[i]) & np.isfinite(z[j])).sum() - 1 for i in range(9) for j in range(i + 1, 9))
+               - slow(z, (0.05, 0.9, 0.02))) < 1e-6

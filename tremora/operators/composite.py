@@ -1,26 +1,30 @@
 """Pooled dynamic-correlation parameters by a composite likelihood over all asset pairs.
 
 The value is the sum of the Gaussian correlation likelihoods of all pairs, so no
-matrix over all assets exists anywhere. Pairs of asset blocks are tasks; each returns
-the value and gradient of its pairs for every trial point, Spark adds them up, and the
-driver moves one quasi-Newton search per start and group with three numbers each. All
-searches share a pass over the data.
+matrix over all assets exists anywhere. Pairs of asset blocks are rows of a table that
+is written once per fit; a pass reads it without a shuffle and returns the value and
+gradient of its pairs for every trial point, Spark adds them up, and the driver moves
+one Newton search per start and group with three numbers each. All searches share a
+pass over the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.operators.pairs import _stack, blocked
 from tremora.operators.volatility import adcc_starts
-from tremora.session import attach, materialize, values
+from tremora.session import attach, materialize, release, spread, values
 
 BLOCK = 32
 SMALL = 1e-12
+NUDGE = 1e-4  # step of the gradient differences that give the curvature
+NEAR, EDGE = -7.0, -25.0  # free numbers of a parameter close to its bound zero, and next to it
 
 
 def grid_vectors(resid: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -101,22 +105,46 @@ def pair_value(za: np.ndarray, zb: np.ndarray, use: np.ndarray, theta: np.ndarra
     return value.sum(axis=(1, 2)), grad.sum(axis=(2, 3)).T, float(np.where(use, n - 1, 0).sum()), bad, int(use.sum())
 
 
-def evaluate(vecs: DataFrame, points: dict, min_rows: int, block: int = BLOCK) -> dict:
-    """``(value, gradient, observations, inadmissible, pairs)`` per group and point number, means per observation."""
+def pair_blocks(vecs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(grp, bi, bj, za, zb)``: the vectors of every unordered pair of asset blocks as one row of a stage table."""
+    blk = F.floor(F.col("idx") / block).cast("int")
+    rows = vecs.withColumn("blk", blk).groupBy("grp", "blk", F.ceil(F.col("p") / block).cast("int").alias("n_blk")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("s")).select("grp", "blk", "n_blk", F.col("s.vec").alias("z"))
+    left = rows.select("grp", F.col("blk").alias("bi"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("bj"), F.col("z").alias("za"))
+    right = rows.select("grp", F.col("blk").alias("bj"), F.col("z").alias("zb"))
+    return materialize(spread(left.join(right, ["grp", "bj"]).select("grp", "bi", "bj", "za", "zb"), "grp", "bi", "bj"), "adcc-blocks")
 
-    def task(a, b, same):
-        todo = points.get(a["grp"].iloc[0], {})
-        if not todo:
-            return pd.DataFrame({c: [] for c in ("point", "value", "ga", "gb", "gg", "n", "bad", "pairs")})
-        use = np.triu(np.ones((len(a), len(b)), bool), 1) if same else np.ones((len(a), len(b)), bool)
-        value, grad, n, bad, pairs = pair_value(_stack(a), _stack(b), use, np.array(list(todo.values()), float), min_rows)
-        return pd.DataFrame({"point": list(todo), "value": value, "ga": grad[:, 0], "gb": grad[:, 1], "gg": grad[:, 2], "n": n, "bad": bad, "pairs": pairs})
 
-    part = blocked(vecs, task, "point int, value double, ga double, gb double, gg double, n double, bad long, pairs long", ("grp",), block)
-    sums = part.groupBy("grp", "point").agg(*[F.sum(c).alias(c) for c in ("value", "ga", "gb", "gg", "n", "bad", "pairs")])
+def score(blocks: DataFrame, points: dict, min_rows: int) -> dict:
+    """``(value, gradient, observations, inadmissible, pairs)`` per group and point number, means per observation."""
+    columns = ["grp", "point", "value", "ga", "gb", "gg", "n", "bad", "pairs"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if not (todo := points.get(r.grp)):
+                    continue
+                za, zb = (np.vstack([np.asarray(v, float) for v in z]) for z in (r.za, r.zb))
+                use = np.ones((len(za), len(zb)), bool)
+                value, grad, n, bad, pairs = pair_value(za, zb, np.triu(use, 1) if r.bi == r.bj else use, np.array(list(todo.values()), float), min_rows)
+                yield pd.DataFrame({"grp": r.grp, "point": list(todo), "value": value, "ga": grad[:, 0], "gb": grad[:, 1], "gg": grad[:, 2],
+                                    "n": n, "bad": bad, "pairs": pairs})[columns]
+
+    kind = blocks.schema["grp"].dataType.simpleString()
+    part = blocks.mapInPandas(run, f"grp {kind}, point int, value double, ga double, gb double, gg double, n double, bad long, pairs long")
+    sums = part.groupBy("grp", "point").agg(*[F.sum(c).alias(c) for c in columns[2:]])
     return {(r.grp, r.point): (r.value / max(r.n, 1), np.array([r.ga, r.gb, r.gg]) / max(r.n, 1), r.n, r.bad, r.pairs) for r in sums.collect()}
 
 
+def evaluate(vecs: DataFrame, points: dict, min_rows: int, block: int = BLOCK) -> dict:
+    """One pass over vectors that are not cut into blocks yet."""
+    blocks = pair_blocks(vecs, block)
+    try:
+        return score(blocks, points, min_rows)
+    finally:
+        release(blocks)
+
+
 def _inside(u: np.ndarray) -> np.ndarray:
     """Three free numbers to positive parameters whose sum stays below the stationarity bound."""
     e = np.exp(u - max(u.max(), 0.0))
@@ -124,39 +152,43 @@ def _inside(u: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Quasi-Newton search of one start; ``trial`` is the next point to score."""
+    """Newton search of one start; ``trials`` are the next point to score and its three neighbours.
+
+    The curvature is the difference of the gradients at the neighbours. Its eigenvalues count by
+    their size, so a step goes downhill on a ridge as well, and no step is longer than two.
+    Parameters that still fall close to zero when the rest has settled are tried next to zero.
+    """
 
     def __init__(self, theta):
         share = np.asarray(theta, float) / (1 - C.ADCC_SLACK)
         self.u = self.next = np.log(share) - np.log(1 - share.sum())
-        self.h, self.value, self.grad, self.state, self.steps = np.eye(3), np.inf, None, "open", 0
-        self.size, self.way = 1.0, np.zeros(3)
+        self.value, self.grad, self.state, self.steps = np.inf, None, "open", 0
+        self.size, self.way, self.edge = 1.0, np.zeros(3), False
 
     @property
-    def trial(self) -> np.ndarray:
-        return _inside(self.next)
+    def trials(self) -> np.ndarray:
+        return np.array([_inside(self.next + d) for d in np.vstack([np.zeros(3), NUDGE * np.eye(3)])])
 
     def tell(self, value: float, by_theta: np.ndarray, admissible: bool, tol: float) -> None:
+        """Take the value at the first of ``trials`` and the gradients at all four."""
         self.steps += 1
-        p = self.trial
-        grad = p * by_theta - p * float((by_theta * p).sum()) / (1 - C.ADCC_SLACK)
+        grad = np.array([p * d - p * float(d @ p) / (1 - C.ADCC_SLACK) for p, d in zip(self.trials, by_theta)])
         fits = admissible and np.isfinite(value) and np.isfinite(grad).all()
-        slope = 0.0 if self.grad is None else float(self.grad @ self.way)
+        slope = 0.0 if self.grad is None or self.edge else float(self.grad @ self.way)
         if fits and value <= self.value + 1e-4 * self.size * slope:
-            if self.grad is not None:
-                s, y = self.next - self.u, grad - self.grad
-                if (sy := float(s @ y)) > 1e-14:
-                    r = np.eye(3) - np.outer(s, y) / sy
-                    self.h = r @ self.h @ r.T + np.outer(s, s) / sy
-            self.u, self.value, self.grad = self.next, value, grad
-            if np.abs(grad).max() < tol:
-                self.state = "converged"
-            way = -self.h @ grad
-            if float(way @ grad) >= 0:
-                self.h, way = np.eye(3), -grad
-            self.way, self.size = way, min(1.0, 2.0 / max(np.abs(way).max(), 1e-12))
+            self.u, self.value, self.grad, self.edge = self.next, value, grad[0], False
+            if np.abs(self.grad).max() < tol:
+                low = (self.u < NEAR) & (self.u > EDGE) & (self.grad > 0)
+                self.state, self.edge, self.next = "open" if low.any() else "converged", low.any(), np.where(low, EDGE, self.u)
+                return
+            h = (grad[1:] - grad[0]) / NUDGE
+            size, axes = np.linalg.eigh((h + h.T) / 2)
+            self.way = -axes @ ((axes.T @ self.grad) / np.maximum(np.abs(size), 1e-8))
+            self.size = min(1.0, 2.0 / max(np.abs(self.way).max(), 1e-12))
         elif self.grad is None:
             self.state = "rejected"  # the start itself is not admissible
+        elif self.edge:
+            self.state = "converged"  # no better at the bound
         else:
             self.size /= 2
             if self.size * np.abs(self.way).max() < 1e-9:
@@ -164,7 +196,7 @@ class Search:
         self.next = self.u + self.size * self.way
 
 
-def fit(resid: DataFrame, groups: DataFrame | None = None, min_rows: int = C.ADCC_MIN_ROWS, tol: float = 1e-6, block: int = BLOCK) -> DataFrame:
+def fit(resid: DataFrame, groups: DataFrame | None = None, min_rows: int = C.ADCC_MIN_ROWS, tol: float = 1e-7, block: int = BLOCK) -> DataFrame:
     """``grp, a, b, g, nll, status, converged, n_assets, n_pairs, n_starts, n_converged, n_passes, spread, multi_modal`` per group.
 
     The best converged start is taken; a group none of whose starts converges is
@@ -175,20 +207,23 @@ def fit(resid: DataFrame, groups: DataFrame | None = None, min_rows: int = C.ADC
     size = {r.grp: r.n for r in vecs.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     search = {(g, i): Search(s) for g in size for i, s in enumerate(adcc_starts())}
     pairs, passes = dict.fromkeys(size, 0), dict.fromkeys(size, 0)
+    blocks = pair_blocks(vecs, block)
     while any(s.state == "open" for s in search.values()):
         points: dict = {}
         for (g, i), s in search.items():
             if s.state == "open":
-                points.setdefault(g, {})[i] = s.trial.tolist()
-        got = evaluate(vecs, points, min_rows, block)
+                points.setdefault(g, {}).update({4 * i + c: p for c, p in enumerate(s.trials.tolist())})
+        got = score(blocks, points, min_rows)
         for g, todo in points.items():
             passes[g] += 1
-            for i in todo:
-                value, grad, n, bad, pairs[g] = got.get((g, i), (np.inf, np.zeros(3), 0, 0, 0))
+            for i in {k // 4 for k in todo}:
+                at = [got.get((g, 4 * i + c), (np.inf, np.zeros(3), 0, 0, 0)) for c in range(4)]
+                value, _, n, bad, pairs[g] = at[0]
                 if not n:
                     search[g, i].state = "too_short"
                 else:
-                    search[g, i].tell(value, grad, not bad, tol)
+                    search[g, i].tell(value, np.array([a[1] for a in at]), not bad, tol)
+    release(blocks)
     rows = []
     for g in size:
         own = [s for (k, _), s in search.items() if k == g]
