@@ -215,3 +215,19 @@ def test_quotas_fill_room_and_trim_above_one(frame):
     assert quota(6, 100, 1, 1, 1) == [3, 1, 1, 1]
     assert quota(10, 5, 3, 2) == [5, 3, 2]
     assert sum(quota(11, 50, 3, 2, 1, 1, 1)) == 11
+
+
+def test_nation_panel_is_staged_once_and_stages_no_supplier_weeks(spark):
+    from tremora.plans import standin
+
+    sf = "/root/testdata/./sf0.001"  # a path of its own, so no other test has staged it
+    got = {(r.asset, r.date): (r.price, r.volume) for r in standin.nation_weeks(spark, sf).collect()}
+    cal = standin.weeks(spark, sf)
+    standin.benchmark_daily(spark, sf)
+    names = {k[2] for k in standin._STAGES if k[1] == sf}
+    assert names == {"nation_weeks", "weeks", "benchmark"}
+    assert standin.nation_weeks(spark, sf) is standin.nation_weeks(spark, sf) and standin.weeks(spark, sf) is cal
+    s = standin.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset"), "s_nationkey")
+    want = standin.scan_supplier_weeks(spark, sf).join(s, "asset").groupBy("s_nationkey", "date").agg(F.sum("price").alias("p"), F.sum("volume").alias("v")).collect()
+    assert len(want) == len(got) and all(abs(got[r.s_nationkey, r.date][0] / r.p - 1) < 1e-12 and got[r.s_nationkey, r.date][1] == r.v for r in want)
+    assert cal.collect() == P.calendar(standin.scan_supplier_weeks(spark, sf)).collect()

@@ -41,7 +41,7 @@ def week(c: str):
 
 
 def scan_supplier_weeks(spark, sf) -> DataFrame:
-    """Weekly turnover and quantity per supplier: the one scan of the fact table."""
+    """Weekly turnover and quantity per supplier."""
     return P.to_panel(table(spark, sf, "lineitem"), "l_suppkey", week("l_shipdate"),
                       price=F.sum("l_extendedprice"), volume=F.sum("l_quantity"))
 
@@ -50,18 +50,21 @@ def supplier_weeks(spark, sf) -> DataFrame:
     return stage(spark, sf, "weekly", scan_supplier_weeks)
 
 
+def scan_nation_weeks(spark, sf) -> DataFrame:
+    """Weekly turnover per nation: tasks sum line items per nation and week before the shuffle, suppliers have almost as many weeks as items."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return P.to_panel(table(spark, sf, "lineitem").join(s, "l_suppkey"), "s_nationkey", week("l_shipdate"),
+                      price=F.sum("l_extendedprice"), volume=F.sum("l_quantity"))
+
+
 def nation_weeks(spark, sf) -> DataFrame:
-    """Weekly turnover per nation: line items collapse to supplier weeks before the join."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset"), "s_nationkey")
-    return (
-        supplier_weeks(spark, sf).join(s, "asset")
-        .groupBy(F.col("s_nationkey").alias("asset"), "date")
-        .agg(F.sum("price").alias("price"), F.sum("volume").alias("volume"))
-    )
+    """A row per nation and week, written once: no later step reads line items for it again."""
+    return stage(spark, sf, "nation_weeks", scan_nation_weeks)
 
 
 def weeks(spark, sf) -> DataFrame:
-    return P.calendar(supplier_weeks(spark, sf))
+    """Calendar of weeks, written once."""
+    return stage(spark, sf, "weeks", lambda s, f: P.calendar(table(s, f, "lineitem").select(week("l_shipdate").alias("date"))))
 
 
 def nation_returns(spark, sf) -> DataFrame:
@@ -85,7 +88,7 @@ def supplier_sectors(spark, sf) -> DataFrame:
     return s.join(sectors(spark, sf), F.col("s_nationkey") == F.col("asset")).select(F.col("s_suppkey").alias("asset"), "sector")
 
 
-def benchmark_daily(spark, sf) -> DataFrame:
+def scan_benchmark(spark, sf) -> DataFrame:
     """Daily benchmark series: mean order value."""
     return (
         table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date"))
@@ -93,6 +96,10 @@ def benchmark_daily(spark, sf) -> DataFrame:
     )
 
 
+def benchmark_daily(spark, sf) -> DataFrame:
+    return stage(spark, sf, "benchmark", scan_benchmark)
+
+
 _STAGES: dict[tuple, DataFrame] = {}
 
 
