@@ -199,3 +199,35 @@ def test_unit_roots(frame):
     got = {r.asset: r.reject for r in V.adf(t).collect()}
     assert got == {"noise": True, "walk": False, "short": None, "flat": None}
     assert V.adf_rates(V.adf(t)).head().reject_rate == 0.5
+
+
+def test_simplex_scores_at_most_two_points_a_round():
+    asked = []
+
+    def bowl(points, rows):
+        asked.append(len(points))
+        return ((points - rows[:, None]) ** 2 * [1.0, 3.0]).sum(axis=1)
+
+    pts, val, used = V.minimise(bowl, np.zeros((5, 2)))
+    assert np.allclose(pts, np.arange(5)[:, None], atol=1e-2) and val.max() < 1e-4
+    assert sum(n for n in asked[1:]) <= used * 5 * 2 + 5 * 2 * used // 4  # two trial points a round, shrinking is rare
+
+
+def test_garch_fits_a_bounded_number_of_series_together(frame, monkeypatch):
+    rows = [(f"a{i:02d}", dates(260), garch_path(260, i).tolist()) for i in range(7)]
+    t = frame(rows, "asset string, dates array<date>, vec array<double>").coalesce(1)
+    want = {a: V.fit_garch(100.0 * np.array([v]), np.ones((1, 260), bool)) for a, _, v in rows}
+    sizes, run = [], V.fit_garch
+    monkeypatch.setattr(V, "FIT_BATCH", 3)
+    monkeypatch.setattr(V, "fit_garch", lambda y, live: sizes.append(len(y)) or run(y, live))
+    monkeypatch.setattr(V, "spread", lambda s: s)
+
+    class Rows:
+        schema = t.schema
+
+        def mapInPandas(self, fn, schema):
+            return next(iter(fn(iter([t.toPandas()]))))
+
+    got = V.garch(Rows()).set_index("asset")
+    assert sizes == [3, 3, 1]
+    assert all(abs(got.loc[a, "nll"] - w["nll"][0]) < 1e-9 and np.allclose(got.loc[a, "z"], w["z"][0]) for a, w in want.items())
