@@ -30,6 +30,21 @@ def test_smallest_eigenvalues_match_dense_ones(frame):
     assert not checks["indefinite"] and checks["full"] and checks["blocks"]
 
 
+def test_small_windows_are_solved_in_place_and_large_ones_by_steps(frame):
+    """Both ways agree, pairs in either order and of unknown nodes included; only windows above the bound take steps."""
+    rng = np.random.default_rng(5)
+    cases = {"six": np.corrcoef(rng.normal(size=(20, 6)).T), "nine": np.corrcoef(rng.normal(size=(20, 9)).T), "alone": np.eye(1)}
+    rows = [r for k, m in cases.items() for r in pair_rows(k, m)]
+    rows = [(k, j, i, v) if i % 2 else (k, i, j, v) for k, i, j, v in rows] + [("six", 0, 99, 0.9), ("gone", 0, 1, 0.9)]
+    pairs = frame(rows, "snapshot string, i int, j int, v double")
+    nodes = frame([(k, i) for k, m in cases.items() for i in range(len(m))], "snapshot string, node int")
+    want = {k: np.linalg.eigvalsh(m)[0] for k, m in cases.items()}
+    for dense, stepped in ((1000, set()), (6, {"nine"}), (0, set(cases))):
+        got = {r["snapshot"]: r for r in spectrum.smallest_eigenvalues(pairs, nodes, dense=dense).collect()}
+        assert {k for k, r in got.items() if r["steps"]} == stepped and set(got) == set(cases)
+        assert max(abs(got[k]["low"] - v) for k, v in want.items()) < 1e-6
+
+
 def factors(rng, n, p, delta):
     x = rng.normal(size=(n, 3)) @ rng.normal(size=(3, p)) * 0.7 + rng.normal(size=(n, p))
     return (1 - delta) * np.corrcoef(x.T) + delta * np.eye(p)

@@ -21,7 +21,7 @@ from tremora import config as C
 from tremora.operators.volatility import adcc_starts
 from tremora.session import attach, materialize, release, spread, values
 
-BLOCK = 32
+BLOCK, LEAST = 32, 8  # assets of a block; few assets go into smaller blocks, so that tasks share them
 SMALL = 1e-12
 NUDGE = 1e-4  # step of the gradient differences that give the curvature
 NEAR, EDGE = -7.0, -25.0  # free numbers of a parameter close to its bound zero, and next to it
@@ -107,8 +107,9 @@ def pair_value(za: np.ndarray, zb: np.ndarray, use: np.ndarray, theta: np.ndarra
 
 def pair_blocks(vecs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(grp, bi, bj, za, zb)``: the vectors of every unordered pair of asset blocks as one row of a stage table."""
-    blk = F.floor(F.col("idx") / block).cast("int")
-    rows = vecs.withColumn("blk", blk).groupBy("grp", "blk", F.ceil(F.col("p") / block).cast("int").alias("n_blk")).agg(
+    width = F.least(F.lit(block), F.greatest(F.lit(LEAST), F.ceil(F.col("p") / 4).cast("int")))
+    blk = F.floor(F.col("idx") / width).cast("int")
+    rows = vecs.withColumn("blk", blk).groupBy("grp", "blk", F.ceil(F.col("p") / width).cast("int").alias("n_blk")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("s")).select("grp", "blk", "n_blk", F.col("s.vec").alias("z"))
     left = rows.select("grp", F.col("blk").alias("bi"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("bj"), F.col("z").alias("za"))
     right = rows.select("grp", F.col("blk").alias("bj"), F.col("z").alias("zb"))

@@ -1,20 +1,24 @@
 """Smallest eigenvalue of the pair matrix of every window, of any size.
 
-Lanczos iteration on all windows at once. The matrix stays a table with one row per
-asset (its partners and their values); a step is one product of these rows with the
-windows' vectors, and only two numbers a window and step reach the driver. Smallest
-Ritz values are right without orthogonalising again: lost orthogonality only adds
-copies of values already found.
+A window of at most ``DENSE`` assets is one dense matrix of 8 MB at most in a task, all
+such windows one job. Larger ones go through Lanczos iteration at once: the matrix stays
+a table with one row per asset (its partners and their values); a step is one product of
+these rows with the windows' vectors, and only two numbers a window and step reach the
+driver. Smallest Ritz values are right without orthogonalising again: lost orthogonality
+only adds copies of values already found.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora.session import materialize, release, values
 
+DENSE = 1_000
+
 
 def _ritz(alpha: list[float], beta: list[float]) -> tuple[float, float]:
     """Smallest Ritz value and the norm of its residual."""
@@ -22,17 +26,24 @@ def _ritz(alpha: list[float], beta: list[float]) -> tuple[float, float]:
     return float(v[0]), float(abs(beta[-1] * u[-1, 0]))
 
 
-def smallest_eigenvalues(pairs: DataFrame, nodes: DataFrame, value: str = "v", diagonal: float = 1.0, tol: float = 1e-8) -> DataFrame:
+def smallest_eigenvalues(pairs: DataFrame, nodes: DataFrame, value: str = "v", diagonal: float = 1.0, tol: float = 1e-8,
+                         dense: int = DENSE) -> DataFrame:
     """``(snapshot, low, residual, steps)`` of the symmetric matrix with ``diagonal`` and the values of ``(snapshot, i, j)``.
 
-    ``nodes`` is ``(snapshot, node)``; absent pairs are zero. A window is done when
+    ``nodes`` is ``(snapshot, node)``; absent pairs are zero. Windows of at most ``dense``
+    nodes are solved in place, with residual and steps zero. A larger one is done when
     its residual falls below ``tol`` times the size of its matrix, or when its
     vectors span an invariant space, which is so after one step per asset at most.
     """
     spark = pairs.sparkSession
     kind = nodes.schema["snapshot"].dataType.simpleString()
     place = Window.partitionBy("snapshot").orderBy("node")  # the assets of one window
-    ids = materialize(nodes.select("snapshot", "node").distinct().withColumn("at", F.row_number().over(place) - 1), "ev-id")
+    ids = materialize(nodes.select("snapshot", "node").distinct().withColumn("at", F.row_number().over(place) - 1).withColumn(
+        "n", F.count("*").over(Window.partitionBy("snapshot"))), "ev-id")
+    small, ids = ids.where(F.col("n") <= dense), ids.where(F.col("n") > dense)
+    solved = materialize(_dense(pairs, small, value, diagonal, kind), "ev-low")
+    if ids.isEmpty():
+        return solved
     both = pairs.select("snapshot", "i", "j", F.col(value).alias("v")).unionByName(
         pairs.select("snapshot", F.col("j").alias("i"), F.col("i").alias("j"), F.col(value).alias("v")))
     row = both.join(ids.select("snapshot", F.col("node").alias("i"), F.col("at").alias("r")), ["snapshot", "i"]).join(
@@ -43,8 +54,6 @@ def smallest_eigenvalues(pairs: DataFrame, nodes: DataFrame, value: str = "v", d
     start = F.xxhash64("r", F.lit(17)) / F.lit(2.0**63)
     size = {r[0]: (r[1], r[2]) for r in matrix.groupBy("snapshot").agg(
         F.count("*"), F.max(F.aggregate("vs", F.lit(0.0), lambda a, x: a + F.abs(x)))).collect()}
-    if not size:
-        return spark.createDataFrame([], f"snapshot {kind}, low double, residual double, steps int")
     norm = {k: abs(diagonal) + top for k, (_, top) in size.items()}
     alpha, beta, done = {k: [] for k in size}, {k: [] for k in size}, {}
     state = materialize(matrix.select("snapshot", "r", start.alias("q"), F.lit(0.0).alias("before")), "ev-q")
@@ -75,7 +84,23 @@ def smallest_eigenvalues(pairs: DataFrame, nodes: DataFrame, value: str = "v", d
     release(held)
     release(matrix)
     rows = [(k, *v) for k, v in done.items()]
-    return values(spark, rows, ["snapshot", "low", "residual", "steps"], [kind, "DOUBLE", "DOUBLE", "INT"])
+    return solved.unionByName(values(spark, rows, ["snapshot", "low", "residual", "steps"], [kind, "DOUBLE", "DOUBLE", "INT"]))
+
+
+def _dense(pairs: DataFrame, ids: DataFrame, value: str, diagonal: float, kind: str) -> DataFrame:
+    """The result for windows whose matrix fits a task."""
+    i, j = (ids.select("snapshot", F.col("node").alias(c), F.col("at").alias(a)) for c, a in (("i", "r"), ("j", "c")))
+    entry = pairs.join(i, ["snapshot", "i"]).join(j, ["snapshot", "j"]).select("snapshot", F.col("r").alias("at"), "c", F.col(value).cast("double").alias("v"))
+    rows = ids.select("snapshot", "at", "n").join(entry, ["snapshot", "at"], "left")
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((int(pdf["n"].iloc[0]),) * 2)
+        at = pdf[pdf["c"].notna()]
+        np.add.at(m, (at["at"].to_numpy(int), at["c"].to_numpy(int)), at["v"].to_numpy(float))
+        low = np.linalg.eigvalsh(m + m.T + diagonal * np.eye(len(m)))[0]
+        return pd.DataFrame({"snapshot": [key[0]], "low": [low], "residual": [0.0], "steps": [0]})
+
+    return rows.groupBy("snapshot").applyInPandas(solve, f"snapshot {kind}, low double, residual double, steps int")
 
 
 def _numbers(spark, kind: str, of: dict, name: str = "x") -> DataFrame:
