@@ -265,3 +265,15 @@ def test_pipeline_stages(spark):
     for _, step in corpus_pipeline.STAGES:
         empty = step(spark, empty, "/root/testdata/sf0.001")
     assert empty.count() == 0
+
+
+def test_full_word_store_keeps_words_met_again(monkeypatch):
+    """Words of two batches stay when the store is full, words of one leave, and ids are those of the library."""
+    monkeypatch.setattr(token_codes, "CACHE_WORDS", 5)
+    encode = token_codes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.known.clear(), encode.again.clear()
+    batches = [["a river bends here"], ["the river bends again, twice"], ["a calm lake\nand river", "one  gap here"]]
+    for texts in batches:
+        assert encode(texts) == [encode.whole(t) for t in texts]
+    assert {"river", "bends"} <= encode.known.keys() and "again," not in encode.known
+    encode.known.clear(), encode.again.clear()

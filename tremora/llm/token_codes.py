@@ -31,7 +31,7 @@ from tremora.session import shared_dir, spread
 
 END_ID = 2
 FILE_IDS = 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 ENCODE_WORDS = 2_000
 WHOLE_CHARS = 256_000
 BLOCK_BITS = 512
@@ -124,7 +124,8 @@ class Encoder:
     (each with the space before it) whose ids can be kept. New words are encoded
     many at a time as one text; ids of tokens that begin with a space tell where
     the words begin. Texts with double spaces or an added token go through the
-    library whole. The store of words is emptied when it holds ``CACHE_WORDS``.
+    library whole. A store of more than ``CACHE_WORDS`` words keeps those that a later
+    batch asked for again; words seen once, most of them, leave.
     """
 
     def __init__(self, path: str):
@@ -137,8 +138,8 @@ class Encoder:
         if path not in shared.__dict__:
             begins = np.zeros(max(self.tool.get_vocab().values()) + 1, bool)
             begins[[i for t, i in self.tool.get_vocab().items() if t[:1] == "\u0120"]] = True
-            shared.__dict__[path] = ({}, begins)
-        self.known, self.begins = shared.__dict__[path]
+            shared.__dict__[path] = ({}, set(), begins)
+        self.known, self.again, self.begins = shared.__dict__[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -166,12 +167,17 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE_WORDS:
+            held = {} if len(self.again) > CACHE_WORDS // 2 else {w: self.known[w] for w in self.again}
             self.known.clear()
+            self.again.clear()
+            self.known.update(held)
         words = [None if "  " in t or any(a in t for a in self.added) else t.split(" ") for t in texts]
         new = set()
         for w in words:
             new.update(w[1:] if w else ())
-        self.learn([w for w in new - self.known.keys() if w])
+        unknown = new - self.known.keys()
+        self.again |= new - unknown
+        self.learn([w for w in unknown if w])
         self.known[""] = self.whole(" ")  # a space that ends a text
         heads = self.many([t if w is None else w[0] for t, w in zip(texts, words)])
         return [h if w is None else h + b"".join(map(self.known.__getitem__, w[1:])) for h, w in zip(heads, words)]
