@@ -389,3 +389,64 @@ def test_glasso_converges_with_fewer_days_than_assets():
         assert gap < 1e-4
         w = np.linalg.inv(theta)
         assert np.abs(np.diag(w) - np.diag(s)).max() < 2e-4 and np.abs(w - s).max() < lam + 2e-4
+
+
+def random_graphs(frame, n_graphs=3, n=24, m=60):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(n_graphs):
+        pairs = sorted({tuple(rng.choice(n, 2, replace=False).tolist()) for _ in range(m)})
+        rows += [(f"S{g}", a, b, float(w)) for (a, b), w in zip(pairs, rng.random(len(pairs)) + 0.1)]
+    arcs = frame(rows, "snapshot string, src long, dst long, weight double")
+    return arcs, frame([(f"S{g}", i) for g in range(n_graphs) for i in range(n + 1)], "snapshot string, node long")
+
+
+def jobs_of(spark, run):
+    """Number of Spark jobs that ``run`` starts."""
+    name = f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_graphs_take_no_rounds(spark, frame):
+    arcs, nodes = random_graphs(frame)
+    und = G.undirected(arcs)
+    assert jobs_of(spark, lambda: community.louvain(und, nodes).collect()) <= 15
+    assert jobs_of(spark, lambda: G.pagerank(arcs, nodes).collect()) <= 20
+    assert jobs_of(spark, lambda: G.average_path_length(und, nodes).collect()) <= 15
+
+
+def test_small_and_large_communities_are_local_optima(frame):
+    arcs, nodes = random_graphs(frame, 2, 12, 25)
+    und = G.undirected(arcs)
+    small, large = community.louvain(und, nodes), community.louvain(und, nodes, small=0)
+    for m in (small, large):
+        assert m.count() == nodes.count() and m.schema["community"].dataType == nodes.schema["node"].dataType
+        assert {r.n_gaining for r in community.gaining_moves(und, m).collect()} == {0}
+    a, b = ({r.snapshot: r.modularity for r in G.modularity(und, m).collect()} for m in (small, large))
+    assert all(abs(a[s] - b[s]) < 0.1 for s in b)
+    first = {(r.snapshot, r.community) for r in small.where("node = community").collect()}
+    assert {(r.snapshot, r.community) for r in small.collect()} == first
+
+
+def test_small_and_large_ranks_and_paths_agree(frame):
+    arcs, nodes = random_graphs(frame, 2, 16, 40)
+    und = G.undirected(arcs)
+    for it in ({"iterations": 7}, {"tol": 1e-7}):
+        a, b = ({(r.snapshot, r.node): r for r in G.pagerank(arcs, nodes, small=s, **it).collect()} for s in (G.SMALL, 0))
+        assert a.keys() == b.keys() and all(abs(a[x].pagerank - b[x].pagerank) < 1e-14 and a[x].n_iter == b[x].n_iter for x in b)
+    with pytest.raises(RuntimeError):
+        G.pagerank(arcs, nodes, tol=1e-14, max_iter=3)
+    a, b = ({r.snapshot: (r.n_core, r.path_length) for r in G.average_path_length(und, nodes, dense=d).collect()} for d in (G.DENSE, 0))
+    assert a == b
+
+
+def test_rewirings_counted_in_place_agree(frame):
+    arcs, _ = random_graphs(frame, 2, 14, 70)
+    a, b = ({r.snapshot: r for r in nulls.motif_test(arcs, 7, dense=d).collect()} for d in (G.DENSE, 0))
+    assert a.keys() == b.keys() and all(r.n_111d_sd > 0 for r in a.values())
+    assert all(abs(x - y) < 1e-9 for s in a for x, y in zip(a[s][1:], b[s][1:]))  # draws are averaged in another order

@@ -1,13 +1,18 @@
-"""Modularity communities by parallel local moving, all graphs of a table in one job."""
+"""Modularity communities by local moving, all graphs of a table in one job.
+
+Graphs whose rows fit a task move node by node inside it; larger ones move in parallel rounds.
+"""
 
 from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tremora.operators.graph import KEYS
+from tremora.operators.graph import KEYS, SMALL, graph_rows, in_place
 from tremora.session import materialize, materialize_with, release
 
 LOOSE_ROUNDS = 6
@@ -91,16 +96,82 @@ def _move(edges: DataFrame, member: DataFrame, k: list[str], resolution: float,
             return st.select(*k, "node", F.col("c").alias("community"))
 
 
-def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0) -> DataFrame:
+def _settle(a: np.ndarray, b: np.ndarray, weight: np.ndarray, label: np.ndarray, resolution: float) -> bool:
+    """Move nodes one by one to their best community, in place, until none gains (to nine decimals); whether any moved."""
+    n = len(label)
+    strength = np.bincount(a, weight, n) + np.bincount(b, weight, n)
+    m2 = float(strength.sum()) or 1.0
+    total = np.bincount(label, strength, n).tolist()
+    apart = a != b
+    u, v, w = np.concatenate([a[apart], b[apart]]), np.concatenate([b[apart], a[apart]]), np.tile(weight[apart], 2)
+    order = np.argsort(u, kind="stable")
+    at = np.searchsorted(u[order], np.arange(n + 1)).tolist()
+    v, w, k, c = v[order].tolist(), w[order].tolist(), strength.tolist(), label.tolist()
+    ever, going = False, True
+    while going:
+        going = False
+        for x in range(n):
+            own = c[x]
+            near = {own: 0.0}
+            for i in range(at[x], at[x + 1]):
+                to = c[v[i]]
+                near[to] = near.get(to, 0.0) + w[i]
+            pull = resolution * k[x] / m2
+            stay = round(near.pop(own) - pull * (total[own] - k[x]), 9)
+            best = max(((round(t - pull * total[to], 9), -to) for to, t in near.items()), default=None)
+            if best is not None and best[0] > stay:
+                c[x] = -best[1]
+                total[own] -= k[x]
+                total[c[x]] += k[x]
+                going = ever = True
+    label[:] = c
+    return ever
+
+
+def partition(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> np.ndarray:
+    """The smallest member of the community of each of ``n`` nodes, by the levels of ``louvain``."""
+    label = np.arange(n)
+    _settle(a, b, weight, label, resolution)
+    while True:
+        merged = True
+        while merged:
+            _, part = np.unique(label, return_inverse=True)
+            top = np.arange(part.max(initial=-1) + 1)
+            merged = _settle(part[a], part[b], weight, top, resolution)
+            label = top[part]
+        first = np.full(n, n)
+        np.minimum.at(first, label, np.arange(n))
+        label = first[label]
+        if not _settle(a, b, weight, label, resolution):
+            return label
+
+
+def louvain(und: DataFrame, nodes: DataFrame, keys=KEYS, resolution: float = 1.0, small: int = SMALL) -> DataFrame:
     """Community label per node.
 
     Levels alternate local moving and contraction of communities to weighted super
     nodes until none merges; then single nodes may move again, and if one gains the
     levels start over from there. The result is a partition that neither moving a
-    node nor merging communities improves. Graphs without a change leave the
-    levels, so labels do not depend on the other graphs of a job. Node ids must be integers.
+    node nor merging communities improves. Graphs of at most ``small`` nodes and edges
+    are solved one a task, the others in rounds that graphs without a change leave;
+    so labels do not depend on the other graphs of a job. Node ids must be integers.
     """
     k = list(keys)
+    rows, size = graph_rows(und, nodes, keys, "a", "b")
+    large = materialize(size.where(F.col("n_rows") > small).select(*k), "lv-large")
+
+    def solve(node, listed, a, b, weight):
+        return {"node": node[listed], "community": node[partition(len(node), a, b, weight, resolution)][listed]}
+
+    label = T.StructField("community", nodes.schema["node"].dataType)
+    if large.isEmpty():
+        return materialize(in_place(rows, k, [nodes.schema["node"], label], solve), "lv-member")
+    member = materialize(in_place(rows.join(large, k, "left_anti"), k, [nodes.schema["node"], label], solve), "lv-member")
+    return member.unionByName(_rounds(und.join(large, k, "left_semi"), nodes.join(large, k, "left_semi"), k, resolution))
+
+
+def _rounds(und: DataFrame, nodes: DataFrame, k: list[str], resolution: float) -> DataFrame:
+    """``louvain`` by parallel moves, for graphs of any size."""
     edges, member = und.select(*k, "a", "b", "weight"), nodes.select(*k, "node", F.col("node").alias("community"))
     member = _move(edges, member, k, resolution, LOOSE_ROUNDS)
     level = edges

@@ -2,17 +2,62 @@
 
 Directed graphs are ``(keys, src, dst, weight)``, undirected ones ``(keys, a, b,
 weight)`` with ``a < b``, node tables ``(keys, node)``.
+
+Ranks, communities and path lengths need rounds. Where the rows of a graph fit a task
+(``SMALL`` of them, ``DENSE`` nodes for paths) its rounds run inside that task, all graphs
+in one job; larger graphs go through distributed rounds, at any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremora import config as C
-from tremora.session import materialize, materialize_with, release
+from tremora.session import materialize, materialize_with, release, spread
 
 KEYS = ("snapshot",)
+SMALL, DENSE = 200_000, 1_000
+
+
+def graph_rows(edges: DataFrame, nodes: DataFrame, keys, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all graphs in one staged table ``(keys, a, b, weight, own)``, and ``(keys, n, n_rows)`` of each graph.
+
+    A row of a node is ``own`` and names it twice, so ids stay integers in the tasks.
+    """
+    k = list(keys)
+    kind = nodes.schema["node"].dataType
+    own = nodes.select(*k, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("weight"), F.lit(True).alias("own"))
+    rows = materialize(own.unionByName(edges.select(
+        *k, F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b"), F.col("weight").cast("double").alias("weight"), F.lit(False).alias("own"))), "graphs")
+    return rows, rows.groupBy(*k).agg(F.count(F.when(F.col("own"), 1)).alias("n"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def in_place(rows: DataFrame, keys, columns: list[T.StructField], solve: Callable) -> DataFrame:
+    """``solve(node, listed, a, b, weight)`` of every graph in ``graph_rows``, one task a graph.
+
+    ``node`` holds the sorted ids, ``listed`` which of them the node table has, ``a``
+    and ``b`` the places of edge ends in it; the result is a dict of the ``columns``.
+    """
+    k = list(keys)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["own"].to_numpy(bool)
+        node, place = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        a, b = place[:len(pdf)], place[len(pdf):]
+        listed = np.zeros(len(node), bool)
+        listed[a[own]] = True
+        out = pd.DataFrame(solve(node, listed, a[~own], b[~own], pdf["weight"].to_numpy(float)[~own]))
+        for name, v in zip(k, key):
+            out[name] = v
+        return out[k + [c.name for c in columns]]
+
+    return spread(rows, *k).groupBy(*k).applyInPandas(run, T.StructType([rows.schema[c] for c in k] + columns))
 
 
 def dyads(arcs: DataFrame, keys=KEYS) -> DataFrame:
@@ -159,17 +204,36 @@ def triad_counts(arcs: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def triads(u: np.ndarray, v: np.ndarray, mutual: np.ndarray) -> tuple[int, int, int]:
+    """``triad_counts`` of one graph from its dyads, ``u`` to ``v`` or ``mutual``, by matrices of its nodes."""
+    node, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[:len(u)], place[len(u):]
+    one, both = np.zeros((2, len(node), len(node)))
+    one[a[~mutual], b[~mutual]] = 1
+    both[a[mutual], b[mutual]] = both[b[mutual], a[mutual]] = 1
+    any_ = one + one.T + both
+    out = one.sum(1)
+    fan = ((one @ any_) * one).sum() / 2
+    hook = ((both @ any_) * one.T).sum()
+    return (int(((one @ one) * one).sum()), int((out * (out - 1)).sum() / 2 - fan), int((both.sum(1) * one.sum(0)).sum() - hook))
+
+
 def pagerank(arcs: DataFrame, nodes: DataFrame, keys=KEYS, damping: float = C.DAMPING,
-             iterations: int | None = None, tol: float = 1e-6, max_iter: int = 100, every: int = 5) -> DataFrame:
+             iterations: int | None = None, tol: float = 1e-6, max_iter: int = 100, every: int = 5, small: int = SMALL) -> DataFrame:
     """Weighted PageRank with uniform teleport; ``n_iter`` reports the rounds used.
 
     Uniform redistribution of dangling mass only rescales the solution of
     ``y = damping * P'y + 1/n``, so rounds skip it and the result is normalised
     once. A round is one join on the source and one aggregation by target. The
     iteration stops when every graph changed by less than ``n * tol`` in total and
-    raises if one has not after ``max_iter`` rounds.
+    raises if one has not after ``max_iter`` rounds. Graphs of at most ``SMALL`` rows
+    make the same rounds inside tasks, unless there is a larger one among them.
     """
     k = list(keys)
+    rows, size = graph_rows(arcs, nodes, keys, "src", "dst")
+    if size.where(F.col("n_rows") > small).isEmpty():
+        return _ranks_in_place(rows, nodes, k, damping, iterations, tol, max_iter, every)
+    release(rows)
     n = nodes.groupBy(*k).agg(F.count("*").alias("n"))
     base = materialize(nodes.join(n, k).select(*k, "node", (1.0 / F.col("n")).alias("base")), "pr-base")
     total = arcs.groupBy(*k, "src").agg(F.sum("weight").alias("out_w"))
@@ -202,6 +266,38 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, keys=KEYS, damping: float = C.DA
     return y.select(*k, "node", (F.col("y") / F.sum("y").over(w)).alias("pagerank"), F.lit(done).alias("n_iter"))
 
 
+def _ranks_in_place(rows: DataFrame, nodes: DataFrame, k: list[str], damping: float, iterations: int | None, tol: float, max_iter: int, every: int) -> DataFrame:
+    """Ranks after as many rounds as the slowest graph needs: those of the others are counted first, then made up for."""
+    columns = [nodes.schema["node"], T.StructField("pagerank", T.DoubleType()), T.StructField("n_iter", T.IntegerType()), T.StructField("ok", T.BooleanType())]
+
+    def solver(rounds: int | None):
+        def solve(node, listed, a, b, weight):
+            base = np.where(listed, 1.0 / max(listed.sum(), 1), 0.0)
+            p = weight / np.bincount(a, weight, len(node))[a] * damping if len(a) else weight
+            y, done, ok, limit = base, 0, rounds is not None, rounds or max_iter
+            while done < limit:
+                todo = limit if rounds else min(every, limit - done)
+                for _ in range(todo):
+                    prev, y = y, base + np.bincount(b, y[a] * p, len(node))
+                done += todo
+                if rounds is None and np.abs(y - prev).sum() / y.sum() < len(y) * tol:
+                    ok = True
+                    break
+            keep = listed | (y > 0)
+            return {"node": node[keep], "pagerank": (y / y.sum())[keep], "n_iter": done, "ok": ok}
+
+        return solve
+
+    got, seen = materialize_with(in_place(rows, k, columns, solver(iterations)), "pr", lo=F.min("n_iter"), hi=F.max("n_iter"), bad=F.count(F.when(~F.col("ok"), 1)))
+    if seen["bad"]:
+        raise RuntimeError(f"ranks still move after {seen['hi']} rounds")
+    if seen["lo"] != seen["hi"]:
+        release(got)
+        got = materialize(in_place(rows, k, columns, solver(seen["hi"])), "pr")
+    release(rows)
+    return got.drop("ok")
+
+
 def concentration(scores: DataFrame, value: str = "pagerank", top: int = 10, keys=KEYS) -> DataFrame:
     """Herfindahl (full and top-k renormalised), Gini (full and top-k) and top-k entropy."""
     k = list(keys)
@@ -275,9 +371,54 @@ def largest_component(comp: DataFrame, keys=KEYS) -> DataFrame:
     return comp.join(best, k + ["component"]).select(*k, "node")
 
 
-def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS) -> DataFrame:
-    """Mean shortest path over ordered pairs of the largest component, by frontier joins."""
+def shape(n: int, a: np.ndarray, b: np.ndarray) -> tuple[float, float, int]:
+    """Average clustering, mean path length and size of the largest component (on a tie that of the first node)."""
+    adj = np.zeros((n, n), dtype=np.float32)
+    adj[a, b] = adj[b, a] = 1.0
+    deg = adj.sum(1)
+    tri = ((adj @ adj) * adj).sum(1)
+    possible = deg * (deg - 1)
+    cluster = float(np.divide(tri, possible, out=np.zeros(n), where=possible > 0).mean()) if n else 0.0
+    dist = np.full((n, n), -1, dtype=np.int32)
+    np.fill_diagonal(dist, 0)
+    front = np.eye(n, dtype=np.float32)
+    step = 0
+    while front.any():
+        step += 1
+        front = ((front @ adj) > 0) & (dist < 0)
+        dist[front] = step
+        front = front.astype(np.float32)
+    sizes = (dist >= 0).sum(1)
+    core = dist[np.argmax(sizes)] >= 0
+    sub = dist[np.ix_(core, core)]
+    size = int(core.sum())
+    return cluster, float(sub.sum() / (size * (size - 1))) if size > 1 else 0.0, size
+
+
+def _paths_in_place(rows: DataFrame, k: list[str]) -> DataFrame:
+    def solve(node, listed, a, b, weight):
+        _, length, size = shape(len(node), a, b)
+        return {"n_core": [size], "path_length": [length]}
+
+    return in_place(rows, k, [T.StructField("n_core", T.LongType()), T.StructField("path_length", T.DoubleType())], solve)
+
+
+def average_path_length(und: DataFrame, nodes: DataFrame, keys=KEYS, dense: int = DENSE) -> DataFrame:
+    """Mean shortest path over ordered pairs of the largest component.
+
+    Graphs of at most ``dense`` nodes are searched in place, larger ones by frontier joins.
+    """
     k = list(keys)
+    rows, size = graph_rows(und.withColumn("weight", F.lit(1.0)), nodes, keys, "a", "b")
+    large = materialize(size.where(F.col("n") > dense).select(*k), "paths-large")
+    if large.isEmpty():
+        return materialize(_paths_in_place(rows, k), "paths")
+    small = materialize(_paths_in_place(rows.join(large, k, "left_anti"), k), "paths")
+    return small.unionByName(_paths_by_joins(und.join(large, k, "left_semi"), nodes.join(large, k, "left_semi"), k))
+
+
+def _paths_by_joins(und: DataFrame, nodes: DataFrame, k: list[str]) -> DataFrame:
+    keys = tuple(k)
     core = materialize(largest_component(connected_components(und, nodes, keys), keys), "lcc")
     nb = materialize(both_ways(und, keys).select(*k, "u", "v").join(core.withColumnRenamed("node", "u"), k + ["u"]), "nb")
     seen = core.select(*k, F.col("node").alias("s"), F.col("node").alias("u"), F.lit(0).alias("d"))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tremora import config as C
 from tremora.operators import graph as G
+from tremora.session import materialize
+
+TRIADS = ["n_030t", "n_021d", "n_111d"]
 
 
 def draws(graphs: DataFrame, n: int, seed: int, name: str = "draw") -> DataFrame:
@@ -40,26 +43,7 @@ def random_edges(rng: np.random.Generator, n: int, m: int) -> tuple[np.ndarray,
 
 def graph_shape(n: int, a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """Average clustering and mean path length of the largest component."""
-    adj = np.zeros((n, n), dtype=np.float32)
-    adj[a, b] = adj[b, a] = 1.0
-    deg = adj.sum(1)
-    tri = ((adj @ adj) * adj).sum(1)
-    possible = deg * (deg - 1)
-    cluster = float(np.divide(tri, possible, out=np.zeros(n), where=possible > 0).mean()) if n else 0.0
-    dist = np.full((n, n), -1, dtype=np.int32)
-    np.fill_diagonal(dist, 0)
-    reach = front = np.eye(n, dtype=np.float32)
-    step = 0
-    while front.any():
-        step += 1
-        front = ((front @ adj) > 0) & (dist < 0)
-        dist[front] = step
-        front = front.astype(np.float32)
-    sizes = (dist >= 0).sum(1)
-    core = dist[np.argmax(sizes)] >= 0
-    sub = dist[np.ix_(core, core)]
-    size = int(core.sum())
-    return cluster, float(sub.sum() / (size * (size - 1))) if size > 1 else 0.0
+    return G.shape(n, a, b)[:2]
 
 
 def er_shapes(sizes: DataFrame, n_sims: int = C.N_ER_SIMS, seed: int = 2026) -> DataFrame:
@@ -131,36 +115,69 @@ def shuffle_class(rng: np.random.Generator, pairs: list, taken: set, mutual: boo
     return pairs
 
 
-def rewired_arcs(arcs: DataFrame, n_rewires: int = C.N_REWIRES, seed: int = 42) -> DataFrame:
-    """Arcs of ``n_rewires`` dyad-preserving rewirings, keyed by ``(snapshot, draw)``.
-
-    One row per draw carries the window's dyad list, whose length is the edge
-    budget of the window.
-    """
+def dyad_lists(arcs: DataFrame) -> DataFrame:
+    """``(snapshot, dyads, n)``: the sorted dyads of each window and its number of connected nodes."""
     d = G.dyads(arcs)
     src = F.when(F.col("ab"), F.col("a")).otherwise(F.col("b"))
     dst = F.when(F.col("ab"), F.col("b")).otherwise(F.col("a"))
     mutual = F.col("ab") & F.col("ba")
     lists = d.groupBy("snapshot").agg(F.array_sort(F.collect_list(F.struct(
         mutual.alias("mutual"), src.cast("bigint").alias("u"), dst.cast("bigint").alias("v")))).alias("dyads"))
+    return lists.withColumn("n", F.size(F.array_union("dyads.u", "dyads.v")))
+
+
+def rewired(rows, seed: int) -> tuple[list, list]:
+    """Asymmetric and mutual dyads after one rewiring."""
+    rng = _rng(seed)
+    taken = {frozenset((r["u"], r["v"])) for r in rows}
+    asym = shuffle_class(rng, [(r["u"], r["v"]) for r in rows if not r["mutual"]], taken, False)
+    return asym, shuffle_class(rng, [(r["u"], r["v"]) for r in rows if r["mutual"]], taken, True)
+
+
+def rewired_arcs(arcs: DataFrame, n_rewires: int = C.N_REWIRES, seed: int = 42) -> DataFrame:
+    """Arcs of ``n_rewires`` dyad-preserving rewirings, keyed by ``(snapshot, draw)``.
+
+    One row per draw carries the window's dyad list, whose length is the edge
+    budget of the window.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s, d, seed_, rows in zip(pdf["snapshot"], pdf["draw"], pdf["seed"], pdf["dyads"]):
-                rng = _rng(seed_)
-                taken = {frozenset((r["u"], r["v"])) for r in rows}
-                asym = shuffle_class(rng, [(r["u"], r["v"]) for r in rows if not r["mutual"]], taken, False)
-                mut = shuffle_class(rng, [(r["u"], r["v"]) for r in rows if r["mutual"]], taken, True)
+                asym, mut = rewired(rows, seed_)
                 ends = asym + mut + [(v, u) for u, v in mut]
                 yield pd.DataFrame({"snapshot": s, "draw": d, "src": [e[0] for e in ends], "dst": [e[1] for e in ends], "weight": 1.0})
 
-    return draws(lists, n_rewires, seed).mapInPandas(run, "snapshot string, draw int, src bigint, dst bigint, weight double")
+    return draws(dyad_lists(arcs).drop("n"), n_rewires, seed).mapInPandas(run, "snapshot string, draw int, src bigint, dst bigint, weight double")
+
+
+def rewired_triads(lists: DataFrame, n_rewires: int, seed: int) -> DataFrame:
+    """Triad counts of the same rewirings, each counted where it is drawn."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rows, seed_ in zip(pdf["dyads"], pdf["seed"]):
+                asym, mut = rewired(rows, seed_)
+                ends = np.array(asym + mut, np.int64).reshape(-1, 2)
+                out.append(G.triads(ends[:, 0], ends[:, 1], np.arange(len(ends)) >= len(asym)))
+            yield pd.DataFrame({"snapshot": pdf["snapshot"], "draw": pdf["draw"], **{c: [o[i] for o in out] for i, c in enumerate(TRIADS)}})
+
+    return draws(lists.drop("n"), n_rewires, seed).mapInPandas(run, "snapshot string, draw int, " + ", ".join(f"{c} bigint" for c in TRIADS))
 
-def motif_test(arcs: DataFrame, n_rewires: int = C.N_REWIRES, seed: int = 42) -> DataFrame:
-    """Triad z scores against rewirings and the normalised significance profile."""
-    null = G.triad_counts(rewired_arcs(arcs, n_rewires, seed), ("snapshot", "draw"))
-    names = ["n_030t", "n_021d", "n_111d"]
+
+def motif_test(arcs: DataFrame, n_rewires: int = C.N_REWIRES, seed: int = 42, dense: int = G.DENSE) -> DataFrame:
+    """Triad z scores against rewirings and the normalised significance profile.
+
+    Rewirings of windows with at most ``dense`` connected nodes are counted in the tasks
+    that draw them, if there is a larger window all are counted by joins; counts are equal.
+    """
+    lists = materialize(dyad_lists(arcs), "dyads")
+    if lists.where(F.col("n") > dense).isEmpty():
+        null = rewired_triads(lists, n_rewires, seed)
+    else:
+        null = G.triad_counts(materialize(rewired_arcs(arcs, n_rewires, seed), "rewired"), ("snapshot", "draw"))
+    names = TRIADS
     stats = null.groupBy("snapshot").agg(*[e for c in names for e in (F.avg(c).alias(f"{c}_mu"), F.stddev_pop(c).alias(f"{c}_sd"))])
     out = G.triad_counts(arcs).join(stats, "snapshot", "left")
     for c in names:
@@ -175,7 +192,6 @@ def motif_test(arcs: DataFrame, n_rewires: int = C.N_REWIRES, seed: int = 42) ->
 def threshold_quality(pairs: DataFrame, nodes: DataFrame, sectors: DataFrame, n_draws: int = C.N_ER_MATCHED, seed: int = 42) -> DataFrame:
     """Modularity and purity of threshold networks relative to uniform graphs of equal size."""
     from tremora.operators.community import louvain
-    from tremora.session import materialize
 
     und = materialize(pairs.select("snapshot", F.col("i").alias("a"), F.col("j").alias("b"), F.abs("v").alias("weight")), "dm")
     n = nodes.groupBy("snapshot").agg(F.count("*").alias("n"))
