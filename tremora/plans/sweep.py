@@ -53,7 +53,7 @@ def run(returns: DataFrame, cal: DataFrame, snapshots: DataFrame, sectors: DataF
     ev = E.evidence(E.ordered_tests(strong.withColumn("weight", F.abs("v")), vecs, near))
     arcs = materialize(E.arcs(E.decide(E.with_rule(ev, alpha=alpha))), "sweep-arcs")
     ranks = G.pagerank(arcs, nodes)
-    motif = nulls.motif_test(arcs, n_rewires)
+    motif = materialize(nulls.motif_test(arcs, n_rewires), "sweep-motifs")
     t = (
         every.withColumnRenamed("snapshot", "window").withColumnRenamed("key", "snapshot")
         .join(G.mean_degree(arcs, nodes), "snapshot", "left").join(A.mean_correlation(vecs).select("snapshot", "mean_corr"), "snapshot", "left")
@@ -63,6 +63,7 @@ def run(returns: DataFrame, cal: DataFrame, snapshots: DataFrame, sectors: DataF
         .join(motif.select("snapshot", F.col("z_030t").alias("z_ffl"), F.col("z_111d").alias("z_mr")), "snapshot", "left")
         .withColumn("status", F.when(F.col("n_nodes").isNull(), "skipped").otherwise("ok"))
     )
+    t = materialize(t, "sweep-table")  # read several times below; rewirings are drawn once
     scored = T.snapshot_index(t.where("status = 'ok'"), by=("kind", "n"))
     cols = ["kind", "n", "window", "regime", "status", "n_nodes", "n_edges", "mean_corr", "hhi_top10", "gini", "mutual_fraction", "cs_fraction", "z_ffl", "z_mr"]
     return scored.select(*cols, "nsi").unionByName(
