@@ -91,3 +91,14 @@ def test_global_rank_is_exact(frame):
     rows = global_rank(t, F.desc("adv"), F.asc("asset")).orderBy("rank0").collect()
     assert [r.rank0 for r in rows] == list(range(500))
     assert [(r.adv, r.asset) for r in rows] == sorted(((r.adv, r.asset) for r in rows), key=lambda v: (-v[0], v[1]))
+
+
+def test_sweep_draws_rewirings_once(spark):
+    from tremora.plans import standin as D
+    from tremora.plans import sweep
+    from tremora.plans.catalogue_pipeline import sweep_adv
+
+    sf = "/root/testdata/sf0.001"
+    got = sweep.run(D.returns(spark, sf), D.weeks(spark, sf), D.snapshots(spark).where("snapshot <= 'W03'"), D.sectors(spark, sf), sweep_adv(spark, sf),
+                    sizes=(12,), kinds=("coverage",), n_rewires=2)
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
