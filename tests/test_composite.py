@@ -122,3 +122,27 @@ def test_passes_read_one_stage_table_without_a_shuffle_and_stay_few(spark, panel
     assert sorted((b.bi, b.bj, len(b.za), len(b.zb)) for b in pairs.collect()) == [(0, 0, 4, 4), (0, 1, 4, 4), (0, 2, 4, 1), (1, 1, 4, 4), (1, 2, 4, 1), (2, 2, 1, 1)]
     assert abs(run(pairs, {0: {0: [0.05, 0.9, 0.02]}}, 2)[0, 0][0] * sum((np.isfinite(z[i]) & np.isfinite(z[j])).sum() - 1 for i in range(9) for j in range(i + 1, 9))
                - slow(z, (0.05, 0.9, 0.02))) < 1e-6
+
+
+def test_groups_of_one_block_are_searched_in_one_job(spark, panel, monkeypatch):
+    _, rows = panel
+    passes = composite.fit(rows, block=4).head()  # nine assets, three blocks
+    calls, run = [], composite.score
+    monkeypatch.setattr(composite, "score", lambda *a: calls.append(a) or run(*a))
+    place = composite.fit(rows).head()
+    assert not calls
+    assert (place.status, place.n_assets, place.n_pairs, place.n_converged) == (passes.status, passes.n_assets, passes.n_pairs, passes.n_converged)
+    assert np.allclose([place.a, place.b, place.g, place.nll], [passes.a, passes.b, passes.g, passes.nll], atol=1e-6)
+    groups = spark.createDataFrame([(g, f"A{i}") for g, ids in ((1, range(4)), (2, range(9))) for i in ids], "grp int, asset string")
+    mixed = {r.grp: r for r in composite.fit(rows, groups, block=4).collect()}  # one group in place, one by passes
+    assert calls and mixed[1].status == "ok" and mixed[1].n_pairs == 6 and abs(mixed[2].nll - passes.nll) < 1e-9
+
+
+def test_few_series_start_few_tasks(spark):
+    from tremora.operators import volatility
+
+    x = np.random.default_rng(2).normal(size=(10, 40)).tolist()
+    series = spark.createDataFrame([(i, list(range(40)), v) for i, v in enumerate(x)], "asset int, dates array<int>, vec array<double>")
+    fitted = volatility.garch(series)
+    assert fitted.rdd.getNumPartitions() == 2  # eight series a task, not one task a shuffle partition
+    assert sorted((r.asset, r.n, r.status) for r in fitted.collect()) == [(i, 40, "static") for i in range(10)]

@@ -5,7 +5,8 @@ matrix over all assets exists anywhere. Pairs of asset blocks are rows of a tabl
 is written once per fit; a pass reads it without a shuffle and returns the value and
 gradient of its pairs for every trial point, Spark adds them up, and the driver moves
 one Newton search per start and group with three numbers each. All searches share a
-pass over the data.
+pass over the data. A group whose assets fit into one block needs no passes: each of its
+searches runs to its end inside one task, all of them in one job.
 """
 
 from __future__ import annotations
@@ -197,6 +198,38 @@ class Search:
         self.next = self.u + self.size * self.way
 
 
+def search_in_place(vecs: DataFrame, groups: list, min_rows: int, tol: float) -> dict:
+    """``(search, pairs)`` per group and start of groups that are one block; every search is one task."""
+    starts = adcc_starts()
+    columns = ["grp", "start", "u", "value", "state", "steps", "pairs"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                z = np.vstack([np.asarray(v, float) for v in r.z])
+                use = np.triu(np.ones((len(z), len(z)), bool), 1)
+                s = Search(starts[r.start])
+                while s.state == "open":
+                    value, grad, n, bad, pairs = pair_value(z, z, use, s.trials, min_rows)
+                    if n:
+                        s.tell(value[0] / n, grad / n, not bad[0], tol)
+                    else:
+                        s.state = "too_short"
+                yield pd.DataFrame({"grp": [r.grp], "start": [r.start], "u": [s.u], "value": [s.value], "state": [s.state],
+                                    "steps": [s.steps], "pairs": [pairs]})[columns]
+
+    whole = vecs.where(F.col("grp").isin(groups)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("s"))
+    jobs = whole.select("grp", F.col("s.vec").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))).alias("start"))
+    jobs = jobs.repartition(min(len(groups) * len(starts), int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kind = vecs.schema["grp"].dataType.simpleString()
+    ended = {}
+    for r in jobs.mapInPandas(run, f"grp {kind}, start int, u array<double>, value double, state string, steps int, pairs long").collect():
+        s = Search(starts[r.start])
+        s.u, s.value, s.state, s.steps = np.array(r.u), r.value, r.state, r.steps
+        ended[r.grp, r.start] = s, r.pairs
+    return ended
+
+
 def fit(resid: DataFrame, groups: DataFrame | None = None, min_rows: int = C.ADCC_MIN_ROWS, tol: float = 1e-7, block: int = BLOCK) -> DataFrame:
     """``grp, a, b, g, nll, status, converged, n_assets, n_pairs, n_starts, n_converged, n_passes, spread, multi_modal`` per group.
 
@@ -208,7 +241,10 @@ def fit(resid: DataFrame, groups: DataFrame | None = None, min_rows: int = C.ADC
     size = {r.grp: r.n for r in vecs.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     search = {(g, i): Search(s) for g in size for i, s in enumerate(adcc_starts())}
     pairs, passes = dict.fromkeys(size, 0), dict.fromkeys(size, 0)
-    blocks = pair_blocks(vecs, block)
+    if few := [g for g, n in size.items() if n <= block]:
+        for (g, i), (search[g, i], pairs[g]) in search_in_place(vecs, few, min_rows, tol).items():
+            passes[g] = max(passes[g], search[g, i].steps, 1)
+    blocks = pair_blocks(vecs.where(~F.col("grp").isin(few)) if few else vecs, block) if len(few) < len(size) else None
     while any(s.state == "open" for s in search.values()):
         points: dict = {}
         for (g, i), s in search.items():

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.session import attach, spread
+from tremora.session import attach, dealt, spread
 
 MIN_STATIC, MIN_FIT = 30, 200
 FIT_BATCH = 256  # series fitted together; their trial points stay in the processor's cache
+TASK_SERIES = 8  # series that make a task of their own; a batch of so few costs little more than one series
 
 
 def minimise(fun: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, size: float = 0.25,
@@ -161,7 +162,7 @@ def garch(series: DataFrame) -> DataFrame:
             out["status"] = np.where(bad & (status != "short"), "failed", status)
             yield out[["asset", "n", *names, "status", "dates", "z"]]
 
-    return spread(series).mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
+    return dealt(series, "garch-series", TASK_SERIES).mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
 
 
 def series_of(returns: DataFrame, value: str = "x") -> DataFrame:
