@@ -277,3 +277,22 @@ def test_full_word_store_keeps_words_met_again(monkeypatch):
         assert encode(texts) == [encode.whole(t) for t in texts]
     assert {"river", "bends"} <= encode.known.keys() and "again," not in encode.known
     encode.known.clear(), encode.again.clear()
+
+
+def test_encoder_looks_up_distinct_words_of_a_batch():
+    encode = token_codes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked = []
+
+    class Store(dict):
+        def get(self, w, *other):
+            asked.append(w)
+            return dict.get(self, w, *other)
+
+        def __getitem__(self, w):
+            asked.append(w)
+            return dict.__getitem__(self, w)
+
+    encode.known = Store()
+    texts = ["the river and the lake " * 200, " a lead\nline", "", "one", "café \U0001f600 end ", "two  gaps", "the river"]
+    assert encode(texts) == [encode.whole(t) for t in texts]
+    assert len(asked) < 40  # the words of the first text number 1,001

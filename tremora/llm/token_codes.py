@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,16 +172,39 @@ class Encoder:
             self.known.clear()
             self.again.clear()
             self.known.update(held)
-        words = [None if "  " in t or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        new = set()
-        for w in words:
-            new.update(w[1:] if w else ())
-        unknown = new - self.known.keys()
-        self.again |= new - unknown
-        self.learn([w for w in unknown if w])
+        apart = np.array(["  " not in t and not any(a in t for a in self.added) for t in texts], bool)
+        whole = iter(self.many([t for t, w in zip(texts, apart) if not w]))
+        split = iter(self.by_words([t for t, w in zip(texts, apart) if w]))
+        return [next(split if w else whole) for w in apart]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without double spaces: every distinct word of the batch is looked up once, places are gathered in arrays."""
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = words.offsets.to_numpy()[:-1]
+        flat = words.values
+        heads = self.many(flat.take(pa.array(first)).to_pylist())
+        later = np.ones(len(flat), bool)
+        later[first] = False  # the first word of a text has no space before it
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        distinct, where = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self.known[""] = self.whole(" ")  # a space that ends a text
-        heads = self.many([t if w is None else w[0] for t, w in zip(texts, words)])
-        return [h if w is None else h + b"".join(map(self.known.__getitem__, w[1:])) for h, w in zip(heads, words)]
+        raw = list(map(self.known.get, distinct))
+        unknown = [i for i, r in enumerate(raw) if r is None]
+        self.learn([distinct[i] for i in unknown])
+        for i in unknown:
+            raw[i] = self.known[distinct[i]]
+        new = set(unknown)
+        self.again.update(w for i, w in enumerate(distinct) if i not in new)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        base = np.cumsum(size) - size
+        n = size[where]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(base[where] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(raw), "<u4")[place].tobytes()
+        cut = (4 * ends[words.offsets.to_numpy() - np.arange(len(texts) + 1)]).tolist()
+        return [h + ids[x:y] for h, x, y in zip(heads, cut[:-1], cut[1:])]
 
 
 def open_uri(uri: str) -> tuple[pfs.FileSystem, str]:
@@ -209,7 +233,7 @@ def write_files(batches, folder: str, tokenizer: str, file_ids: int):
         return row
 
     for batch in batches:
-        for piece in slices(batch, "text", limit=2 << 20):
+        for piece in slices(batch, "text"):
             part = piece.column("part")[0].as_py()
             texts = [t or "" for t in piece.column("text").to_pylist()]
             for key, null, code in zip(piece.column("doc_id").to_pylist(), piece.column("missing").to_pylist(), encode(texts)):
