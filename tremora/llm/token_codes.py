@@ -233,7 +233,7 @@ def write_files(batches, folder: str, tokenizer: str, file_ids: int):
         return row
 
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", limit=1 << 20):
             part = piece.column("part")[0].as_py()
             texts = [t or "" for t in piece.column("text").to_pylist()]
             for key, null, code in zip(piece.column("doc_id").to_pylist(), piece.column("missing").to_pylist(), encode(texts)):
