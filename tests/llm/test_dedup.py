@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +174,31 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     sets = {d[0]: shingles(d[1], 2) for d in docs}
     want = groups(sorted(sets), lambda a, b: jaccard80(sets[a], sets[b]))
     assert got == want and 3 < len(set(want.values())) < 55
+
+
+def test_texts_not_sets_of_lines_travel(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(5, 300))) for _ in range(40)] + ["abc", "zzzzzzzzzzzzzzzzzzzzzzz"]
+    texts += [t[:-2] + "0" for t in texts] + ["é" * 14 + t for t in texts[:8]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_id long, norm string")
+    shared = line_dedup.shared_texts(lines.groupBy("line_id").agg({"norm": "max"}).withColumnRenamed("max(norm)", "norm"))
+    sets = [line_set(t) for t in texts]
+    assert {r["line_id"]: (r["norm"], r["n"]) for r in shared.collect()} == {i: (t, len(sets[i])) for i, t in enumerate(texts)}
+    shuffled = shared._jdf.queryExecution().optimizedPlan().toString() + line_dedup.near_pairs(lines.selectExpr("line_id AS a", "line_id AS b"), shared, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in shuffled and "collect" not in shuffled
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    got = line_dedup.near_pairs(spark.createDataFrame(pairs, "a long, b long"), shared, 80).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a, b in pairs if jaccard80(sets[a], sets[b])}
+
+
+def test_shuffle_files_go_with_their_stage(spark):
+    from tremora.llm import common
+
+    at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, was = at.getAllFiles().size(), spark.conf.get(common.RELEASE, None)
+    common.stage(spark.range(5_000).groupBy("id").count(), "release")
+    for _ in range(50):
+        if at.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert at.getAllFiles().size() <= before and spark.conf.get(common.RELEASE, None) == was
