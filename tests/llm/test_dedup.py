@@ -202,3 +202,32 @@ def test_shuffle_files_go_with_their_stage(spark):
             break
         time.sleep(0.1)
     assert at.getAllFiles().size() <= before and spark.conf.get(common.RELEASE, None) == was
+
+
+def test_a_vector_goes_once_to_a_block_however_many_cells_it_visits(spark):
+    rng = np.random.default_rng(5)
+    x = embedding_dedup.unit(rng.normal(size=(4_000, 16)))
+    c = embedding_dedup.unit(rng.normal(size=(300, 16)))
+    home, row, cell = embedding_dedup.cells_of(x, c, 0.95)
+    assert len(row) > 20 * len(x)  # cells that prune little
+    counts = np.bincount(home, minlength=300)
+    first, parts, top = embedding_dedup.layout(counts, 500, 0)
+    assert (parts[counts == 0] == 0).all() and (parts[counts > 0] >= 1).all() and top <= 17
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000), pa.int64()), pa.array([1] * 4_000, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))],
+                                       ["rep", "copies", "embedding"])
+    rows = [r for b in embedding_dedup.dealt([batch], c, first, parts, 0.95) for r in b.to_pylist()]
+    assert max(b.num_rows for b in embedding_dedup.dealt([batch], c, first, parts, 0.95)) * 300 <= embedding_dedup.ASSIGNED
+    assert len(rows) == 4_000 and all(len(r["visits"]) < top for r in rows)
+    got = {(r["rep"], k) for r in rows for k in [*r["inner"], *(k for v in r["visits"] for k in v["cells"])]}
+    assert got == {(i, k) for i, k in zip(row.tolist(), cell.tolist()) if counts[k]}
+    first, parts, _ = embedding_dedup.layout(np.array([700, 0, 3, 5]), 300, 7)
+    assert first.tolist() == [7, -1, 10, 10] and parts.tolist() == [3, 0, 1, 1]
+
+
+def test_products_close_to_the_threshold_are_made_again():
+    raw = np.array([[4.0, 3.0], [1.0, 0.0], [4.0, 3.000001], [8.0, 6.0], [4.0, 2.999999]])
+    links = embedding_dedup.Links(raw, np.array([1, 5, 1, 1, 1]), 0.8)
+    links.meet(np.array([0, 2, 4]), np.array([1]))
+    assert links.n.tolist() == [5, 2, 0, 0, 5] and links.label[0] == links.label[1] == links.label[4] != links.label[2]
+    links.meet(np.array([0, 3]), np.array([0, 3]), same=True)
+    assert links.n.tolist() == [6, 2, 0, 1, 5]
