@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora import config as C
-from tremora.session import attach, dealt, spread
+from tremora.session import attach, dealt, spread as over_tasks
 
 MIN_STATIC, MIN_FIT = 30, 200
 FIT_BATCH = 256  # series fitted together; their trial points stay in the processor's cache
@@ -125,6 +125,11 @@ def fit_garch(y: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
     return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "nu": nu, "nll": val[pick], "z": (e / np.sqrt(s2)).T}
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """``series`` dealt to tasks, ``TASK_SERIES`` at a time."""
+    return dealt(series, "garch-series", TASK_SERIES)
+
+
 def garch(series: DataFrame) -> DataFrame:
     """Fit per asset; input ``(asset, dates, vec)`` with log returns in ``vec``.
 
@@ -162,7 +167,7 @@ def garch(series: DataFrame) -> DataFrame:
             out["status"] = np.where(bad & (status != "short"), "failed", status)
             yield out[["asset", "n", *names, "status", "dates", "z"]]
 
-    return dealt(series, "garch-series", TASK_SERIES).mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
+    return spread(series).mapInPandas(run, f"asset {t}, n int, " + ", ".join(f"{k} double" for k in names) + f", status string, dates {d}, z array<double>")
 
 
 def series_of(returns: DataFrame, value: str = "x") -> DataFrame:
@@ -245,7 +250,7 @@ def adcc_fit(resid: DataFrame, subset: DataFrame, min_rows: int = C.ADCC_MIN_ROW
     day = (day.join(k, keys) if keys else attach(day, k)).where(F.size("r") == F.col("k"))
     full = day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", F.col("r.z").alias("z")))).alias("m")).select(*keys, F.col("m.z").alias("m"))
     starts = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), *[F.lit(v).alias(n) for n, v in zip("abg", s)]) for i, s in enumerate(adcc_starts())]))
-    jobs = spread(full.withColumn("s", starts).select(*keys, "m", "s.*"))
+    jobs = over_tasks(full.withColumn("s", starts).select(*keys, "m", "s.*"))
     lo, hi = np.array(C.ADCC_BOUNDS).T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,7 +345,7 @@ def adf(vecs: DataFrame, keys=("snapshot",)) -> DataFrame:
                                 "lags": pd.array(lags, dtype="Int32"), "reject": pd.array(reject, dtype="boolean")})
 
     schema = ", ".join(f"{c} {types[c]}" for c in k) + f", asset {types['asset']}, statistic double, lags int, reject boolean"
-    return spread(vecs).mapInPandas(run, schema)
+    return over_tasks(vecs).mapInPandas(run, schema)
 
 
 def adf_rates(tested: DataFrame) -> DataFrame:
